@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licenses, lines, mixing, simhash
+from . import chat, decontam, language, licenses, lines, mixing, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_embeddings": vectors.op2_embeddings,
     "op3_chat": chat.op3_chat,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_lines": lines.op6_lines,
     "op7_mixing": mixing.op7_mixing,
+    "op8_substrings": substrings.op8_substrings,
+    "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL = {"op3_chat": chat.SQL, "op6_lines": lines.SQL, "op10_licenses": licenses.SQL}
