@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_blocks, grouped, saved, table
+from .common import as_bytes, bounded_blocks, grouped, release, saved, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text at a time, bytes of text whose anchors make a part (a task has several, one after another), and most segments of one anchor in one transform.
@@ -360,6 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     segments = saved(_segments(docs.join(some, names), length), "segments")
     shared = saved(_shared(segments, length, limit), "shared")
     covered = saved(marks.select(*names, "whole").join(shared, names, "full"), "covered")
+    release(docs.sparkSession)
     return _removed(docs.join(covered, names, "left"), length, with_kept)
 
 
