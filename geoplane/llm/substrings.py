@@ -14,7 +14,7 @@ from .common import as_bytes, bounded_blocks, grouped, release, saved, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text at a time, bytes of text whose anchors make a part (a task has several, one after another), and most segments of one anchor in one transform.
-CHUNK, PART, LIMIT = 1 << 21, 1 << 24, 20_000
+CHUNK, PART, LIMIT = 1 << 20, 1 << 24, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -179,7 +179,7 @@ def _marks(blobs: DataFrame, parts: int) -> DataFrame:
             [pa.array(ids[rows[first]]), pa.array(keys[rows[first]]), lists(n_all - n_some, at[w]), lists(n_some, at[s]), lists(n_some, gram[s])], ["doc_id", "key", "whole", "part_at", "part_gram"]
         )
 
-    found = blobs.repartition(max(1, parts // 4), "part").sortWithinPartitions("part").mapInArrow(run, MARKS)
+    found = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, MARKS)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     return found.groupBy("doc_id", "key").agg(flat("whole"), flat("part_at"), flat("part_gram"))
 
