@@ -1,0 +1,254 @@
+"""NumPy kernels on arrays of points: geodesics, rhumb lines, transverse Mercator. Degrees and metres.
+
+A geodesic is a great circle on the auxiliary sphere. Distance, longitude and area are integrals over its arc, taken
+here by Gauss-Legendre quadrature; the inverse problem finds the azimuth at the first point by bracketed halving and
+secants on the longitude that it gives, which grows with it. No series in the flattening is used, so any moderately
+flattened ellipsoid is served by the same code.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ..functions.ellipsoid import WGS84, Ellipsoid
+
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(12)
+ROUNDS = 60
+
+
+def _integral(g, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of g(sigma, row axis first), between low and high; in two panels."""
+    total = np.zeros_like(low)
+    width = (high - low) / 2
+    for k in range(2):
+        mid = low + (k + 0.5) * width
+        total += (g(mid[:, None] + NODES * width[:, None] / 2) * WEIGHTS).sum(axis=1) * width / 2
+    return total
+
+
+def _sincosd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    r = np.remainder(x, 360.0)
+    q = np.rint(r / 90)
+    t = np.radians(r - 90 * q)
+    s, c = np.sin(t), np.cos(t)
+    q = q.astype(int) % 4
+    return np.choose(q, [s, c, -s, -c]), np.choose(q, [c, -s, -c, s])
+
+
+class Arc:
+    """Geodesics through points of reduced latitude with sine sb, cosine cb, at azimuths of sine sa, cosine ca."""
+
+    def __init__(self, sb, cb, sa, ca, e: Ellipsoid):
+        self.e = e
+        self.s0, self.c0 = sa * cb, np.hypot(ca, sa * sb)
+        self.sigma1 = np.arctan2(sb, ca * cb)
+        self.omega1 = np.arctan2(self.s0 * sb, ca * cb)
+        self.k2 = e.e2 / (1 - e.e2) * self.c0**2
+
+    def root(self, sigma):
+        return np.sqrt(1 + self.k2[:, None] * np.sin(sigma) ** 2)
+
+    def distance(self, sigma):
+        return self.e.b * _integral(self.root, self.sigma1, sigma)
+
+    def longitude(self, sigma):
+        """Radians of longitude from the first point, not reduced."""
+        f = self.e.f
+        turn = np.floor((sigma + np.pi) / (2 * np.pi)) * 2 * np.pi
+        sign = np.where(self.s0 < 0, -1.0, 1.0)
+        omega = np.arctan2(self.s0 * np.sin(sigma), np.cos(sigma)) + sign * turn
+        back = _integral(lambda s: (2 - f) / (1 + (1 - f) * self.root(s)), self.sigma1, sigma)
+        return omega - self.omega1 - f * self.s0 * back
+
+    def area(self, sigma, turn):
+        """Between the arc and the equator, with ``turn`` the change of azimuth in radians."""
+        e = self.e
+        t = lambda x: x + np.sqrt(1 / x + 1) * np.arcsinh(np.sqrt(x))
+        ep2 = e.e2 / (1 - e.e2)
+
+        def g(s):
+            x = np.maximum(self.k2[:, None] * np.sin(s) ** 2, 1e-30)
+            gap = ep2 - x
+            slope = 1 - np.arcsinh(np.sqrt(ep2)) / (2 * ep2**1.5 * np.sqrt(1 + 1 / ep2)) + 1 / (2 * ep2) if ep2 > 0 else 4 / 3
+            return np.where(np.abs(gap) > 1e-9, (t(np.float64(ep2)) - t(x)) / np.where(gap == 0, 1, gap), slope) * np.sin(s) / 2
+
+        bend = -_integral(g, self.sigma1, sigma) if ep2 > 0 else 0.0
+        return e.authalic2 * turn + e.e2 * e.a**2 * self.c0 * self.s0 * bend
+
+    def at(self, sigma):
+        """Sine and cosine of reduced latitude and of azimuth."""
+        ss, cs = np.sin(sigma), np.cos(sigma)
+        sb = self.c0 * ss
+        cb = np.hypot(self.s0, self.c0 * cs)
+        return sb, cb, self.s0, self.c0 * cs
+
+
+def _reduced(lat, e: Ellipsoid):
+    s, c = _sincosd(lat)
+    s = s * (1 - e.f)
+    h = np.hypot(s, c)
+    return s / h, np.maximum(c / h, 1e-150)
+
+
+def direct(lat1, lon1, azi1, s12, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """lat2, lon2 (-180 to 180), azi2 of the point s12 along a geodesic."""
+    lat1, lon1, azi1, s12 = (np.asarray(v, np.float64) for v in (lat1, lon1, azi1, s12))
+    lat1 = np.where(np.abs(lat1) <= 90, lat1, np.nan)
+    arc = Arc(*_reduced(lat1, e), *_sincosd(azi1), e)
+    sigma = arc.sigma1 + s12 / (e.b * np.sqrt(1 + arc.k2 / 2))
+    for _ in range(8):
+        sigma = sigma + (s12 - arc.distance(sigma)) / (e.b * np.sqrt(1 + arc.k2 * np.sin(sigma) ** 2))
+    sb, cb, sa, ca = arc.at(sigma)
+    lon = np.degrees(arc.longitude(sigma)) + lon1
+    return {"lat2": np.degrees(np.arctan2(sb, (1 - e.f) * cb)), "lon2": lon - 360 * np.rint(lon / 360), "azi2": np.degrees(np.arctan2(sa, ca))}
+
+
+def inverse(lat1, lon1, lat2, lon2, e: Ellipsoid = WGS84, area: bool = True) -> dict[str, np.ndarray]:
+    """s12, azi1, azi2, and area12 (area under the geodesic, if asked for) of the shortest geodesics."""
+    lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.float64)) for v in (lat1, lon1, lat2, lon2)))
+    bad = ~(np.isfinite(lat1 + lon1 + lat2 + lon2) & (np.abs(lat1) <= 90) & (np.abs(lat2) <= 90))
+    lat1, lon1, lat2, lon2 = (np.where(bad, 0.0, v) for v in (lat1, lon1, lat2, lon2))
+    lam = np.remainder(lon2 - lon1 + 180, 360.0) - 180
+    west = (lam < 0) & (lam > -180)
+    goal = np.radians(np.abs(lam))
+    # the first point is taken to be the one farther from the equator, in the south: then the azimuth's range is all of [0, 180]
+    swap = np.abs(lat1) < np.abs(lat2)
+    p1, p2 = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    north = p1 > 0
+    p1, p2 = np.where(north, -p1, p1), np.where(north, -p2, p2)
+    (sb1, cb1), (sb2, cb2) = _reduced(p1, e), _reduced(p2, e)
+
+    def reach(alpha):
+        arc = Arc(sb1, cb1, np.sin(alpha), np.cos(alpha), e)
+        ca2 = np.sqrt(np.maximum((np.cos(alpha) * cb1) ** 2 + np.where(cb1 < -sb1, cb2**2 - cb1**2, sb1**2 - sb2**2), 0)) / cb2
+        sigma2 = np.arctan2(sb2, ca2 * cb2)
+        sigma2 = np.where(sigma2 < arc.sigma1, sigma2 + 2 * np.pi, sigma2)
+        return arc, sigma2
+
+    low, high = np.zeros_like(goal), np.full_like(goal, np.pi)
+    alpha = np.arctan2(cb2 * np.sin(goal), cb1 * sb2 - sb1 * cb2 * np.cos(goal))
+    below, above = np.zeros_like(goal), np.zeros_like(goal)
+    for k in range(ROUNDS):
+        alpha = np.where((alpha > low) & (alpha < high), alpha, (low + high) / 2)
+        arc, sigma2 = reach(alpha)
+        gap = arc.longitude(sigma2) - goal
+        under = gap < 0
+        low, below = np.where(under, alpha, low), np.where(under, gap, below)
+        high, above = np.where(under, high, alpha), np.where(under, above, gap)
+        if k % 3 == 2:
+            alpha = (low + high) / 2
+        else:
+            span = np.where(above - below > 0, above - below, 1.0)
+            alpha = low - below * (high - low) / span
+        if k > 8 and (high - low).max() < 1e-15:
+            break
+    meridian = goal == 0
+    alpha = np.where(meridian, 0.0, np.where(np.abs(below) < np.abs(above), low, high))
+    equator = (p1 == 0) & (p2 == 0) & (goal <= (1 - e.f) * np.pi)
+    arc, sigma2 = reach(alpha)
+    s12 = np.maximum(arc.distance(sigma2), 0.0)
+    _, _, sa2, ca2 = arc.at(sigma2)
+    azi1, azi2 = np.arctan2(np.sin(alpha), np.cos(alpha)), np.arctan2(sa2, ca2)
+    turn = np.where(goal == 0, 0.0, azi2 - azi1)
+    turn = np.where((cb1 < 1e-100) & (cb2 < 1e-100) & (sb1 == sb2), -goal, turn)  # all the way at a pole
+    S12 = arc.area(sigma2, turn) if area else np.zeros_like(s12)
+    s12, azi1, azi2, S12 = np.where(equator, e.a * goal, s12), np.where(equator, np.pi / 2, azi1), np.where(equator, np.pi / 2, azi2), np.where(equator, 0.0, S12)
+    # undo the turns: south to north, then the ends' order, then west
+    azi1, azi2, S12 = np.where(north, np.pi - azi1, azi1), np.where(north, np.pi - azi2, azi2), np.where(north, -S12, S12)
+    azi1, azi2, S12 = np.where(swap, np.pi - azi2, azi1), np.where(swap, np.pi - azi1, azi2), S12
+    azi1, azi2, S12 = np.where(west, -azi1, azi1), np.where(west, -azi2, azi2), np.where(west, -S12, S12)
+    out = {"s12": s12, "azi1": np.degrees(azi1), "azi2": np.degrees(azi2)} | ({"area12": S12} if area else {})
+    return {k: np.where(bad, np.nan, v) for k, v in out.items()}
+
+
+def _isometric(lat, e: Ellipsoid):
+    s, c = _sincosd(lat)
+    ec = np.sqrt(e.e2)
+    with np.errstate(divide="ignore"):
+        return np.arcsinh(s / np.maximum(c, 1e-300)) - ec * np.arctanh(ec * s)
+
+
+def _meridian(lat1, lat2, e: Ellipsoid):
+    """Metres along a meridian."""
+    g = lambda t: e.a * (1 - e.e2) / (1 - e.e2 * np.sin(t) ** 2) ** 1.5
+    return _integral(g, np.radians(lat1), np.radians(lat2))
+
+
+def rhumb_inverse(lat1, lon1, lat2, lon2, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """azi12 and s12 of the shorter rhumb line (eastward if both are)."""
+    lat1, lon1, lat2, lon2 = (np.atleast_1d(np.asarray(v, np.float64)) for v in (lat1, lon1, lat2, lon2))
+    lam = np.remainder(lon2 - lon1 + 180, 360.0) - 180
+    lam = np.radians(np.where(lam == -180, 180.0, lam))
+    psi = _isometric(lat2, e) - _isometric(lat1, e)
+    along = _meridian(lat1, lat2, e)
+    s, c = _sincosd((lat1 + lat2) / 2)
+    flat = np.abs(lat2 - lat1) < 1e-7
+    ratio = np.where(flat, e.a * c / np.sqrt(1 - e.e2 * s * s), along / np.where(psi == 0, 1, psi))
+    return {"azi12": np.degrees(np.arctan2(lam, psi)), "s12": np.hypot(lam, psi) * ratio}
+
+
+def rhumb_direct(lat1, lon1, azi12, s12, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """lat2 and lon2 (-180 to 180); NaN if the line would go over a pole."""
+    lat1, lon1, azi12, s12 = (np.atleast_1d(np.asarray(v, np.float64)) for v in (lat1, lon1, azi12, s12))
+    sa, ca = _sincosd(azi12)
+    lat2 = lat1 + np.degrees(s12 * ca / e.a)
+    for _ in range(8):
+        s = np.sin(np.radians(np.clip(lat2, -90, 90)))
+        lat2 = lat2 + np.degrees((s12 * ca - _meridian(lat1, lat2, e)) * (1 - e.e2 * s * s) ** 1.5 / (e.a * (1 - e.e2)))
+    over = np.abs(lat2) > 90
+    lat2 = np.where(over, np.nan, lat2)
+    psi = _isometric(np.where(over, 0, lat2), e) - _isometric(lat1, e)
+    s, c = _sincosd((lat1 + np.where(over, 0, lat2)) / 2)
+    flat = np.abs(lat2 - lat1) < 1e-7
+    lam = np.where(flat, s12 * sa * np.sqrt(1 - e.e2 * s * s) / (e.a * np.maximum(c, 1e-300)), psi * sa / np.where(ca == 0, 1, ca))
+    lon = lon1 + np.degrees(lam)
+    return {"lat2": lat2, "lon2": np.where(over, np.nan, lon - 360 * np.rint(lon / 360))}
+
+
+# Krueger's series for the transverse Mercator projection, coefficients of n, n^2, ..., n^6.
+FORWARD = (
+    (1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800),
+    (0, 13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360),
+    (0, 0, 61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440),
+    (0, 0, 0, 49561 / 161280, -179 / 168, 6601661 / 7257600),
+    (0, 0, 0, 0, 34729 / 80640, -3418889 / 1995840),
+    (0, 0, 0, 0, 0, 212378941 / 319334400),
+)
+
+
+def _tm_constants(e: Ellipsoid) -> tuple[float, list[float]]:
+    n = e.n
+    radius = e.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
+    return radius, [sum(c * n ** (k + 1) for k, c in enumerate(row)) for row in FORWARD]
+
+
+def transverse_mercator(lon0, lat, lon, k0: float = 1.0, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """x, y about the equator on the meridian lon0, with convergence gamma (degrees) and scale k; within 90 degrees of lon0."""
+    lat, lam = np.asarray(lat, np.float64), np.radians(np.remainder(np.asarray(lon, np.float64) - lon0 + 180, 360.0) - 180)
+    radius, alpha = _tm_constants(e)
+    chi = np.arctan(np.sinh(_isometric(lat, e)))
+    xi, eta = np.arctan2(np.tan(chi), np.cos(lam)), np.arcsinh(np.sin(lam) / np.hypot(np.tan(chi), np.cos(lam)))
+    z = xi + 1j * eta
+    w = z + sum(a * np.sin(2 * (j + 1) * z) for j, a in enumerate(alpha))
+    d = 1 + sum(2 * (j + 1) * a * np.cos(2 * (j + 1) * z) for j, a in enumerate(alpha))
+    s, _ = _sincosd(lat)
+    gamma = np.arctan2(np.tan(chi) * np.sin(lam), np.cos(lam) * np.hypot(1, np.tan(chi))) - np.angle(d)
+    scale = np.abs(d) * np.sqrt(1 - e.e2 * s * s) * np.hypot(1, np.tan(np.radians(lat))) / np.hypot(np.tan(chi), np.cos(lam)) * radius / e.a
+    return {"x": k0 * radius * w.imag, "y": k0 * radius * w.real, "gamma": np.degrees(gamma), "k": k0 * scale}
+
+
+def transverse_mercator_reverse(lon0, x, y, k0: float = 1.0, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """lat, lon of a projected point, by Newton's method on the series and on the conformal latitude."""
+    radius, alpha = _tm_constants(e)
+    w = (np.asarray(y, np.float64) + 1j * np.asarray(x, np.float64)) / (k0 * radius)
+    z = w.copy()
+    for _ in range(6):
+        f = z + sum(a * np.sin(2 * (j + 1) * z) for j, a in enumerate(alpha)) - w
+        z = z - f / (1 + sum(2 * (j + 1) * a * np.cos(2 * (j + 1) * z) for j, a in enumerate(alpha)))
+    lam = np.arctan2(np.sinh(z.imag), np.cos(z.real))
+    psi = np.arcsinh(np.sin(z.real) / np.hypot(np.sinh(z.imag), np.cos(z.real)))
+    ec, s = np.sqrt(e.e2), np.tanh(psi)
+    for _ in range(8):
+        s = np.tanh(psi + ec * np.arctanh(ec * s))
+    lon = np.degrees(lam) + lon0
+    return {"lat": np.degrees(np.arctan(np.sinh(psi + ec * np.arctanh(ec * s)))), "lon": lon - 360 * np.rint(lon / 360)}
