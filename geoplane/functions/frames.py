@@ -18,13 +18,25 @@ def geocentric(lat: Column, lon: Column, h: Column, e: Ellipsoid = WGS84) -> Col
 
 def geodetic(x: Column, y: Column, z: Column, e: Ellipsoid = WGS84) -> Column:
     """Struct lat, lon, h of a geocentric point, by two rounds of Bowring's formula (for points not near the centre)."""
-    p, second = F.hypot(x, y), e.e2 / (1 - e.e2)
-    beta = F.atan2(z, (1 - e.f) * p)
-    for _ in range(2):
-        phi = F.atan2(z + second * e.b * F.pow(F.sin(beta), 3), p - e.e2 * e.a * F.pow(F.cos(beta), 3))
-        beta = F.atan2((1 - e.f) * F.sin(phi), F.cos(phi))
-    h = p * F.cos(phi) + z * F.sin(phi) - e.a * F.sqrt(1 - e.e2 * F.sin(phi) * F.sin(phi))
-    return F.struct(F.degrees(phi).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), h.alias("h"))
+    second = e.e2 / (1 - e.e2)
+
+    def start(s: Column) -> Column:
+        p = F.hypot(s["x"], s["y"])
+        return F.struct(p.alias("p"), s["z"].alias("z"), F.atan2(s["y"], s["x"]).alias("lam"), F.atan2(s["z"], (1 - e.f) * p).alias("beta"), F.lit(0.0).alias("phi"))
+
+    def round_(s: Column) -> Column:
+        phi = F.atan2(s["z"] + second * e.b * F.pow(F.sin(s["beta"]), 3), s["p"] - e.e2 * e.a * F.pow(F.cos(s["beta"]), 3))
+        return F.struct(s["p"].alias("p"), s["z"].alias("z"), s["lam"].alias("lam"), F.atan((1 - e.f) * F.tan(phi)).alias("beta"), phi.alias("phi"))
+
+    def end(s: Column) -> Column:
+        sp, cp = F.sin(s["phi"]), F.cos(s["phi"])
+        h = s["p"] * cp + s["z"] * sp - e.a * F.sqrt(1 - e.e2 * sp * sp)
+        return F.struct(F.degrees(s["phi"]).alias("lat"), F.degrees(s["lam"]).alias("lon"), h.alias("h"))
+
+    one = F.array(F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    for step in (start, round_, round_, end):  # an array of one row gives each step's result a name
+        one = F.transform(one, step)
+    return F.get(one, F.lit(0))
 
 
 def local_cartesian(lat: Column, lon: Column, h: Column, lat0: float, lon0: float, h0: float, e: Ellipsoid = WGS84) -> Column:
