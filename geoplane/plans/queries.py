@@ -185,7 +185,7 @@ select id, tile, tile || lpad(cast(x % 60 as varchar), 2, '0') || lpad(cast(y %
     "geohash_codes": f"with {PTS} select id, {_hash()} as geohash, round(floor((lat + 90) / 180 * {2**20}) * 180 / {2**20} + 90.0 / {2**20} - 90, 2) as lat2, round(floor({_EAST} / 360 * {2**20}) * 360 / {2**20} + 180.0 / {2**20} - 180, 2) as lon2 from p",
     "utm_zones": f"with {PTS}, x as (select id, lat, cast(floor(lon) as int) as ix from p), z as (select id, lat, {_ZONE} as zone from x) select id, zone, case when zone = 0 then case when lat >= 0 then 32661 else 32761 end else case when lat >= 0 then 32600 else 32700 end + zone end as epsg from z",
     "geocentric_points": f"with {PTS}, {_XYZ.replace('H', '100.0')} select id, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from g",
-    "geodetic_points": f"with {PTS} select id, round(lat, 6) as lat2, round(lon, 6) as lon2, 100.0 as h from p",
+    "geodetic_points": f"with {PTS} select id, round(lat, 6) as lat2, round(case when lon = -180 then 180 else lon end, 6) as lon2, cast(100.0 as double) as h from p",
     "auxiliary_latitudes": f"with {PTS} select id, round(degrees(atan({1 - FL!r} * tan(radians(lat)))), 6) as beta, round(degrees(atan({(1 - FL) ** 2!r} * tan(radians(lat)))), 6) as theta, round(degrees(atan((exp({_PSI}) - exp(-{_PSI})) / 2)), 6) as chi, round(degrees({_PSI}), 6) as psi from p",
     "curvature_radii": f"with {PTS}, w as (select id, lat, 1 - {E2!r} * sin(radians(lat)) * sin(radians(lat)) as w from p) select id, round({A!r} * cos(radians(lat)) / sqrt(w), 3) as circle, round({A * (1 - E2)!r} / pow(w, 1.5), 3) as meridional, round({A!r} / sqrt(w), 3) as transverse from w",
 }
