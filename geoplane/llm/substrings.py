@@ -125,7 +125,7 @@ def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> D
     return docs.mapInArrow(run, BLOB)
 
 
-MARKS = "doc_id bigint, key bigint, whole array<bigint>, part_at array<bigint>, part_gram array<bigint>"
+MARKS = "doc_id bigint, key bigint, at bigint, gram bigint"
 
 
 def _marks(blobs: DataFrame, parts: int) -> DataFrame:
@@ -159,75 +159,57 @@ def _marks(blobs: DataFrame, parts: int) -> DataFrame:
             kinds = np.bincount(of, new_s) if len(g) else np.zeros(0)
             least, most = (np.minimum.reduceat(d, np.flatnonzero(new_g)), np.maximum.reduceat(d, np.flatnonzero(new_g))) if len(g) else (d, d)
             some = ~whole & (kinds[of] > 1) & (most[of] != least[of])
-            yield from by_doc(np.concatenate([np.flatnonzero(sure), todo[whole]]), todo[some], ids, keys, at, gram)
-
-    def by_doc(whole, some, ids, keys, at, gram) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([whole, some])
-        is_some = np.repeat([0, 1], [len(whole), len(some)])
-        order = np.lexsort((is_some, keys[rows], ids[rows]))
-        rows, is_some = rows[order], is_some[order]
-        if not len(rows):
-            return
-        new = np.ones(len(rows), bool)
-        new[1:] = (ids[rows[1:]] != ids[rows[:-1]]) | (keys[rows[1:]] != keys[rows[:-1]])
-        first = np.flatnonzero(new)
-        n_some = np.add.reduceat(is_some, first)
-        n_all = np.diff(np.concatenate([first, [len(rows)]]))
-        lists = lambda n, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(v))
-        w, s = rows[is_some == 0], rows[is_some == 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows[first]]), pa.array(keys[rows[first]]), lists(n_all - n_some, at[w]), lists(n_some, at[s]), lists(n_some, gram[s])], ["doc_id", "key", "whole", "part_at", "part_gram"]
-        )
+            rows = np.concatenate([np.flatnonzero(sure), todo[whole], todo[some]])
+            known = np.arange(len(rows)) < len(rows) - int(some.sum())
+            for k in range(0, len(rows), 1 << 17):
+                r, w = rows[k : k + (1 << 17)], known[k : k + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r]), pa.array(at[r]), pa.array(gram[r], mask=w)], ["doc_id", "key", "at", "gram"])
 
     found = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, MARKS)
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return found.groupBy("doc_id", "key").agg(flat("whole"), flat("part_at"), flat("part_gram"))
-
-
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffixes of the strings of ``text`` (each with its end's place in ``ends``) in order, by doubling of sorted prefixes."""
-    n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))  # ends are less than any byte, and all different
-    step = 1
+    some = F.when(F.col("gram").isNotNull(), F.struct("at", "gram"))
+    found = found.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("gram").isNull(), F.col("at"))).alias("whole"), F.collect_list(some).alias("some"))
+    return found.select("doc_id", "key", "whole", F.col("some.at").alias("part_at"), F.col("some.gram").alias("part_gram"))
+
+
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of ``text`` in order of their first ``depth`` bytes at least, by doubling of sorted prefixes."""
+    n, step = len(text), 7
+    padded = np.concatenate([text.astype(np.int64), np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << 8 | padded[k : k + n]
     while True:
-        after = np.full(n, -1, np.int64)
-        after[:-step] = rank[step:]
-        key = rank * (max(n, 256 + len(ends)) + 2) + after + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        step *= 2
-        if rank[order[-1]] == n - 1 or step >= n:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if n else key
+        if step >= depth or step >= n or rank[order[-1]] == n - 1:
             return order
+        after = np.zeros(n, np.int64)
+        after[:-step] = rank[step:] + 1
+        key = rank * (n + 1) + after
+        step *= 2
 
 
-def prefix_classes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Where, in the order of suffixes, the next common prefix is less than ``length`` bytes: the first rows of the classes.
+def prefix_classes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Where a suffix, in order, has fewer than ``length`` bytes in common with the one before: the first rows of the classes.
 
-    Intervals of the transform are expanded by one byte before, level by level: on level l these are the intervals of
-    all strings of l bytes, and an end that no shorter string has set has a common prefix of l - 1 with what follows.
-    An interval whose end is set already is not expanded further. Levels stop at ``length``: where no end is set by
-    then, suffixes share that many bytes.
+    Intervals of the transform (the byte before each suffix, in order) are expanded by that byte, level by level: on
+    level l they are the intervals of all strings of l bytes, and an end that no shorter string has set has l - 1
+    bytes in common with what follows. An interval whose end is set already is not expanded further. Levels stop at
+    ``length``: where no end is set by then, suffixes share that many bytes. Suffixes that end within ``length``
+    bytes may fall into any class.
     """
     n = len(order)
-    before = text[order - 1].astype(np.int64)
-    before[order == 0] = text[-1]
-    before[np.isin(order - 1, ends) | (order == 0)] = -1  # what precedes a string's start is its own and no one else's
     inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
-    to = inverse[np.where(order == 0, n - 1, order - 1)]  # the row of the suffix that is one byte longer
+    inverse[order] = np.arange(n, dtype=np.int64)
+    before, to = text[order - 1], inverse[order - 1]  # the row of the suffix that is one byte longer
     starts = np.zeros(n + 1, bool)
     starts[0] = starts[n] = True
-    interval = np.zeros(n, np.int64)  # of the rows that still are in an interval, its number
-    rows = np.arange(n)
-    for level in range(length):
+    rows, interval = np.arange(n), np.zeros(n, np.int64)
+    for _ in range(length):
         byte, rows = before[rows], to[rows]
-        ok = byte >= 0
-        rows, interval, byte = rows[ok], interval[ok], byte[ok]
-        if not len(rows):
-            break
-        sort = np.argsort(rows, kind="stable")
+        sort = np.argsort(rows)
         rows, interval, byte = rows[sort], interval[sort], byte[sort]
         new = np.ones(len(rows), bool)
         new[1:] = (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1]) | (rows[1:] != rows[:-1] + 1)
@@ -238,9 +220,8 @@ def prefix_classes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, length
         number = np.cumsum(new) - 1
         keep = unset[number]
         rows, interval = rows[keep], number[keep]
-        if level == 0:  # each string's end is a byte of its own
-            starts[inverse[ends] + 1] = True
-            rows, interval = np.concatenate([rows, inverse[ends]]), np.concatenate([interval, len(number) + np.arange(len(ends))])
+        if not len(rows):
+            break
     return starts[:n]
 
 
@@ -249,8 +230,8 @@ def shared_starts(segments: list[bytes], docs: np.ndarray, length: int = LENGTH)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
     text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     ends = np.cumsum(sizes) - 1
-    order = suffix_order(text, ends)
-    first = np.flatnonzero(prefix_classes(text, ends, order, length))
+    order = suffix_order(text, length)
+    first = np.flatnonzero(prefix_classes(text, order, length))
     own = np.repeat(np.arange(len(segments)), sizes)[order]
     left = ends[own] - order
     doc = np.where(left >= length, docs[own], np.iinfo(np.int64).max)
