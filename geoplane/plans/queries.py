@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import angles, frames, grids
+from ..functions import angles, frames, grids, planes
 from ..functions.ellipsoid import WGS84
 from ..operators import geodesics, neighbours, projections
 
@@ -137,11 +137,33 @@ def nearest_pairs(spark, sf_dir):
     return neighbours.nearest_join(a, b, "id", "s_id", 3).select("id", "s_id", "rank", _r(F.col("distance"), "distance", 3))
 
 
+def mercator_points(spark, sf_dir):
+    p = planes.mercator(F.col("lat"), F.col("lon"))
+    c = planes.cylindrical_equal_area(F.col("lat"), F.col("lon"), 30.0)
+    return _customers(spark, sf_dir).select("id", _r(p["x"], "x", 3), _r(p["y"], "y", 3), _r(c["x"], "equal_x", 3), _r(c["y"], "equal_y", 3))
+
+
+def ups_points(spark, sf_dir):
+    p = planes.ups(F.col("lat"), F.col("lon"))
+    return _customers(spark, sf_dir).select("id", p["north"].alias("north"), _r(p["easting"], "easting", 3), _r(p["northing"], "northing", 3))
+
+
+def conic_points(spark, sf_dir):
+    p = planes.lambert_conformal(F.col("lat"), F.col("lon"), 39 + 56 / 60, 40 + 58 / 60, -77.75)
+    c = planes.albers_equal_area(F.col("lat"), F.col("lon"), 29.5, 45.5, 23.0, -96.0)
+    return _customers(spark, sf_dir).select("id", _r(p["x"], "x", 3), _r(p["y"], "y", 3), _r(p["k"], "k"), _r(c["x"], "equal_x", 3), _r(c["y"], "equal_y", 3))
+
+
+def mgrs_codes(spark, sf_dir):
+    return _customers(spark, sf_dir).select("id", projections.mgrs(F.col("lat"), F.col("lon")).alias("mgrs"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         geodesic_inverse, geodesic_direct, geodesic_waypoints, rhumb_lines, utm_points, track_length, polygon_area, radius_pairs, nearest_pairs, angle_normalize, angle_trig, dms_text,
         dms_round_trip, gars_codes, georef_codes, geohash_codes, utm_zones, geocentric_points, geodetic_points, local_points, auxiliary_latitudes, curvature_radii,
+        mercator_points, ups_points, conic_points, mgrs_codes,
     )
 }
 
@@ -170,6 +192,12 @@ def _hash() -> str:
     return " || ".join(letters)
 
 
+_EC = E2**0.5
+_TN = lambda x: f"(tan(radians((90 - {x}) / 2)) * exp({_EC!r} * atanh({_EC!r} * sin(radians({x})))))"
+_QN = lambda x: f"({1 - E2!r} * (sin(radians({x})) / (1 - {E2!r} * pow(sin(radians({x})), 2)) + atanh({_EC!r} * sin(radians({x}))) / {_EC!r}))"
+_M = lambda x: f"(cos(radians({x})) / sqrt(1 - {E2!r} * pow(sin(radians({x})), 2)))"
+_RHO = f"{2 * A * 0.994 / ((1 + _EC) ** (1 + _EC) * (1 - _EC) ** (1 - _EC)) ** 0.5!r} * {_TN('abs(lat)')}"
+_P1, _P2 = repr(39 + 56 / 60), repr(40 + 58 / 60)
 _ZONE = """case when lat < -80 or lat >= 84 then 0
   when cast(floor((floor(lat) + 80) / 8) as int) = 17 and ix between 3 and 5 then 32
   when lat >= 72 and ix between 0 and 41 then 2 * ((ix + 183) // 12) + 1 else (ix + 186) // 6 end"""
@@ -188,4 +216,10 @@ select id, tile, tile || lpad(cast(x % 60 as varchar), 2, '0') || lpad(cast(y %
     "geodetic_points": f"with {PTS} select id, round(lat, 6) as lat2, round(case when lon = -180 then 180 else lon end, 6) as lon2, cast(100.0 as double) as h from p",
     "auxiliary_latitudes": f"with {PTS} select id, round(degrees(atan({1 - FL!r} * tan(radians(lat)))), 6) as beta, round(degrees(atan({(1 - FL) ** 2!r} * tan(radians(lat)))), 6) as theta, round(degrees(atan((exp({_PSI}) - exp(-{_PSI})) / 2)), 6) as chi, round(degrees({_PSI}), 6) as psi from p",
     "curvature_radii": f"with {PTS}, w as (select id, lat, 1 - {E2!r} * sin(radians(lat)) * sin(radians(lat)) as w from p) select id, round({A!r} * cos(radians(lat)) / sqrt(w), 3) as circle, round({A * (1 - E2)!r} / pow(w, 1.5), 3) as meridional, round({A!r} / sqrt(w), 3) as transverse from w",
+    "mercator_points": f"with {PTS} select id, round({A!r} * radians(lon), 3) as x, round(-{A!r} * ln({_TN('lat')}), 3) as y, round({A!r} * {_M('30.0')} * radians(lon), 3) as equal_x, round({A!r} * {_QN('lat')} / (2 * {_M('30.0')}), 3) as equal_y from p",
+    "ups_points": f"with {PTS}, r as (select id, lat, lon, {_RHO} as rho from p) select id, lat >= 0 as north, round(2000000 + rho * sin(radians(lon)), 3) as easting, round(2000000 - case when lat >= 0 then 1 else -1 end * rho * cos(radians(lon)), 3) as northing from r",
+    "conic_points": f"""with {PTS}, l as (select ln({_M(_P1)} / {_M(_P2)}) / ln({_TN(_P1)} / {_TN(_P2)}) as n, (pow({_M('29.5')}, 2) - pow({_M('45.5')}, 2)) / ({_QN('45.5')} - {_QN('29.5')}) as m),
+c as (select n, m, {A!r} * {_M(_P1)} / n / pow({_TN(_P1)}, n) as size, pow({_M('29.5')}, 2) + m * {_QN('29.5')} as c from l),
+r as (select id, lat, n, m, size * pow({_TN('lat')}, n) as rho, size * pow({_TN('degrees(asin(n))')}, n) as rho0, {A!r} / m * sqrt(c - m * {_QN('lat')}) as s, {A!r} / m * sqrt(c - m * {_QN('23.0')}) as s0, {_N('(lon + 77.75)')} as lam, {_N('(lon + 96.0)')} as mu from p, c)
+select id, round(rho * sin(radians(n * lam)), 3) as x, round(rho0 - rho * cos(radians(n * lam)), 3) as y, round(rho * n / ({A!r} * {_M('lat')}), 6) as k, round(s * sin(radians(m * mu)), 3) as equal_x, round(s0 - s * cos(radians(m * mu)), 3) as equal_y from r""",
 }

@@ -4,9 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from geoplane.functions import kernels
+from pyspark.sql import functions as F
+
+from geoplane.functions import kernels, planes
 from geoplane.functions.ellipsoid import WGS84
-from geoplane.operators import geodesics, neighbours
+from geoplane.operators import geodesics, neighbours, projections
 from geoplane.plans import queries
 from geoplane.sources.lines import parse_points, stream_points
 
@@ -97,3 +99,23 @@ def test_lines(spark, tmp_path):
     query = stream_points(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("streamed").count() == 3
+
+
+def test_planes(spark):
+    df = spark.createDataFrame([(39.95, -75.17), (90.0, 20.0), (-90.0, 20.0), (-60.0, 100.0), (84.5, -170.0), (None, 1.0)], "lat double, lon double")
+    lat, lon = F.col("lat"), F.col("lon")
+    u, m = planes.polar_stereographic(lat >= 0, lat, lon), planes.mercator(lat, lon)
+    back = planes.polar_stereographic_reverse(lat >= 0, F.col("u.x"), F.col("u.y"))
+    got = df.withColumn("u", u).withColumn("m", m).select("*", planes.lambert_conformal(lat, lon, 40 + 58 / 60, 39 + 56 / 60, -77.75).alias("c"), back.alias("b"), planes.mercator_reverse(F.col("m.x"), F.col("m.y")).alias("w")).collect()
+    c = got[0].c
+    assert (round(c.x), round(c.y), round(c.gamma, 2), round(c.k, 1)) == (220445, -52372, 1.67, 1.0)
+    for r in got[:5]:
+        assert r.b.lat == pytest.approx(r.lat, abs=1e-8)
+        assert abs(r.lat) == 90 or r.b.lon == pytest.approx(r.lon, abs=1e-9)
+        assert r.m is None if abs(r.lat) == 90 else (r.w.lat, r.w.lon) == pytest.approx((r.lat, r.lon), abs=1e-9)
+    assert got[1].u.x == 0 and got[1].u.k == 0.994 and got[2].c is None and got[1].c.k is None
+
+
+def test_mgrs(spark):
+    df = spark.createDataFrame([(33.33424, 44.40363), (33 + 1 / 3, 44.4), (0.0, 3.0), (85.0, 0.0), (None, 0.0)], "lat double, lon double")
+    assert [r[0] for r in df.select(projections.mgrs(F.col("lat"), F.col("lon"), 2)).collect()] == ["38SMB4488", "38SMB4488", "31NEA0000", None, None]
