@@ -25,7 +25,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """The anchors of texts: arrays (text number, first start, last start, hash of its gram and place, hash of its segment).
+    """The anchors of texts: arrays (text number, first start, last start, hash of its gram and place, hash of its segment, place in the segment).
 
     The anchor of a string of ``length`` bytes is its ``gram`` bytes of least hash, the leftmost if tied. So equal
     strings have equal anchors at the same place. An anchor has a row for the run of starts whose strings it anchors;
@@ -36,7 +36,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     ends = np.cumsum(sizes)
     power = np.full(len(data), BASE)
     power[0] = 1
@@ -76,16 +76,16 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     place = places[at[first]]
     segment = _mixed((total[last + length] - total[first]) * back[first] + (last - first).astype(np.uint64) * BASE + (place - first).astype(np.uint64))
     base = (ends - sizes)[own]
-    return own, first - base, last - base, hashed[place], segment
+    return own, first - base, last - base, hashed[place], segment, place - first
 
 
-BLOB = "part int, docs array<bigint>, keys array<bigint>, gram array<bigint>, segment array<bigint>, doc array<int>, start array<int>, sure boolean"
-_LISTS = {"docs": pa.int64(), "keys": pa.int64(), "gram": pa.int64(), "segment": pa.int64(), "doc": pa.int32(), "start": pa.int32()}
+BLOB = "part int, docs array<bigint>, keys array<bigint>, gram array<bigint>, segment array<bigint>, doc array<int>, start array<int>, place array<tinyint>, sure boolean"
+_LISTS = {"docs": pa.int64(), "keys": pa.int64(), "gram": pa.int64(), "segment": pa.int64(), "doc": pa.int32(), "start": pa.int32(), "place": pa.int8()}
 
 
-def _blob(part: int, docs, keys, gram, segment, doc, start, sure: bool) -> pa.RecordBatch:
+def _blob(part: int, docs, keys, gram, segment, doc, start, place, sure: bool) -> pa.RecordBatch:
     used, doc = np.unique(doc, return_inverse=True)
-    values = [docs[used], keys[used], gram.view(np.int64), segment.view(np.int64), doc.astype(np.int32), start.astype(np.int32)]
+    values = [docs[used], keys[used], gram.view(np.int64), segment.view(np.int64), doc.astype(np.int32), start.astype(np.int32), place.astype(np.int8)]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t)) for v, t in zip(values, _LISTS.values())]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists, pa.array([sure])], ["part", *_LISTS, "sure"])
 
@@ -107,20 +107,20 @@ def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> D
                     start, size = i + 1, 0
 
     def packed(ids, keys, texts) -> Iterator[pa.RecordBatch]:
-        own, first, last, hashed, segment = anchors(texts, length, gram)
+        own, first, last, hashed, segment, place = anchors(texts, length, gram)
         segment = segment & ~np.uint64(63) | (last - first).astype(np.uint64)
         order = np.lexsort((ids[own], segment, hashed))
-        own, first, hashed, segment = own[order], first[order], hashed[order], segment[order]
+        own, first, hashed, segment, place = own[order], first[order], hashed[order], segment[order], place[order]
         new = np.ones(len(own), bool)
         new[1:] = (hashed[1:] != hashed[:-1]) | (segment[1:] != segment[:-1])
         least = ids[own][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))] if len(own) else ids[:0]
         sure = ids[own] > least
         part_of = (hashed % np.uint64(parts)).astype(np.int64)
         if sure.any():
-            yield _blob(int(first[-1] + len(texts)) % parts, ids, keys, hashed[sure], segment[sure], own[sure], first[sure], True)
+            yield _blob(int(first[-1] + len(texts)) % parts, ids, keys, hashed[sure], segment[sure], own[sure], first[sure], place[sure], True)
         for p in np.unique(part_of[~sure]).tolist():
             on = ~sure & (part_of == p)
-            yield _blob(p, ids, keys, hashed[on], segment[on], own[on], first[on], False)
+            yield _blob(p, ids, keys, hashed[on], segment[on], own[on], first[on], place[on], False)
 
     return docs.mapInArrow(run, BLOB)
 
@@ -131,7 +131,7 @@ MARKS = "doc_id bigint, key bigint, at bigint, gram bigint"
 def _marks(blobs: DataFrame, parts: int) -> DataFrame:
     """For documents: starts of segments that an earlier document has whole, and of those that it may share strings with.
 
-    A start s of n + 1 strings is packed as s * 64 + n. Rows are sorted by gram, segment and doc: a segment that
+    A start s of n + 1 strings is packed as s * 64 + n; of the second kind, 64 times that plus the gram's place. Rows are sorted by gram, segment and doc: a segment that
     isn't of its least document is whole; the one of the least document may share strings with others of its gram.
     """
 
@@ -146,7 +146,7 @@ def _marks(blobs: DataFrame, parts: int) -> DataFrame:
             ids, keys = column(part, "docs")[doc], column(part, "keys")[doc]
             gram, segment, start = column(part, "gram"), column(part, "segment"), column(part, "start").astype(np.int64)
             sure = np.repeat(np.array(part.column("sure").to_pylist(), bool), counts[1])
-            at = start * 64 + (segment & 63)
+            at, place = start * 64 + (segment & 63), column(part, "place").astype(np.int64)
             todo = np.flatnonzero(~sure)
             todo = todo[np.lexsort((ids[todo], segment[todo], gram[todo]))]
             g, s, d = gram[todo], segment[todo], ids[todo]
@@ -163,7 +163,8 @@ def _marks(blobs: DataFrame, parts: int) -> DataFrame:
             known = np.arange(len(rows)) < len(rows) - int(some.sum())
             for k in range(0, len(rows), 1 << 17):
                 r, w = rows[k : k + (1 << 17)], known[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r]), pa.array(at[r]), pa.array(gram[r], mask=w)], ["doc_id", "key", "at", "gram"])
+                packed = np.where(w, at[r], at[r] * 64 + place[r])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r]), pa.array(packed), pa.array(gram[r], mask=w)], ["doc_id", "key", "at", "gram"])
 
     found = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, MARKS)
     some = F.when(F.col("gram").isNotNull(), F.struct("at", "gram"))
@@ -240,7 +241,7 @@ def shared_starts(segments: list[bytes], docs: np.ndarray, length: int = LENGTH)
     return own[hit], order[hit] - (ends - sizes + 1)[own[hit]]
 
 
-SEGMENTS = "gram bigint, doc_id bigint, key bigint, start bigint, bytes binary"
+SEGMENTS = "gram bigint, doc_id bigint, key bigint, start bigint, place bigint, bytes binary"
 
 
 def _segments(marked: DataFrame, length: int) -> DataFrame:
@@ -252,14 +253,39 @@ def _segments(marked: DataFrame, length: int) -> DataFrame:
             at, gram = batch.column("part_at"), batch.column("part_gram")
             lengths = np.nan_to_num(at.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), lengths)
-            places, take = at.flatten().to_numpy(), pa.array(row)
-            cut = [texts[r][p >> 6 : (p >> 6) + (p & 63) + length] for r, p in zip(row.tolist(), places.tolist())]
-            yield pa.RecordBatch.from_arrays([gram.flatten(), batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(places >> 6), pa.array(cut, pa.binary())], ["gram", "doc_id", "key", "start", "bytes"])
+            packed, take = at.flatten().to_numpy(), pa.array(row)
+            start, more = packed >> 12, packed >> 6 & 63
+            cut = [texts[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), (start + more + length).tolist())]
+            yield pa.RecordBatch.from_arrays([gram.flatten(), batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(start), pa.array(packed & 63), pa.array(cut, pa.binary())], ["gram", "doc_id", "key", "start", "place", "bytes"])
 
     return marked.select("doc_id", "key", "text", "part_at", "part_gram").mapInArrow(run, SEGMENTS)
 
 
-def _shared(segments: DataFrame, length: int, limit: int) -> DataFrame:
+def may_share(segments: pa.Array, place: np.ndarray, grams: np.ndarray, docs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Which segments can have a string of ``length`` bytes in common with one of another doc.
+
+    A string has ``length`` - ``gram`` bytes beside its gram, so half of them at least are on one side: a partner
+    has the same gram and the same bytes there.
+    """
+    half = (length - gram + 1) // 2
+    offsets = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+    data = np.frombuffer(segments.buffers()[2], np.uint8)
+    weights = np.cumprod(np.full(half, BASE))
+    keep = np.zeros(len(segments), bool)
+    for at in (offsets[:-1] + place - half, offsets[:-1] + place + gram):
+        on = np.flatnonzero((at >= offsets[:-1]) & (at + half <= offsets[1:]))
+        if len(on):
+            beside = data[at[on, None] + np.arange(half)].astype(np.uint64)
+            key = _mixed((beside * weights).sum(axis=1, dtype=np.uint64)) + grams[on].view(np.uint64)
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            doc = docs[on][order]
+            mixed = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            keep[on[order]] |= np.repeat(mixed, np.diff(np.concatenate([first, [len(on)]])))
+    return keep
+
+
+def _shared(segments: DataFrame, length: int, gram: int, limit: int) -> DataFrame:
     """(doc_id, key, runs) of the strings that other segments of smaller documents have, as start * 64 + more starts."""
     keys = ["gram", "lo", "hi"]
     dealt = bounded_blocks(segments.withColumn("member", F.struct("doc_id", "start")), ["gram"], "member", limit).drop("member", "side")
@@ -276,6 +302,12 @@ def _shared(segments: DataFrame, length: int, limit: int) -> DataFrame:
             yield from found(pa.concat_tables(held))
 
     def found(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        able = may_share(
+            pa.concat_arrays(part.column("bytes").chunks), part.column("place").to_numpy(), part.column("gram").to_numpy(), part.column("doc_id").to_numpy(), length, gram
+        )
+        part = part.filter(pa.array(able))
+        if not part.num_rows:
+            return
         docs, start = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
         own, at = shared_starts(part.column("bytes").to_pylist(), docs, length)
         if len(own):
@@ -327,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     other; a row without doc_id neither loses bytes nor makes others lose any. kept is null without ``with_kept``.
 
     Strings meet by their anchors (``anchors``), which are 6 in 100 bytes. Segments that are equal are settled by
-    their hashes. Those of one anchor that differ are put in one text, whose Burrows-Wheeler transform gives the
+    their hashes. Those of one anchor that differ, and agree beside it (``may_share``), are put in one text, whose Burrows-Wheeler transform gives the
     classes of suffixes with ``length`` bytes in common, by expansion of intervals (``prefix_classes``). Many
     segments of one anchor are met in parts, see ``bounded_blocks``.
     """
@@ -341,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     some = marks.filter(F.size("part_at") > 0).select(*names, "part_at", "part_gram")
     segments = saved(_segments(docs.join(some, names), length), "segments")
     release(docs.sparkSession)
-    shared = saved(_shared(segments, length, limit), "shared")
+    shared = saved(_shared(segments, length, gram, limit), "shared")
     covered = saved(marks.select(*names, "whole").join(shared, names, "full"), "covered")
     release(docs.sparkSession)
     return _removed(docs.join(covered, names, "left"), length, with_kept)

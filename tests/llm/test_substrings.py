@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoplane.llm import substrings
@@ -60,6 +61,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert substrings.remove_repeats(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("length, gram", [(20, 6), (21, 6)])
+def test_no_sharing_segment_is_left_out(length, gram):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(60)).encode() for _ in range(60)]
+    texts += [t[: rng.randrange(30, 60)] + t[:5] for t in texts[:30]]
+    own, first, last, hashed, _, place = substrings.anchors(texts, length, gram)
+    segments = [texts[o][a : b + length] for o, a, b in zip(own, first, last)]
+    keep = substrings.may_share(pa.array(segments), place, hashed.view(np.int64), own, length, gram)
+    holders = {}
+    for k, s in enumerate(segments):
+        for i in range(len(s) - length + 1):
+            holders.setdefault(s[i : i + length], []).append(k)
+    sharing = {k for ks in holders.values() if len({own[k] for k in ks}) > 1 for k in ks}
+    assert sharing and sharing <= set(np.flatnonzero(keep)) and not keep.all()
+
+
 def test_classes_are_those_of_sorted_suffixes():
     rng = random.Random(4)
     segments = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))).encode() for _ in range(40)]
