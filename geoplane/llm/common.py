@@ -46,6 +46,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written with a column that numbers its rows, and the name of that column."""
+    name, taken = "_row", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

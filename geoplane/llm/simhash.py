@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_blocks, grouped, saved, table
+from .common import as_bytes, bounded_blocks, grouped, numbered, saved, table
 from .components import components
 
 BITS, BYTES = 3, 8
@@ -118,11 +118,18 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one document of each component: that of the least doc_id, once. Rows without doc_id stay if alone."""
-    found = near_duplicates(docs.select("doc_id", "text"), limit)
-    kept = found.filter("kept or component_id is null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    out = docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.filter("_n > 1").limit(1).count() else out
+    """``docs`` with one row of each component: that of the least doc_id, nulls last; of equal ones the first written.
+
+    Rows are told apart by a number that is written with them, so those of one doc_id or without doc_id don't go for each other's texts.
+    """
+    rows, row = numbered(docs)
+    fps = saved(fingerprints(rows.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", "_of"), "fingerprints")
+    ids = rows.select(F.col(row).alias("_of"), F.col("doc_id").cast("bigint").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_of")).alias("first")
+    classes = saved(fps.join(ids, "_of").groupBy("fp").agg(first), "classes")
+    roots = saved(components(linked(classes.select("fp"), limit)), "roots").withColumnRenamed("node", "fp")
+    kept = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(saved(kept.select(F.col("first._of").alias(row)), "kept"), row, "left_semi").drop(row)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
