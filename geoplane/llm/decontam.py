@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, table
+from .common import as_bytes, numbered, saved, table
 
 WINDOW = 10
 #: Words in a segment of the index, about, and words of the benchmark that are searched for in one pass, about.
@@ -121,13 +121,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) if n != "doc_ids" else batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segment: int, block: int) -> Iterator[tuple]:
-    """For each block of the benchmark (by the hash of item_id): the index, written, and a broadcast of its phrases and its terms' counts in the corpus."""
+def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segment: int, block: int, row: str | None = None) -> Iterator[tuple]:
+    """For each block of the benchmark (by the hash of item_id): the index, written, and a broadcast of its phrases and its terms' counts in the corpus.
+
+    ``row``: the column of ``docs``, written, that numbers its rows, if it has one."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint").alias("row"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), (F.col(row) if row else F.lit(0)).cast("bigint").alias("row"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("bigint"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).filter("item_id is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (BYTES_A_WORD * block)))
-    if blocks > 1:  # rows must be the same in all passes
+    if blocks > 1 and not row:  # rows must be the same in all passes
         docs = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
@@ -174,8 +176,10 @@ def _text(phrases: Phrases, w: int) -> list[bytes]:
 HITS = "doc_id bigint, row bigint, n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<bigint>"
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, runs, items) of each row of ``docs``: the word runs [a, b) inside occurring windows, and their items.
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, segment: int = SEGMENT, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """(doc_id, row, n_words, runs, items) of each row of ``docs``: the word runs [a, b) inside occurring windows, and their items.
+
+    ``row`` names a written column of row numbers; without it, what the result has as row tells nothing.
 
     Repeated rows give repeated rows. Items without item_id are left out; rows of one item_id are one item. The index
     is kept by document, in segments, so that no term's list, however common, meets in one task: queries go to the
@@ -183,7 +187,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, segment: i
     """
     kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.int64()))])
     parts = []
-    for index, shared in _indexed(docs, benchmark, window, 0, segment, block):
+    for index, shared in _indexed(docs, benchmark, window, 0, segment, block, row):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases, often = shared.value
@@ -201,15 +205,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, segment: i
 
         parts.append(index.mapInArrow(run, HITS))
     if len(parts) == 1:
-        return parts[0].drop("row")
+        return parts[0]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.groupBy("row").agg(
+    return every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return every.drop("row")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,9 +238,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; rows without doc_id stay."""
-    bad = saved(contamination(docs, benchmark).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_id"], "left_anti")
+    """``docs`` without the rows that hold a window of the benchmark; each row goes by its own text, whatever its doc_id."""
+    rows, row = numbered(docs)
+    bad = saved(hits(rows, benchmark, row=row).filter(F.size("items") > 0).select(F.col("row").alias(row)), "contaminated")
+    return rows.join(bad, row, "left_anti").drop(row)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
