@@ -81,16 +81,17 @@ def index_segments(docs: DataFrame, terms, gap: int, segment: int = SEGMENT) ->
 _SCHEMA = pa.schema([(n, pa.list_(pa.int32() if t == "int" else pa.int64())) for n, t in (x.replace("array<", "").replace(">", "").split() for x in INDEX.split(", "))])
 
 
-def find(window: np.ndarray, postings: dict[int, np.ndarray], often: np.ndarray, slop: int) -> np.ndarray:
-    """Places where ``window`` starts: lists less their offset are intersected, from the rarest term on.
+def find(window: np.ndarray, postings: dict[int, np.ndarray], often: np.ndarray, slop: int) -> tuple[np.ndarray, int]:
+    """Places where ``window`` starts, and the offset of its rarest term: lists less their offset are intersected, from the rarest term on.
 
-    With a slop, the rarest term must be at its place, and any other within ``slop`` words of its own.
+    With a slop, the rarest term must be at its place, and any other within ``slop`` words of its own. A start can
+    then lie before the document, but its rarest term is in it.
     """
-    starts = None
+    starts, anchor = None, 0
     for o in sorted(np.flatnonzero(window >= 0).tolist(), key=lambda o: (often[window[o]], o)):
         near = postings[int(window[o])].astype(np.int64) - o
         if starts is None:
-            starts = near
+            starts, anchor = near, o
         else:
             i = np.searchsorted(near, starts - slop)
             ok = i < len(near)
@@ -98,7 +99,7 @@ def find(window: np.ndarray, postings: dict[int, np.ndarray], often: np.ndarray,
             starts = starts[ok]
         if not len(starts):
             break
-    return starts
+    return starts, anchor
 
 
 def _matches(segment: dict, phrases: Phrases, often: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -109,9 +110,9 @@ def _matches(segment: dict, phrases: Phrases, often: np.ndarray, slop: int) -> I
     present[segment["terms"]] = present[-1] = True  # -1 fills up short windows
     bases = segment["bases"]
     for w in np.flatnonzero(present[phrases.windows].all(axis=1)).tolist():
-        starts = find(phrases.windows[w], lists, often, slop)
+        starts, anchor = find(phrases.windows[w], lists, often, slop)
         if len(starts):
-            doc = np.searchsorted(bases, starts, side="right") - 1
+            doc = np.searchsorted(bases, starts + anchor, side="right") - 1
             yield w, doc, starts - bases[doc]
 
 
@@ -145,7 +146,8 @@ def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, segm
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, window, start): where windows of items are in documents, exact (slop 0) or in proximity.
 
-    start: the word of the document, from 0, where the window starts by its rarest word. A document or item that is
+    start: the word of the document, from 0, where the window starts by its rarest word; in proximity it can be less
+    than 0, if words that should come before that one come after it. A document or item that is
     null has no words; an item of fewer words than ``window``, but not none, is one window.
     """
     out = None
