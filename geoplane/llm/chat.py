@@ -22,9 +22,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     t = turns.filter("conv_id is not null").select(
         F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # only hashes are sorted and shuffled here; equal (turn, role) pairs are set in order by their texts' hashes
-    t = t.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("h1"), F.xxhash64("text", F.lit(7), "role").alias("h2"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "h1", "h2")
+    # texts are shuffled here too: they set turns of equal (turn, role) in order
+    t = t.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("h1"), F.xxhash64("text", F.lit(7), "role").alias("h2"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("k", F.row_number().over(w))
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     t = t.select(
