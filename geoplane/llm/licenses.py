@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
+from .license_digests import DIGESTS
 from .license_texts import TEXTS
 
 COPYRIGHT = r"(?m)^[ \t]*(copyright|copr\.|\(c\)|©|all rights reserved)[^\n]*$"
@@ -35,22 +36,31 @@ def known_digests(licenses: DataFrame) -> DataFrame:
     return found.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, licenses: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license_id) of each row of ``docs``: the license whose text is its whole text, else null.
 
     A text that is null, or that has nothing left in canonical form, has a null digest and matches nothing. Repeated
-    rows give repeated rows. Only digests are joined; Spark broadcasts those of ``licenses`` if they are few.
+    rows give repeated rows. Only digests are joined; Spark broadcasts those of ``licenses`` if they are few. ``digests`` (digest,
+    license_id) are known besides.
     """
+    known = known_digests(licenses)
+    if digests is not None:
+        known = known.unionByName(digests).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     digest = F.when(F.col("c") != "", F.sha2("c", 256)).alias("digest")
-    return docs.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", digest).join(known_digests(licenses), "digest", "left").select("doc_id", "digest", "license_id")
+    return docs.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", digest).join(known, "digest", "left").select("doc_id", "digest", "license_id")
 
 
 def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEXTS.items()), "license_id string, text string")
 
 
+def common(spark: SparkSession) -> DataFrame:
+    """(digest, license_id) of the forms that common licenses are given as, see ``license_variants``."""
+    return spark.createDataFrame(list(DIGESTS.items()), "digest string, license_id string")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), known(spark))
+    return scan(table(spark, sf_dir, "documents"), known(spark), common(spark))
 
 
 def _sql(text: str) -> str:
