@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ ALIKE = 0.5
 FOLDS, HELD_OUT, CACHE, PAIRS = 5, 0, 200_000, 1 << 15
 #: Words below this kernel with every landmark count as unlike all. Close characters; parts that long words are cut into; the mark of a word's start.
 LEAST, CLOSE, PIECE, START = 0.2, 3, 32, "^"
+NO_LETTERS = re.compile(r"[\W\d_]+")
 ENDS = ".,;:!?()[]{}\"'|*#&$%+-_=/<>~`"
 
 
@@ -68,17 +70,37 @@ def pair_masks(c: np.ndarray) -> np.ndarray:
 
 
 def pieces(word: str) -> list[str]:
-    """A word with a mark at its start, in overlapping parts if it is long."""
-    word = START + word.strip(ENDS)
-    return [word[i : i + PIECE] for i in range(0, max(1, len(word) - WIDTH + 1), PIECE - WIDTH + 1)]
+    """A word with a mark at its start, in overlapping parts if it is long; so too its letters alone, and every second character of it.
+
+    These readings find insults with marks, or with one character, between all their letters: the kernel of such gaps is too small.
+    """
+    word = word.strip(ENDS)
+    readings = [word]
+    if len(word) >= 2 * LENGTH - 1:
+        readings += [x for x in (NO_LETTERS.sub("", word), word[::2]) if LENGTH <= len(x) < len(word)]
+    return [w[i : i + PIECE] for w in (START + x for x in readings) for i in range(0, max(1, len(w) - WIDTH + 1), PIECE - WIDTH + 1)]
+
+
+def spelled(words: list[str]) -> list[str]:
+    """The words that runs of LENGTH or more single letters spell."""
+    out, run = [], ""
+    for w in (*words, ""):
+        letter = w.strip(ENDS)
+        if len(letter) == 1:
+            run += letter
+        else:
+            if len(run) >= LENGTH:
+                out.append(run)
+            run = ""
+    return out
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, in lower case."""
+    """Words of each sentence, in lower case, and those that are spelled letter by letter."""
     lower = (text or "").lower()
     for end in (". ", "! ", "? "):
         lower = lower.replace(end, "\n")
-    return [w for line in lower.split("\n") if (w := line.split())]
+    return [w + spelled(w) for line in lower.split("\n") if (w := line.split())]
 
 
 class Features:
