@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from test_decontam import brute as brute_hits
 from test_mixing import check as check_mix
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_roots
 
 from geoplane.llm import toxicity
 
@@ -43,10 +43,10 @@ def test_stages(spark):
 
     docs = after.cache()
     before, after = rows(docs), stages["near duplicates"](spark, docs, SF)
-    fps = [(r[0], brute_fingerprint(r[1])) for r in before]
-    of = brute_components(fps)
-    keep = {d for d, f in fps if of[f] == d}
-    assert after.columns == columns and sorted(rows(after)) == sorted(r for r in before if r[0] in keep) and len(keep) < len(before)
+    roots, got = brute_roots([r[:2] for r in before]), {r[0] for r in rows(after)}
+    keep = {d for d, r in roots.items() if d == r}
+    assert after.columns == columns and sorted(rows(after)) == sorted(r for r in before if r[0] in got)
+    assert keep <= got and len(got - keep) <= 0.1 * (len(before) - len(keep)) and len(got) < len(before)
 
     docs = after.cache()
     before, after = rows(docs), stages["decontamination"](spark, docs, SF)

@@ -1,6 +1,6 @@
 """Rows without doc_id, and several texts of one doc_id: each row stands for its own text."""
 
-from geoplane.llm import decontam, simhash
+from geoplane.llm import decontam, similar
 
 DOCS = "doc_id bigint, text string, _row int"
 ONE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -18,7 +18,7 @@ def kept(spark, rows, stage):
 def test_one_row_of_each_component(spark):
     rows = [(None, ONE), (None, TWO), (None, TWO), (7, ONE), (8, THREE), (8, TWO + " again and again"), (9, THREE), (9, THREE)]
     want = [(7, ONE), (None, TWO), (8, THREE), (8, TWO + " again and again")]
-    assert kept(spark, rows, simhash.keep_one) == sorted(want, key=str)
+    assert kept(spark, rows, similar.keep_one) == sorted(want, key=str)
 
 
 def test_rows_that_hold_a_passage(spark):
