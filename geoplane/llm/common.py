@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a new temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -48,12 +50,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df``, written with a column that numbers its rows, and the name of that column."""
-    name, taken = "_row", {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
+    name = fresh("_row", df)
     return saved(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def share_of(hashed, most: float, n: int):
+    """Whether a 64-bit hash is in the share ``most`` / ``n`` of all hashes: so of n rows about ``most`` are, however many n is."""
+    if n <= most:
+        return F.lit(True)
+    return hashed < F.lit(-(1 << 63) + max(1, int((1 << 64) * most / n)))
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import share_of, table
 
 ORDER, DOCS_A_LANGUAGE, CHUNK = 2, 2000, 1 << 21
 FOLDS, HELD_OUT = 4, 2
@@ -142,13 +142,13 @@ def remainder(doc_id, folds: int):
 
 
 def train(docs: DataFrame, order: int = ORDER, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
-    """Learn from docs (doc_id, lang, text). Of each language about ``docs_a_language`` whole documents are read, picked by a hash of doc_id."""
+    """Learn from docs (doc_id, lang, text). Of each language about ``docs_a_language`` whole documents are read, picked by a hash of doc_id and size."""
     docs = docs.filter("lang is not null and text is not null and text <> ''")
     many = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0)
+    hashed, some = F.xxhash64("doc_id", F.octet_length("text")), F.lit(False)
     for lang, n in many.items():
-        share = F.when(F.col("lang") == lang, F.lit(round(1e6 * min(1, docs_a_language / n)))).otherwise(share)
-    picked = docs.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) < share)
+        some = F.when(F.col("lang") == lang, share_of(hashed, docs_a_language, n)).otherwise(some)
+    picked = docs.filter(some)
     found = gram_counts(picked, order).toPandas()
     return Model({k: (g.gram.to_numpy(np.int64), g.n.to_numpy(np.int64)) for k, g in found.groupby("lang")}, order)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 RATIO, MIN_PAGES = 0.1, 5
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)"
@@ -40,27 +40,28 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return often.groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with ``text`` less the lines that are boilerplate of their ``site``, and with _lines and _dropped.
+def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``pages`` with ``text`` less the lines that are boilerplate of their ``site``.
 
     A line is the text between line feeds, compared without white space around it; what stays is kept as it was.
     Empty lines stay. A null site is a site of its own; a null text has no lines and stays null. Repeated rows count
-    as pages. The list of boilerplate is written first, so that Spark broadcasts it only if it is within
-    spark.sql.autoBroadcastJoinThreshold, and else sorts and splits hot sites.
+    as pages. On sites of fewer than ``min_pages`` pages all lines stay. ``counts`` names two columns to add: the
+    lines of the text before, and those dropped. The list of boilerplate is written first, so that Spark broadcasts
+    it only if it is within spark.sql.autoBroadcastJoinThreshold, and else sorts and splits hot sites.
     """
-    host = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit(""))
-    found = saved(boilerplate(pages.select(host.alias("host"), F.col(text).alias("text")), ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
+    host, marks, kept = (fresh(n, pages) for n in ("_host", "_marks", "_kept"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit(""))
+    found = saved(boilerplate(pages.select(name.alias("host"), F.col(text).alias("text")), ratio, min_pages), "boilerplate")
+    found = found.select(F.col("host").alias(host), F.col("marks").alias(marks))
     lines = _lines(F.col(text))
-    some = F.filter(lines, lambda x: ~F.array_contains(F.col("_marks"), _mark(_trimmed(x))))
-    keep = F.when(F.col("_marks").isNull(), lines).otherwise(some)
-    return (
-        pages.withColumn("_host", host).join(found, "_host", "left").withColumn("_kept", keep)
-        .withColumn("_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")))
-        .withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")))
-        .drop("_host", "_marks", "_kept")
-    )
+    some = F.filter(lines, lambda x: ~F.array_contains(F.col(marks), _mark(_trimmed(x))))
+    keep = F.when(F.col(marks).isNull(), lines).otherwise(some)
+    out = pages.withColumn(host, name).join(found, host, "left").withColumn(kept, keep)
+    new = [F.when(F.col(text).isNotNull(), F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in pages.columns]
+    if counts:
+        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+        new += [n.alias(counts[0]), F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias(counts[1])]
+    return out.select(*new)
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_boilerplate(page_lines(table(spark, sf_dir, "pages")), "host", "text")
-    return out.select("page_id", "host", F.col("_lines").cast("bigint").alias("n_lines"), F.col("_dropped").cast("bigint").alias("n_dropped"), "text")
+    out = drop_boilerplate(page_lines(table(spark, sf_dir, "pages")), "host", "text", counts=("n_lines", "n_dropped"))
+    return out.select("page_id", "host", F.col("n_lines").cast("bigint"), F.col("n_dropped").cast("bigint"), "text")
 
 
 SQL = rf"""

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import share_of, table
 from .language import remainder
 
 #: Length of the common subsequences, decay for each character they span, and the longest string that is compared whole.
 LENGTH, DECAY, WIDTH = 4, 0.7, 8
-LANDMARKS, TOXIC_DOCS, CLEAN_DOCS = 24, 2000, 4000
+LANDMARKS, TOXIC_DOCS, CLEAN_DOCS, LONGEST = 24, 2000, 4000, 1 << 18
 #: A landmark's run of characters is in so many toxic texts at least, and so many times as often as in clean ones.
 LEAST_USES, LEAST_RATIO = 3, 6
 #: A landmark is sure if that ratio is this, and its run has this share of the uses in toxic texts.
@@ -293,16 +293,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Model:
-    """Learn from docs (doc_id, text) with labels (doc_id, toxic); of each class about so many documents, picked by a hash of doc_id."""
-    labels = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), "toxic").dropDuplicates(["_id"])
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, longest: int = LONGEST) -> Model:
+    """Learn from docs (doc_id, text) with labels (doc_id, toxic); of each class about so many documents, picked by a hash of doc_id.
+
+    A doc_id with both labels is toxic; of several texts of one doc_id the least is read. Texts of over ``longest``
+    bytes are not learned from, so that the sample has a bound.
+    """
+    labels = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     many = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0)
+    hashed, some = F.xxhash64("_id"), F.lit(False)
     for k, most in ((1, toxic_docs), (0, clean_docs)):
-        share = F.when(F.col("toxic") == k, F.lit(round(1e6 * min(1, most / max(1, many.get(k, 0)))))).otherwise(share)
-    picked = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
+        some = F.when(F.col("toxic") == k, share_of(hashed, most, many.get(k, 0))).otherwise(some)
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels.filter(some)), F.col("doc_id") == F.col("_id"))
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     return Model([r.text or "" for r in rows if r.toxic == 1], [r.text or "" for r in rows if r.toxic == 0])
 
 

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .common import bounded_blocks, grouped, saved, table
 from .components import components
 
-COSINE, TABLES, PROBES, SEED, LIMIT, FILL = 0.95, 8, 3, 42, 2000, 8
+COSINE, SEED, LIMIT, FILL = 0.95, 42, 2000, 8
+#: (tables, probes) for so many hashes joined to a bucket number. More hashes find less in a table, so more tables or
+#: probes make up for it: by measure, 0.97 of pairs at the least cosine are found at any of these, in 8 to 768 dimensions.
+EFFORT = {1: (8, 3), 2: (8, 3), 3: (8, 3), 4: (8, 6), 5: (12, 6), 6: (24, 6)}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -27,7 +30,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
-def bucket_codes(unit: np.ndarray, parts: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def bucket_codes(unit: np.ndarray, parts: int, tables: int, probes: int, seed: int = SEED) -> np.ndarray:
     """(rows, tables * probes) bucket numbers of unit vectors: of each table their own bucket, then the likeliest others.
 
     Three rounds of random signs and the transform rotate a vector; a hash is the axis, with its sign, that it is
@@ -106,6 +109,12 @@ def _new_here(codes: np.ndarray, i: np.ndarray, j: np.ndarray, table_no: int, bu
     return ~(earlier | smaller)
 
 
+def _matrix(column: pa.ChunkedArray, own: np.ndarray) -> np.ndarray:
+    """The lists of some rows, all of one length, as a matrix."""
+    lists = column.combine_chunks().take(pa.array(own))
+    return lists.flatten().to_numpy().reshape(len(own), -1)
+
+
 FOUND = "rep bigint, other bigint, links bigint"
 
 
@@ -124,12 +133,11 @@ def _found(placed: DataFrame, cosine: float, probes: int, limit: int) -> DataFra
         for part in grouped(batches, keys):
             tab, bucket, lo, hi = (part.column(k)[0].as_py() for k in keys)
             reps, side, copies = (part.column(k).to_numpy() for k in ("rep", "side", "copies"))
-            lengths = np.array([len(v) for v in part.column("vector")])
+            lengths = part.column("vector").combine_chunks().value_lengths().to_numpy()
             links, first, second = np.zeros(len(reps), np.int64), [], []
             for d in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == d)
-                x = unit(np.array(part.column("vector").take(pa.array(own)).to_pylist(), np.float64).reshape(-1, d))
-                codes = np.array(part.column("codes").take(pa.array(own)).to_pylist(), np.int64)
+                x, codes = unit(_matrix(part.column("vector"), own)), _matrix(part.column("codes"), own)
                 root = np.arange(len(own))
                 for a in range(0, len(own), 256):
                     i, j = np.nonzero(x[a : a + 256] @ x.T >= cosine)
@@ -157,24 +165,29 @@ def _found(placed: DataFrame, cosine: float, probes: int, limit: int) -> DataFra
     return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, FOUND)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, limit: int = LIMIT) -> DataFrame:
+def hashes_joined(classes: int, size: int) -> int:
+    """How many hashes are joined to a bucket number: enough that a bucket has about FILL of the classes, 6 at most."""
+    axes = 2 * max(2, 1 << ((size or 2) - 1).bit_length())
+    return min(max(EFFORT), max(1, math.ceil(math.log(max(classes, 2) / FILL) / math.log(axes))))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, limit: int = LIMIT, parts: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding).
 
     Two vectors of one length link if they share a bucket and their cosine, in double precision, is ``cosine`` or
     more. Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; neither
     does a row without vec_id. Equal vectors are one class, of which one row is hashed; its copies are links too. Repeated
     rows are vectors of their own. component_id: the least vec_id that links reach; kept: it is the row's own.
-    The number of hashes joined to a bucket follows from the number of classes, so that buckets stay small.
+    The number of hashes joined to a bucket (``parts``) follows from the number of classes, so that buckets stay
+    small, and the tables and probes from that number (EFFORT), so that recall stays. Larger buckets are met in parts.
     """
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     rows = rows.select("vec_id", F.when(sound, F.col("embedding")).alias("embedding"))
-    classes = saved(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    n, size = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    axes = 2 * max(2, 1 << ((size or 2) - 1).bit_length())
-    parts = min(int(62 // math.log2(axes)), max(1, math.ceil(math.log(max(n, 2) / FILL) / math.log(axes))))
-    # classes of rows with the same least vec_id need different names
-    classes = classes.withColumn("first", F.col("rep")).withColumn("rep", F.xxhash64("embedding"))
+    classes = rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    parts = parts or hashes_joined(*classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first())
+    tables, probes = EFFORT[parts]
     placed = saved(_placed(classes, parts, tables, probes), "placed")
     found = saved(_found(placed, cosine, probes, limit), "found")
     roots = components(found.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))

@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _n int, lo int, fp string, component_id string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _n int, lo int, fp string, component_id string, _id string, _host string, _lines int, _dropped int"
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +13,7 @@ def odd_docs(spark):
         (6, long, "en", "a"), (None, base, "en", "a"), (7, "one", None, None), (8, "one two", "de", "c"), (9, "Ünï çode — \U0001f600 text", "de", "c"),
         (10, base + "omega", "en", "b"), (None, None, None, None),
     ]
-    return spark.createDataFrame([(*r, 0, 1, 2, "x", "y") for r in rows], DOCS)
+    return spark.createDataFrame([(*r, 0, 1, 2, "x", "y", "i", "h", 7, 8) for r in rows], DOCS)
 
 
 @pytest.fixture(scope="session")

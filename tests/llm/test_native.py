@@ -43,8 +43,8 @@ def test_turns_in_any_order_and_long_conversations(spark):
 def test_lines_of_a_site(spark, odd_docs, no_docs):
     rows = [(i, "h", f"menu\n text {i}\n\nfoot ") for i in range(10)] + [(10, None, "menu\nfoot"), (11, "h", None), (12, "h", "")]
     df = spark.createDataFrame(rows, "page_id bigint, site string, text string")
-    got = {r.page_id: r for r in lines.drop_boilerplate(df, "site", "text").collect()}
-    assert got[3].text == " text 3\n" and got[3]._dropped == 2 and got[3]._lines == 4
+    got = {r.page_id: r for r in lines.drop_boilerplate(df, "site", "text", counts=("before", "gone")).collect()}
+    assert got[3].text == " text 3\n" and got[3].gone == 2 and got[3].before == 4
     assert got[10].text == "menu\nfoot" and got[11].text is None and got[12].text == ""
     out = lines.drop_boilerplate(odd_docs, "source", "text")
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
@@ -60,3 +60,28 @@ def test_licenses(spark, odd_docs, no_docs):
     assert {r.doc_id for r in got if r.digest is None} == {3, 4} and len(got) == 6
     assert licenses.scan(odd_docs, licenses.known(spark)).count() == odd_docs.count()
     assert licenses.scan(no_docs, licenses.known(spark)).collect() == []
+
+
+def test_users_columns_stay(spark):
+    rows = [(i, "a", f"menu\n{i}", "h", 5, "m", "k", "l", "d") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, site string, text string, _host string, host int, _marks string, _kept string, _lines string, _dropped string")
+    out = lines.drop_boilerplate(df, "site", "text")
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted((*r[:2], r[2][5:], *r[3:]) for r in rows)
+
+
+def test_small_sites_keep_their_lines(spark):
+    for n in (4, 5):
+        df = spark.createDataFrame([(i, "a", f"menu\n{i}") for i in range(n)], "page_id bigint, site string, text string")
+        got = {r.text for r in lines.drop_boilerplate(df, "site", "text").collect()}
+        assert got == {f"menu\n{i}" if n < lines.MIN_PAGES else str(i) for i in range(n)}
+
+
+def test_pages_without_html_or_url(spark, tmp_path):
+    rows = [(i, u, h) for i, (u, h) in enumerate([(None, "<p>menu</p>x"), ("http://a.b/", None), (None, None), ("", ""), ("http://A.B/c", "<p>menu</p>"), ("nonsense", "<script>x</script>")] + [(None, "<p>menu</p>")] * 5)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, lines.op6_lines(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"select page_id, host, n_lines, n_dropped, text from ({lines.SQL})").fetchall())
+    assert got[1][4] is None and got[0][3] == 1 and got[4][3] == 0

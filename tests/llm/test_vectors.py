@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 
 from geoplane.llm import vectors
 
@@ -45,7 +46,33 @@ def test_hot_buckets_are_split_and_counted_once(spark):
     centre = rng.normal(size=16)
     data = [(i, (centre + 0.05 * rng.normal(size=16)).tolist()) for i in range(150)] + [(200 + i, rng.normal(size=16).tolist()) for i in range(50)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
-    assert rows(vectors.near_vectors(df, limit=20, tables=6)) == sorted(brute(data), key=str)
+    assert rows(vectors.near_vectors(df, limit=20)) == sorted(brute(data), key=str)
+
+
+@pytest.mark.parametrize("parts", sorted(vectors.EFFORT))
+@pytest.mark.parametrize("size", [16, 64, 128, 768])
+def test_recall_at_every_number_of_hashes(parts, size):
+    """Pairs of random direction, little over the least cosine, that share a bucket."""
+    rng = np.random.default_rng(parts * 1000 + size)
+    x, r = (vectors.unit(rng.standard_normal((300, size))) for _ in range(2))
+    r = vectors.unit(r - (r * x).sum(axis=1, keepdims=True) * x)
+    c = 0.951
+    tables, probes = vectors.EFFORT[parts]
+    a, b = (vectors.bucket_codes(v, parts, tables, probes).reshape(300, tables, probes) for v in (x, c * x + np.sqrt(1 - c * c) * r))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.95
+
+
+def test_number_of_hashes():
+    assert [vectors.hashes_joined(n, 64) for n in (0, 50_000, 10**9, 10**10, 10**15)] == [1, 2, 4, 5, 6]
+
+
+def test_forced_hashes_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 32))
+    data = [(i, (base[i % 60] + 0.1 * rng.normal(size=32)).tolist()) for i in range(180)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    for parts in (1, 4, 6):
+        assert rows(vectors.near_vectors(df, parts=parts)) == sorted(brute(data), key=str)
 
 
 def test_odd_rows(spark):
