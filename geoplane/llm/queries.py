@@ -15,5 +15,6 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_licenses,
+    "license_forms": licenses.license_forms,
 }
-ORACLE_SQL = {"op3_chat": chat.SQL, "op6_lines": lines.SQL, "op10_licenses": licenses.SQL}
+ORACLE_SQL = {"op3_chat": chat.SQL, "op6_lines": lines.SQL, "op10_licenses": licenses.SQL, "license_forms": licenses.FORMS_SQL}

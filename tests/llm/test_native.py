@@ -85,3 +85,14 @@ def test_pages_without_html_or_url(spark, tmp_path):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.sql(f"select page_id, host, n_lines, n_dropped, text from ({lines.SQL})").fetchall())
     assert got[1][4] is None and got[0][3] == 1 and got[4][3] == 0
+
+
+def test_adjacent_spellings(spark):
+    df = spark.createDataFrame([("Licence licence. LICENCE sub licence",), ("sub license per cent per cent",), ("a b",)], "text string")
+    assert [r[0] for r in df.select(licenses.canonical(df.text)).collect()] == ["license license license sublicense", "sublicense percent percent", "a b"]
+
+
+def test_forms_are_found(spark):
+    got = {r.doc_id: r.license_id for r in licenses.license_forms(spark, SF).collect()}
+    assert len(got) == 6 * len(TEXTS)
+    assert all(v == (k.rsplit("/", 1)[0] if not k.endswith("/5") else None) for k, v in got.items())
