@@ -64,3 +64,20 @@ def test_phrases_and_proximity(spark):
     assert [(r.doc_id, r.item_id, r.window, r.start) for r in exact] == [(1, 9, "a b c d", 1)]
     assert {r.doc_id for r in decontam.phrase_matches(docs, bench, slop=1).collect()} == {1, 2}
     assert {r.doc_id for r in decontam.phrase_matches(docs, bench, slop=6).collect()} == {1, 2, 5}
+
+
+def test_large_benchmark_costs_little_more(spark):
+    """The work follows the places of rarest words, not the windows times the segments."""
+    import random
+    import time
+
+    rng = random.Random(0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(400))) for i in range(500)], "doc_id bigint, text string").coalesce(1).cache()
+    docs.count()
+    took = {}
+    for n in (80, 5000):
+        bench = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(40))) for i in range(n)], "item_id bigint, text string")
+        began = time.time()
+        assert not any(r.contaminated for r in decontam.contamination(docs, bench).collect())
+        took[n] = time.time() - began
+    assert took[5000] < 6 * took[80] + 5
