@@ -17,4 +17,4 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "license_forms": licenses.license_forms,
 }
-ORACLE_SQL = {"op3_chat": chat.SQL, "op4_decontamination": decontam.SQL, "op6_lines": lines.SQL, "op10_licenses": licenses.SQL, "license_forms": licenses.FORMS_SQL}
+ORACLE_SQL = {"op3_chat": chat.SQL, "op4_decontamination": decontam.SQL, "op6_lines": lines.SQL, "op8_substrings": substrings.SQL, "op10_licenses": licenses.SQL, "license_forms": licenses.FORMS_SQL}

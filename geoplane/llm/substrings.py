@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,27 @@ from .common import as_bytes, bounded_blocks, grouped, release, saved, table
 LENGTH, GRAM = 50, 16
 #: Bytes of text at a time, bytes of text whose anchors make a part (a task has several, one after another), and most segments of one anchor in one transform.
 CHUNK, PART, LIMIT = 1 << 20, 1 << 24, 20_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Two independent odd multipliers: of a segment 58 bits by the first and 32 by the second must be equal.
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Rows of a part that are held before those with an earlier equal are let go.
+HELD = 2_000_000
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ``base`` and of its inverse, modulo 2 ** 64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n, b, np.uint64)
+        powers[:1] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
+def _sums(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes times powers up to each place, and the inverse powers that make them hashes of what lies between."""
+    power, back = (p[: len(data)] for p in _powers(base, 1 << max(16, int(len(data) - 1).bit_length())))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)]), back
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -25,7 +46,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """The anchors of texts: arrays (text number, first start, last start, hash of its gram and place, hash of its segment, place in the segment).
+    """The anchors of texts: arrays (text number, first start, last start, hash of its gram, hashes of its segment, place in the segment).
 
     The anchor of a string of ``length`` bytes is its ``gram`` bytes of least hash, the leftmost if tied. So equal
     strings have equal anchors at the same place. An anchor has a row for the run of starts whose strings it anchors;
@@ -36,15 +57,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(np.int32), none
     ends = np.cumsum(sizes)
-    power = np.full(len(data), BASE)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(len(data), INVERSE)
-    back[0] = 1
-    back = np.cumprod(back)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
+    total, back = _sums(data, BASE)
     hashed = _mixed((total[gram:] - total[:-gram]) * back[: len(data) - gram + 1])
     span, least, width = length - gram + 1, hashed, 1
     while width * 2 <= span:
@@ -74,25 +89,29 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     first, last = first[keep], last[keep]
     own = owner[first]
     place = places[at[first]]
-    segment = _mixed((total[last + length] - total[first]) * back[first] + (last - first).astype(np.uint64) * BASE + (place - first).astype(np.uint64))
+    span = (last - first).astype(np.uint64)
+    segment = _mixed((total[last + length] - total[first]) * back[first] + span * np.uint64(BASE) + (place - first).astype(np.uint64))
+    total, back = _sums(data, OTHER)
+    check = (_mixed((total[last + length] - total[first]) * back[first] + span) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     base = (ends - sizes)[own]
-    return own, first - base, last - base, hashed[place], segment, place - first
+    return own, first - base, last - base, hashed[place], segment, check, place - first
 
 
-BLOB = "part int, docs array<bigint>, keys array<bigint>, gram array<bigint>, segment array<bigint>, doc array<int>, start array<int>, place array<tinyint>, sure boolean"
-_LISTS = {"docs": pa.int64(), "keys": pa.int64(), "gram": pa.int64(), "segment": pa.int64(), "doc": pa.int32(), "start": pa.int32(), "place": pa.int8()}
+BLOB = "part int, docs array<bigint>, keys array<bigint>, gram array<bigint>, segment array<bigint>, check array<int>, doc array<int>, start array<int>, place array<tinyint>, sure boolean"
+_LISTS = {"docs": pa.int64(), "keys": pa.int64(), "gram": pa.int64(), "segment": pa.int64(), "check": pa.int32(), "doc": pa.int32(), "start": pa.int32(), "place": pa.int8()}
 
 
-def _blob(part: int, docs, keys, gram, segment, doc, start, place, sure: bool) -> pa.RecordBatch:
+def _blob(part: int, docs, keys, gram, segment, check, doc, start, place, sure: bool) -> pa.RecordBatch:
     used, doc = np.unique(doc, return_inverse=True)
-    values = [docs[used], keys[used], gram.view(np.int64), segment.view(np.int64), doc.astype(np.int32), start.astype(np.int32), place.astype(np.int8)]
+    values = [docs[used], keys[used], gram.view(np.int64), segment.view(np.int64), check, doc.astype(np.int32), start.astype(np.int32), place.astype(np.int8)]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t)) for v, t in zip(values, _LISTS.values())]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists, pa.array([sure])], ["part", *_LISTS, "sure"])
 
 
 def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> DataFrame:
     """Anchors, packed, by the hash of their gram. Of rows of a chunk with equal segments only those of the least doc
-    go to others; the rest are sure to be repeats (a segment's hash has its strings' number in its low 6 bits)."""
+    go to others; the rest are sure to be repeats (a segment's hash has its strings' number in its low 6 bits).
+    Segments are taken for equal if 122 bits are: 64 of the gram, 58 of the segment; and 32 of it by another multiplier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,20 +126,20 @@ def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> D
                     start, size = i + 1, 0
 
     def packed(ids, keys, texts) -> Iterator[pa.RecordBatch]:
-        own, first, last, hashed, segment, place = anchors(texts, length, gram)
+        own, first, last, hashed, segment, check, place = anchors(texts, length, gram)
         segment = segment & ~np.uint64(63) | (last - first).astype(np.uint64)
-        order = np.lexsort((ids[own], segment, hashed))
-        own, first, hashed, segment, place = own[order], first[order], hashed[order], segment[order], place[order]
+        order = np.lexsort((ids[own], check, segment, hashed))
+        own, first, hashed, segment, check, place = (x[order] for x in (own, first, hashed, segment, check, place))
         new = np.ones(len(own), bool)
-        new[1:] = (hashed[1:] != hashed[:-1]) | (segment[1:] != segment[:-1])
+        new[1:] = (hashed[1:] != hashed[:-1]) | (segment[1:] != segment[:-1]) | (check[1:] != check[:-1])
         least = ids[own][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))] if len(own) else ids[:0]
         sure = ids[own] > least
         part_of = (hashed % np.uint64(parts)).astype(np.int64)
         if sure.any():
-            yield _blob(int(first[-1] + len(texts)) % parts, ids, keys, hashed[sure], segment[sure], own[sure], first[sure], place[sure], True)
+            yield _blob(int(first[-1] + len(texts)) % parts, ids, keys, hashed[sure], segment[sure], check[sure], own[sure], first[sure], place[sure], True)
         for p in np.unique(part_of[~sure]).tolist():
             on = ~sure & (part_of == p)
-            yield _blob(p, ids, keys, hashed[on], segment[on], own[on], first[on], place[on], False)
+            yield _blob(p, ids, keys, hashed[on], segment[on], check[on], own[on], first[on], place[on], False)
 
     return docs.mapInArrow(run, BLOB)
 
@@ -128,45 +147,84 @@ def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> D
 MARKS = "doc_id bigint, key bigint, at bigint, gram bigint"
 
 
-def _marks(blobs: DataFrame, parts: int) -> DataFrame:
+def _marks(blobs: DataFrame, parts: int, piece: int) -> DataFrame:
     """For documents: starts of segments that an earlier document has whole, and of those that it may share strings with.
 
-    A start s of n + 1 strings is packed as s * 64 + n; of the second kind, 64 times that plus the gram's place. Rows are sorted by gram, segment and doc: a segment that
-    isn't of its least document is whole; the one of the least document may share strings with others of its gram.
+    A start s of n + 1 strings is packed as s * 64 + n; of the second kind, 64 times that plus the gram's place. Rows
+    are sorted by gram, segment and doc: a segment that isn't of its least document is whole; the one of the least
+    document may share strings with others of its gram. A part is read piece by piece: whole segments are given out
+    and let go, so what a task holds is one row a different segment, not a row a copy.
     """
+    names = {"ids": np.int64, "keys": np.int64, "gram": np.int64, "segment": np.int64, "check": np.int32, "at": np.int64, "place": np.int8}
 
     def column(part: pa.Table, name: str) -> np.ndarray:
-        return np.concatenate([c.values.to_numpy() if c.offset == 0 and len(c) == 1 else c.flatten().to_numpy() for c in part.column(name).chunks])
+        return np.concatenate([c.flatten().to_numpy() for c in part.column(name).chunks])
+
+    def rows_of(part: pa.Table) -> dict[str, np.ndarray]:
+        counts = [part.column(n).combine_chunks().value_lengths().to_numpy().astype(np.int64) for n in ("docs", "gram")]
+        base = np.concatenate([[0], np.cumsum(counts[0])[:-1]])
+        doc = column(part, "doc").astype(np.int64) + np.repeat(base, counts[1])
+        gram, segment, check = (column(part, n) for n in ("gram", "segment", "check"))
+        at = column(part, "start").astype(np.int64) * 64 + (segment & 63)
+        values = column(part, "docs")[doc], column(part, "keys")[doc], gram, segment, check, at, column(part, "place")
+        return dict(zip(names, values))
+
+    def given(rows: dict[str, np.ndarray], known: bool) -> Iterator[pa.RecordBatch]:
+        packed = rows["at"] if known else rows["at"] * 64 + rows["place"]
+        for k in range(0, len(packed), 1 << 17):
+            s = slice(k, k + (1 << 17))
+            gram = pa.array(rows["gram"][s], mask=np.full(len(packed[s]), known))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["ids"][s]), pa.array(rows["keys"][s]), pa.array(packed[s]), gram], ["doc_id", "key", "at", "gram"])
+
+    def picked(rows: dict[str, np.ndarray], on: np.ndarray) -> dict[str, np.ndarray]:
+        return {n: v[on] for n, v in rows.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(batches, ["part"]):
-            counts = [part.column(n).combine_chunks().value_lengths().to_numpy().astype(np.int64) for n in ("docs", "gram")]
-            base = np.concatenate([[0], np.cumsum(counts[0])[:-1]])
-            doc = column(part, "doc").astype(np.int64) + np.repeat(base, counts[1])
-            ids, keys = column(part, "docs")[doc], column(part, "keys")[doc]
-            gram, segment, start = column(part, "gram"), column(part, "segment"), column(part, "start").astype(np.int64)
-            sure = np.repeat(np.array(part.column("sure").to_pylist(), bool), counts[1])
-            at, place = start * 64 + (segment & 63), column(part, "place").astype(np.int64)
-            todo = np.flatnonzero(~sure)
-            todo = todo[np.lexsort((ids[todo], segment[todo], gram[todo]))]
-            g, s, d = gram[todo], segment[todo], ids[todo]
-            new_g, new_s = np.ones(len(g), bool), np.ones(len(g), bool)
-            new_g[1:] = g[1:] != g[:-1]
-            new_s[1:] = new_g[1:] | (s[1:] != s[:-1])
-            first = np.maximum.accumulate(np.where(new_s, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
-            whole = d > d[first]
-            of = np.cumsum(new_g) - 1
-            kinds = np.bincount(of, new_s) if len(g) else np.zeros(0)
-            least, most = (np.minimum.reduceat(d, np.flatnonzero(new_g)), np.maximum.reduceat(d, np.flatnonzero(new_g))) if len(g) else (d, d)
-            some = ~whole & (kinds[of] > 1) & (most[of] != least[of])
-            rows = np.concatenate([np.flatnonzero(sure), todo[whole], todo[some]])
-            known = np.arange(len(rows)) < len(rows) - int(some.sum())
-            for k in range(0, len(rows), 1 << 17):
-                r, w = rows[k : k + (1 << 17)], known[k : k + (1 << 17)]
-                packed = np.where(w, at[r], at[r] * 64 + place[r])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r]), pa.array(packed), pa.array(gram[r], mask=w)], ["doc_id", "key", "at", "gram"])
-
-    found = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, MARKS)
+        for blobs_of_part in pieces(batches):
+            held = {n: np.zeros(0, t) for n, t in names.items()}
+            for sure, part in blobs_of_part:
+                rows = rows_of(part)
+                if sure:
+                    yield from given(rows, True)
+                    continue
+                held = {n: np.concatenate([held[n], rows[n]]) for n in names}
+                order = np.lexsort((held["ids"], held["check"], held["segment"], held["gram"]))
+                held = picked(held, order)
+                whole = held["ids"] > held["ids"][firsts(held, "gram", "segment", "check")]
+                yield from given(picked(held, whole), True)
+                held = picked(held, ~whole)
+            g, d = held["gram"], held["ids"]
+            if len(g):
+                new_g = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                of = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
+                new_s = firsts(held, "gram", "segment", "check") == np.arange(len(g))
+                kinds, least, most = np.bincount(of, new_s), np.minimum.reduceat(d, new_g), np.maximum.reduceat(d, new_g)
+                yield from given(picked(held, (kinds[of] > 1) & (most[of] != least[of])), False)
+
+    def firsts(rows: dict[str, np.ndarray], *by: str) -> np.ndarray:
+        new = np.ones(len(rows["ids"]), bool)
+        new[1:] = np.any([rows[n][1:] != rows[n][:-1] for n in by], axis=0)
+        return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[bool, pa.Table]]]:
+        """For each part: its blobs, some at a time, those that are sure apart. Batches are sorted by part and sure."""
+        rows = ((r["part"][0].as_py(), r["sure"][0].as_py(), r) for b in batches for r in (b.slice(i, 1) for i in range(b.num_rows)))
+        for _, of_part in groupby(rows, key=lambda x: x[0]):
+            yield some_blobs(of_part)
+
+    def some_blobs(of_part) -> Iterator[tuple[bool, pa.Table]]:
+        for sure, blobs_ in groupby(of_part, key=lambda x: x[1]):
+            part, n = [], 0
+            for _, _, r in blobs_:
+                part.append(r)
+                n += len(r["gram"].flatten())
+                if n >= piece:
+                    yield sure, pa.Table.from_batches(part)
+                    part, n = [], 0
+            if part:
+                yield sure, pa.Table.from_batches(part)
+
+    found = blobs.repartition(parts, "part").sortWithinPartitions("part", "sure").mapInArrow(run, MARKS)
     some = F.when(F.col("gram").isNotNull(), F.struct("at", "gram"))
     found = found.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("gram").isNull(), F.col("at"))).alias("whole"), F.collect_list(some).alias("some"))
     return found.select("doc_id", "key", "whole", F.col("some.at").alias("part_at"), F.col("some.gram").alias("part_gram"))
@@ -270,7 +328,7 @@ def may_share(segments: pa.Array, place: np.ndarray, grams: np.ndarray, docs: np
     half = (length - gram + 1) // 2
     offsets = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
     data = np.frombuffer(segments.buffers()[2], np.uint8)
-    weights = np.cumprod(np.full(half, BASE))
+    weights = np.cumprod(np.full(half, np.uint64(BASE)))
     keep = np.zeros(len(segments), bool)
     for at in (offsets[:-1] + place - half, offsets[:-1] + place + gram):
         on = np.flatnonzero((at >= offsets[:-1]) & (at + half <= offsets[1:]))
@@ -351,7 +409,7 @@ def _removed(marked: DataFrame, length: int, with_kept: bool) -> DataFrame:
     return marked.select("doc_id", "text", "whole", "shared").mapInArrow(run, REMOVED)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, part_bytes: int = PART, limit: int = LIMIT, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, part_bytes: int = PART, limit: int = LIMIT, piece: int = HELD, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of ``docs``.
 
     Every byte goes that is in a string of ``length`` bytes (up to 78) which also starts in a document of a smaller
@@ -359,7 +417,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     other; a row without doc_id neither loses bytes nor makes others lose any. kept is null without ``with_kept``.
 
     Strings meet by their anchors (``anchors``), which are 6 in 100 bytes. Segments that are equal are settled by
-    their hashes. Those of one anchor that differ, and agree beside it (``may_share``), are put in one text, whose Burrows-Wheeler transform gives the
+    their hashes (90 bits of a segment by two multipliers, beside 64 of its gram; bytes are not compared). Those of one anchor that differ, and agree beside it (``may_share``), are put in one text, whose Burrows-Wheeler transform gives the
     classes of suffixes with ``length`` bytes in common, by expansion of intervals (``prefix_classes``). Many
     segments of one anchor are met in parts, see ``bounded_blocks``.
     """
@@ -367,7 +425,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-n // part_bytes))
     usable = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    marks = saved(_marks(_blobs(usable, parts, length, gram, chunk), parts), "marks")
+    marks = saved(_marks(_blobs(usable, parts, length, gram, chunk), parts, piece), "marks")
     release(docs.sparkSession)
     names = ["doc_id", "key"]
     some = marks.filter(F.size("part_at") > 0).select(*names, "part_at", "part_gram")
@@ -381,3 +439,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
+SQL = f"""
+with d as (
+  select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), blocks as (
+  select row, doc_id, base, substr(h, 2 * base + 1, 2 * (200 + {LENGTH - 1})) as h
+  from (select row, doc_id, h, unnest(range(0, len(h) // 2, 200)) as base from d where doc_id is not null)
+), strings as (
+  select row, doc_id, base + k as s, substr(h, cast(2 * k + 1 as bigint), {2 * LENGTH}) as x from (select row, doc_id, base, h, unnest(range(0, 200)) as k from blocks) where 2 * k + {2 * LENGTH} <= len(h)
+), least as (
+  select x, min(doc_id) as least from strings group by x having min(doc_id) < max(doc_id)
+), hit as (
+  select row, s from strings join least using (x) where doc_id > least
+), cut as (
+  select row, s, case when s <= lag(s) over (partition by row order by s) + {LENGTH} then 0 else 1 end as new from hit
+), runs as (
+  select row, min(s) as a, max(s) + {LENGTH} as b from (select row, s, sum(new) over (partition by row order by s) as run from cut) group by row, run
+), pieces as (
+  select row, a, b, coalesce(lag(b) over (partition by row order by a), 0) as from_ from runs
+), kept as (
+  select row, count(*) as n, sum(b - a) as gone, max(b) as last, string_agg(substr(h, cast(2 * from_ + 1 as bigint), cast(2 * (a - from_) as bigint)), '' order by a) as h
+  from pieces join d using (row) group by row
+)
+select doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans,
+  sha256(unhex(coalesce(kept.h, '') || substr(d.h, cast(2 * coalesce(last, 0) + 1 as bigint)))) as kept_sha256
+from d left join kept using (row)
+"""

@@ -43,8 +43,8 @@ def test_query_is_brute_force(spark):
     assert rows(substrings.op8_substrings(spark, SF)) == want
 
 
-@pytest.mark.parametrize("limit, chunk, part", [(3, 300, 500), (20_000, 1 << 21, 1 << 26)])
-def test_hard_texts(spark, limit, chunk, part):
+@pytest.mark.parametrize("limit, chunk, part, piece", [(3, 300, 500, 1), (50, 500, 1 << 26, 40), (20_000, 1 << 21, 1 << 26, 10**6)])
+def test_hard_texts(spark, limit, chunk, part, piece):
     rng = random.Random(2)
     noise = lambda k: "".join(rng.choice("ab ") for _ in range(k))
     passage = noise(120)
@@ -52,7 +52,7 @@ def test_hard_texts(spark, limit, chunk, part):
     docs += [(100, "x" * 200), (101, "x" * 49), (102, "x" * 50), (103, "x" * 70), (104, "ab" * 60), (105, "ba" * 60), (99, "é" * 60), (98, "é" * 40 + "\0" * 55), (97, "\0" * 60)]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert rows(substrings.remove_repeats(df, limit=limit, chunk=chunk, part_bytes=part)) == brute(docs)
+    assert rows(substrings.remove_repeats(df, limit=limit, chunk=chunk, part_bytes=part, piece=piece)) == brute(docs)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -66,7 +66,7 @@ def test_no_sharing_segment_is_left_out(length, gram):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(60)).encode() for _ in range(60)]
     texts += [t[: rng.randrange(30, 60)] + t[:5] for t in texts[:30]]
-    own, first, last, hashed, _, place = substrings.anchors(texts, length, gram)
+    own, first, last, hashed, _, _, place = substrings.anchors(texts, length, gram)
     segments = [texts[o][a : b + length] for o, a, b in zip(own, first, last)]
     keep = substrings.may_share(pa.array(segments), place, hashed.view(np.int64), own, length, gram)
     holders = {}
