@@ -40,3 +40,8 @@ class Ellipsoid:
 
 
 WGS84 = Ellipsoid()
+
+
+def authalic_sphere(e: Ellipsoid) -> Ellipsoid:
+    """The sphere of the same area."""
+    return Ellipsoid(math.sqrt(e.authalic2), 0.0)

@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import kernels
+from ..functions import geodesic, rhumb
 from ..functions.ellipsoid import WGS84, Ellipsoid
 
 
-def _kernel(f, fields: str, **options):
-    schema = ", ".join(f"{n} double" for n in fields.split())
+def kernel(f, names: str, *columns: Column) -> Column:
+    """A struct of doubles ``names``, by a NumPy function of the columns that gives a dict; nulls are NaN to it."""
+
+    def run(*series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(f(*(v.to_numpy(dtype="float64", na_value=float("nan")) for v in series)))[names.split()]
+
+    return pandas_udf(run, ", ".join(f"{n} double" for n in names.split()))(*columns)
+
+
+def inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, e: Ellipsoid = WGS84, fields: str = "s12 azi1 azi2") -> Column:
+    """Struct of the ``fields`` asked for, of s12, a12, azi1, azi2, m12, scale12, scale21, area12; NaN where a coordinate is null or out of range."""
+    return kernel(partial(geodesic.inverse, e=e, fields=tuple(fields.split())), fields, lat1, lon1, lat2, lon2)
+
 
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(f(*(v.to_numpy(dtype="float64", na_value=float("nan")) for v in (a, b, c, d)), **options))[fields.split()]
+def direct(lat1: Column, lon1: Column, azi1: Column, s12: Column, e: Ellipsoid = WGS84, fields: str = "lat2 lon2 azi2", arc: bool = False, unroll: bool = False) -> Column:
+    """Struct of the ``fields`` asked for, of lat2, lon2, azi2, s12, a12, m12, scale12, scale21, area12.
 
-    return pandas_udf(run, schema)
+    With ``arc``, s12 is in degrees of arc; with ``unroll``, lon2 tells how often and which way the line goes round.
+    """
+    return kernel(partial(geodesic.direct, e=e, arc=arc, unroll=unroll, fields=tuple(fields.split())), fields, lat1, lon1, azi1, s12)
 
 
-def inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, e: Ellipsoid = WGS84, area: bool = False) -> Column:
-    """Struct s12, azi1, azi2 (and area12, the area under the geodesic); NaN where a coordinate is null or out of range."""
-    return _kernel(kernels.inverse, "s12 azi1 azi2" + " area12" * area, e=e, area=area)(lat1, lon1, lat2, lon2)
+def line_arc(lat1: Column, lon1: Column, azi1: Column, s12: Column, e: Ellipsoid = WGS84) -> Column:
+    """Struct azi0, a1, a13: azimuth at the equator's crossing, arc from there to the first point, and arc for the distance s12."""
 
+    def run(lat1, lon1, azi1, s12):
+        line = geodesic.GeodesicLine(lat1, lon1, azi1, e).set_distance(s12)
+        return {"azi0": line.equatorial_azimuth, "a1": line.equatorial_arc, "a13": line.arc}
 
-def direct(lat1: Column, lon1: Column, azi1: Column, s12: Column, e: Ellipsoid = WGS84) -> Column:
-    """Struct lat2, lon2, azi2."""
-    return _kernel(kernels.direct, "lat2 lon2 azi2", e=e)(lat1, lon1, azi1, s12)
+    return kernel(run, "azi0 a1 a13", lat1, lon1, azi1, s12)
 
 
-def rhumb_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, e: Ellipsoid = WGS84) -> Column:
-    """Struct azi12, s12."""
-    return _kernel(kernels.rhumb_inverse, "azi12 s12", e=e)(lat1, lon1, lat2, lon2)
+def rhumb_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, e: Ellipsoid = WGS84, area: bool = False) -> Column:
+    """Struct azi12, s12 (and area12, the area under the line)."""
+    return kernel(partial(rhumb.rhumb_inverse, e=e, area=area), "azi12 s12" + " area12" * area, lat1, lon1, lat2, lon2)
 
 
-def rhumb_direct(lat1: Column, lon1: Column, azi12: Column, s12: Column, e: Ellipsoid = WGS84) -> Column:
-    """Struct lat2, lon2."""
-    return _kernel(kernels.rhumb_direct, "lat2 lon2", e=e)(lat1, lon1, azi12, s12)
+def rhumb_direct(lat1: Column, lon1: Column, azi12: Column, s12: Column, e: Ellipsoid = WGS84, area: bool = False, unroll: bool = False) -> Column:
+    """Struct lat2, lon2 (and area12)."""
+    return kernel(partial(rhumb.rhumb_direct, e=e, area=area, unroll=unroll), "lat2 lon2" + " area12" * area, lat1, lon1, azi12, s12)
 
 
 def waypoints(lines: DataFrame, n: int, e: Ellipsoid = WGS84) -> DataFrame:
@@ -48,37 +63,18 @@ def waypoints(lines: DataFrame, n: int, e: Ellipsoid = WGS84) -> DataFrame:
     return each.withColumn("_p", at).select(*lines.columns, "k", F.col("_p.lat2").alias("lat"), F.col("_p.lon2").alias("lon"), F.col("_p.azi2").alias("azi"))
 
 
-def _transit(lon1: Column, lon2: Column) -> Column:
-    """1 or -1 if the shorter way crosses the prime meridian going east or west, else 0."""
-    step = F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180
-    step = F.when(step == -180, F.lit(180.0)).otherwise(step)
-    a, b = F.pmod(lon1 + 180, F.lit(360.0)) - 180, F.pmod(lon2 + 180, F.lit(360.0)) - 180
-    return F.when((step > 0) & (a < 0) & (b >= 0), 1).when((step < 0) & (a >= 0) & (b < 0), -1).otherwise(0)
+def waypoints_by_distance(lines: DataFrame, step: float, e: Ellipsoid = WGS84) -> DataFrame:
+    """``lines`` repeated for the points at 0, step, 2 step, ... metres up to the end, which comes last if it is none of these: k, s, lat, lon, azi."""
+    ends = lines.withColumn("_g", inverse(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), e))
+    last = F.ceil(F.col("_g.s12") / step).cast("int")
+    each = ends.filter(~F.isnan("_g.s12")).withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("s", F.least(F.col("k") * step, F.col("_g.s12")))
+    at = direct(F.col("lat1"), F.col("lon1"), F.col("_g.azi1"), F.col("s"), e)
+    return each.withColumn("_p", at).select(*lines.columns, "k", "s", F.col("_p.lat2").alias("lat"), F.col("_p.lon2").alias("lon"), F.col("_p.azi2").alias("azi"))
 
 
 def track_lengths(points: DataFrame, track: str, order: list[str], e: Ellipsoid = WGS84) -> DataFrame:
     """``points`` (lat, lon) with step, the distance from the point before on the track, and so_far, their running sum."""
     w = Window.partitionBy(track).orderBy(*order)
     before = points.withColumn("_lat", F.lag("lat").over(w)).withColumn("_lon", F.lag("lon").over(w))
-    step = F.when(F.col("_lat").isNull(), F.lit(0.0)).otherwise(inverse(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"), e)["s12"])
+    step = F.when(F.col("_lat").isNull(), F.lit(0.0)).otherwise(inverse(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"), e, "s12")["s12"])
     return before.withColumn("step", step).withColumn("so_far", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_lat", "_lon")
-
-
-def polygon_areas(points: DataFrame, ring: str, order: list[str], e: Ellipsoid = WGS84) -> DataFrame:
-    """(ring, n, perimeter, area) of rings of points (lat, lon): counter-clockwise is positive, in (-half, half] of the ellipsoid.
-
-    Edges are made by a window on the ring, measured in Arrow batches, and summed by key with partial sums.
-    """
-    w = Window.partitionBy(ring).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = points.select(
-        ring, "lat", "lon", F.coalesce(F.lead("lat").over(w), F.first("lat").over(whole)).alias("_lat"), F.coalesce(F.lead("lon").over(w), F.first("lon").over(whole)).alias("_lon")
-    )
-    edges = edges.withColumn("_g", inverse(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), e, area=True)).withColumn("_t", _transit(F.col("lon"), F.col("_lon")))
-    sums = edges.groupBy(ring).agg(F.count(F.lit(1)).alias("n"), F.sum("_g.s12").alias("perimeter"), F.sum("_g.area12").alias("_s"), F.sum("_t").alias("_c"))
-    total = e.area
-    area = F.col("_s") + F.when(F.col("_c") % 2 != 0, F.when(F.col("_s") < 0, F.lit(total / 2)).otherwise(F.lit(-total / 2))).otherwise(F.lit(0.0))
-    area = -area  # an edge's area is positive going east, as clockwise rings in the north do
-    area = F.when(area > total / 2, area - total).when(area <= -total / 2, area + total).otherwise(area)
-    enough = F.col("n") > 2
-    return sums.select(ring, "n", F.when(F.col("n") > 1, F.col("perimeter")).otherwise(F.lit(0.0)).alias("perimeter"), F.when(enough, area).otherwise(F.lit(0.0)).alias("area"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, frames, grids, planes
 from ..functions.ellipsoid import WGS84
-from ..operators import geodesics, neighbours, projections
+from ..operators import geodesics, neighbours, polygons, projections
 
 A, FL, E2 = WGS84.a, WGS84.f, WGS84.e2
 
@@ -124,7 +124,7 @@ def track_length(spark, sf_dir):
 def polygon_area(spark, sf_dir):
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rings = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (((k * 7919) % 17001).cast("double") / 100.0 - 85.0).alias("lat"), (((k * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"))
-    return geodesics.polygon_areas(rings, "l_orderkey", ["l_linenumber"]).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 3), _r(F.col("area"), "area", 0))
+    return polygons.polygon_areas(rings, "l_orderkey", ["l_linenumber"]).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 3), _r(F.col("area"), "area", 0))
 
 
 def radius_pairs(spark, sf_dir):

@@ -6,9 +6,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from geoplane.functions import kernels, planes
+from geoplane.functions import geodesic, planes, rhumb, transverse
 from geoplane.functions.ellipsoid import WGS84
-from geoplane.operators import geodesics, neighbours, projections
+from geoplane.operators import geodesics, neighbours, polygons, projections
 from geoplane.plans import queries
 from geoplane.sources.lines import parse_points, stream_points
 
@@ -34,9 +34,9 @@ def test_query_runs(spark, name):
 
 
 def test_known_geodesics():
-    g = kernels.inverse(40 + 38 / 60 + 23 / 3600, -(73 + 46 / 60 + 44 / 3600), 1 + 21 / 60 + 33 / 3600, 103 + 59 / 60 + 22 / 3600)
+    g = geodesic.inverse(40 + 38 / 60 + 23 / 3600, -(73 + 46 / 60 + 44 / 3600), 1 + 21 / 60 + 33 / 3600, 103 + 59 / 60 + 22 / 3600)
     assert g["s12"][0] == pytest.approx(15347628, abs=1) and g["azi1"][0] == pytest.approx(3 + 18 / 60 + 29.9 / 3600, abs=2e-5)
-    r = kernels.rhumb_inverse(40 + 38 / 60 + 23 / 3600, -(73 + 46 / 60 + 44 / 3600), 1 + 21 / 60 + 33 / 3600, 103 + 59 / 60 + 22 / 3600)
+    r = rhumb.rhumb_inverse(40 + 38 / 60 + 23 / 3600, -(73 + 46 / 60 + 44 / 3600), 1 + 21 / 60 + 33 / 3600, 103 + 59 / 60 + 22 / 3600)
     assert r["s12"][0] == pytest.approx(18523563, abs=1) and r["azi12"][0] == pytest.approx(103 + 34 / 60 + 58.2 / 3600, abs=2e-5)
 
 
@@ -44,16 +44,16 @@ def test_direct_and_inverse_agree():
     rng = np.random.default_rng(0)
     n = 3000
     lat, lon, azi, s = rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), rng.uniform(-180, 180, n), rng.uniform(0, 1.99e7, n)
-    d = kernels.direct(lat, lon, azi, s)
-    assert np.abs(kernels.inverse(lat, lon, d["lat2"], d["lon2"])["s12"] - s).max() < 1e-6
-    r = kernels.rhumb_direct(lat, lon, azi, s / 10)
+    d = geodesic.direct(lat, lon, azi, s)
+    assert np.abs(geodesic.inverse(lat, lon, d["lat2"], d["lon2"])["s12"] - s).max() < 1e-6
+    r = rhumb.rhumb_direct(lat, lon, azi, s / 10)
     ok = np.isfinite(r["lat2"]) & (np.abs(r["lat2"]) < 70) & (np.abs(lat) < 70)
-    back = kernels.rhumb_inverse(lat[ok], lon[ok], r["lat2"][ok], r["lon2"][ok])
+    back = rhumb.rhumb_inverse(lat[ok], lon[ok], r["lat2"][ok], r["lon2"][ok])
     assert np.abs(back["s12"] - s[ok] / 10).max() < 1e-2
 
 
 def test_nothing_in_gives_nan():
-    g = kernels.inverse([np.nan, 91.0, 0.0], [0, 0, 0], [0, 0, 0], [1, 1, 0])
+    g = geodesic.inverse([np.nan, 91.0, 0.0], [0, 0, 0], [0, 0, 0], [1, 1, 0])
     assert np.isnan(g["s12"][:2]).all() and g["s12"][2] == 0
 
 
@@ -69,7 +69,7 @@ def test_polygons(spark):
     }
     rows = [(k, i, float(a), float(b)) for k, v in rings.items() for i, (a, b) in enumerate(v)]
     df = spark.createDataFrame(rows, "ring string, seq int, lat double, lon double")
-    got = {x.ring: x for x in geodesics.polygon_areas(df, "ring", ["seq"]).collect()}
+    got = {x.ring: x for x in polygons.polygon_areas(df, "ring", ["seq"]).collect()}
     assert abs(got["octant"].area) == pytest.approx(WGS84.area / 8, rel=1e-9)
     assert got["two"].area == got["one"].area == got["one"].perimeter == 0 and got["two"].perimeter > 3e5
     assert got["pole"].area == pytest.approx(9 * got["pole"].area / 9) and 0 < got["pole"].area < WGS84.area / 4
@@ -80,7 +80,7 @@ def test_polygons(spark):
 def test_joins_are_brute_force(spark):
     a, b = queries._customers(spark, SF), queries.points(spark, SF, "supplier", "s_suppkey").withColumnRenamed("id", "s_id")
     x, y = a.toPandas(), b.toPandas()
-    d = {(i, j): kernels.inverse(la, lo, y.lat.to_numpy(), y.lon.to_numpy())["s12"][n] for i, la, lo in x.itertuples(index=False) for n, j in enumerate(y.s_id)}
+    d = {(i, j): geodesic.inverse(la, lo, y.lat.to_numpy(), y.lon.to_numpy())["s12"][n] for i, la, lo in x.itertuples(index=False) for n, j in enumerate(y.s_id)}
     got = {(r.id, r.s_id) for r in neighbours.radius_join(a, b, "id", "s_id", 2_000_000.0).collect()}
     assert got == {k for k, v in d.items() if v <= 2_000_000}
     near = {(r.id, r["rank"]): r.s_id for r in neighbours.nearest_join(a, b, "id", "s_id", 2).collect()}
