@@ -79,14 +79,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def bounded_blocks(postings: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
+def bounded_blocks(postings: DataFrame, keys: list[str], member: str, limit: int, hint: str | None = None) -> DataFrame:
     """Split the groups of ``postings`` that have over ``limit`` rows, so that no task holds a whole hot group.
 
     Adds side, lo and hi. A group of n rows has ceil(n / limit) sides, dealt by the hash of ``member``; rows are
     repeated so that for any lo <= hi, the rows with this lo and hi are those of both sides. So any two rows of a
-    group meet, in groups of about 2 * limit rows at most. Groups of one row go.
+    group meet, in groups of about 2 * limit rows at most. Groups of one row go. ``hint``: how the sizes are joined.
     """
     size = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    size = size.hint(hint) if hint else size
     sides = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
     return (
         postings.join(size, keys)
