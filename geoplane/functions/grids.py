@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .angles import ang_normalize
+from .bound import bind, struct
 
 # The letters of the codes.
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -27,32 +30,45 @@ def _letter(letters: str, k: Column) -> Column:
     return F.substring(F.lit(letters), (k + 1).cast("int"), F.lit(1))
 
 
+def _spread(x: Column) -> Column:
+    """The low 30 bits of a bigint, one to each second bit."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
 def geohash(lat: Column, lon: Column, length: int = 12) -> Column:
-    """Base-32 code of up to 12 characters: bits of longitude and latitude in turn."""
-    y = F.least(F.floor((lat + 90) * (2**45 / 180.0)), F.lit(2**45 - 1)).cast("bigint")
-    x = F.floor(_east(lon) * (2**45 / 360.0)).cast("bigint")
-    letters = []
-    for k in range(length):
-        code = F.lit(0)
-        for bit in range(5 * k, 5 * k + 5):
-            source = y if bit % 2 else x
-            code = code * 2 + F.shiftright(source, 44 - bit // 2).bitwiseAND(F.lit(1))
-        letters.append(_letter(GEOHASH, code))
-    return F.when(_good(lat, lon), F.concat(*letters))
+    """Base-32 code of up to 12 characters: bits of longitude and latitude in turn, spread by masks into one number of 60 bits."""
+    y = F.least(F.floor((lat + 90) * (2**30 / 180.0)), F.lit(2**30 - 1)).cast("bigint")
+    x = F.floor(_east(lon) * (2**30 / 360.0)).cast("bigint")
+    joined = lambda s: F.shiftleft(_spread(s["x"]), 1).bitwiseOR(_spread(s["y"]))
+    written = lambda n: F.concat(*(_letter(GEOHASH, F.shiftright(n, 55 - 5 * k).bitwiseAND(F.lit(31))) for k in range(length)))
+    return F.when(_good(lat, lon), bind(struct(x=x, y=y), joined, written))
+
+
+def _gathered(x: Column) -> Column:
+    """Each second bit of a bigint, from the lowest, together."""
+    x = x.bitwiseAND(F.lit(0x5555555555555555))
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
+    return x
 
 
 def geohash_cell(code: Column) -> Column:
-    """Struct lat, lon of the centre of a geohash; null if it has other characters."""
+    """Struct lat, lon of the centre of a geohash of 1 to 12 characters; null if it has others."""
     lower = F.lower(code)
-    value = lambda i: F.instr(F.lit(GEOHASH), F.substring(lower, i + 1, F.lit(1))) - 1
-    numbers = F.transform(F.sequence(F.lit(0), F.greatest(F.length(lower) - 1, F.lit(0))), value)
-    bits = F.flatten(F.transform(numbers, lambda v: F.transform(F.array(*map(F.lit, (16, 8, 4, 2, 1))), lambda b: v.bitwiseAND(b) > 0)))
-    half = lambda odd, low, high: F.aggregate(
-        F.filter(bits, lambda b, i: (i % 2) == odd), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")),
-        lambda s, b: F.struct(F.when(b, (s["low"] + s["high"]) / 2).otherwise(s["low"]).alias("low"), F.when(b, s["high"]).otherwise((s["low"] + s["high"]) / 2).alias("high")),
-        lambda s: (s["low"] + s["high"]) / 2,
-    )
-    return F.when(lower.rlike(f"^[{GEOHASH}]{{1,18}}$"), F.struct(half(1, -90.0, 90.0).alias("lat"), half(0, -180.0, 180.0).alias("lon")))
+    value = lambda c: F.instr(F.lit(GEOHASH), c) - 1
+    number = F.aggregate(F.filter(F.split(lower, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda n, c: n * 32 + value(c))
+    bits = F.length(lower) * 5
+
+    def split(s: Column) -> Column:
+        odd = s["bits"] % 2 == 1  # the last bit is of longitude then
+        even, other = _gathered(s["n"]), _gathered(F.shiftright(s["n"], 1))
+        y, x, ny = F.when(odd, other).otherwise(even), F.when(odd, even).otherwise(other), F.floor(s["bits"] / 2)
+        place = lambda k, n, size: (k + 0.5) * size / F.pow(F.lit(2.0), n) - size / 2
+        return F.struct(place(y, ny, 180.0).alias("lat"), place(x, s["bits"] - ny, 360.0).alias("lon"))
+
+    return F.when(lower.rlike(f"^[{GEOHASH}]{{1,12}}$"), bind(struct(n=number, bits=bits), split))
 
 
 def gars(lat: Column, lon: Column, precision: int = 2) -> Column:
@@ -81,16 +97,80 @@ def georef(lat: Column, lon: Column, precision: int = 2) -> Column:
     return F.when(_good(lat, lon), code)
 
 
+def geohash_resolution(length: int) -> tuple[float, float]:
+    """Degrees of latitude and of longitude of a cell."""
+    return 180.0 * 2.0 ** -(5 * length // 2), 360.0 * 2.0 ** -(5 * length - 5 * length // 2)
+
+
+def geohash_length(resolution: float, lon_resolution: float | None = None) -> int:
+    """The least length, 18 at most, whose cells are no larger than that."""
+    lon = resolution if lon_resolution is None else lon_resolution
+    return next((n for n in range(18) if geohash_resolution(n)[0] <= abs(resolution) and geohash_resolution(n)[1] <= abs(lon)), 18)
+
+
+def geohash_digits(length: int) -> int:
+    """Decimals of a degree that a geohash of that length stands for."""
+    return -math.floor(math.log10(geohash_resolution(length)[0]) + 1e-12) - 1
+
+
+def gars_resolution(precision: int) -> float:
+    return (1 / 2, 1 / 4, 1 / 12)[max(0, min(2, precision))]
+
+
+def gars_precision(resolution: float) -> int:
+    return next((p for p in range(2) if gars_resolution(p) <= abs(resolution)), 2)
+
+
+def georef_resolution(precision: int) -> float:
+    return (15.0, 1.0)[max(0, precision)] if precision < 2 else 1 / (60 * 10.0 ** (min(precision, 11) - 2))
+
+
+def georef_precision(resolution: float) -> int:
+    return next((p for p in range(11) if georef_resolution(p) <= abs(resolution)), 11)
+
+
+def gars_reverse(code: Column, centre: bool = True) -> Column:
+    """Struct lat, lon, precision of the centre, or the south-west corner, of a code's cell; null if the text is none."""
+    upper = F.upper(code)
+    part = lambda k: F.regexp_extract(upper, f"^([0-9]{{3}})([{GARS}])([{GARS}])([1-4]?)([1-9]?)$", k)
+    at = lambda k: F.instr(F.lit(GARS), part(k)) - 1
+    band, precision = part(1).try_cast("int") - 1, F.length(part(4)) + F.length(part(5))
+    row = at(2) * 24 + at(3)
+    quadrant, key = part(4).try_cast("int") - 1, part(5).try_cast("int") - 1
+    unit = F.when(precision == 0, 0.5).when(precision == 1, 0.25).otherwise(1 / 12)
+    deep = lambda q, k, c: F.when(precision > 0, q * 0.25).otherwise(0.0) + F.when(precision > 1, k / 12).otherwise(0.0) + (unit / 2 if c else F.lit(0.0))
+    lat = row / 2 - 90 + deep(1 - F.floor(quadrant / 2), 2 - F.floor(key / 3), centre)
+    lon = band / 2 - 180 + deep(quadrant % 2, key % 3, centre)
+    return F.when((part(1) != "") & band.between(0, 719) & (row < 360), F.struct(lat.alias("lat"), lon.alias("lon"), precision.alias("precision")))
+
+
+def georef_reverse(code: Column, centre: bool = True) -> Column:
+    """Struct lat, lon, precision (see ``georef``) of the centre, or the south-west corner, of a code's cell; null if the text is none."""
+    upper = F.upper(code)
+    part = lambda k: F.regexp_extract(upper, f"^([{GEOREF}])([A-M])(?:([A-HJ-NPQ])([A-HJ-NPQ])((?:[0-9][0-9]){{0,11}}))?$", k)
+    at = lambda k: F.instr(F.lit(GEOREF), part(k)) - 1
+    half = (F.length(part(5)) / 2).cast("int")
+    precision = F.when(part(3) == "", 0).when(half == 0, 1).otherwise(half)
+    number = lambda k: F.substring(part(5), k, half).try_cast("bigint")
+    unit = F.when(precision == 0, 15.0).when(precision == 1, 1.0).otherwise(F.lit(1.0) / (60 * F.pow(F.lit(10.0), precision - 2)))
+    degree = lambda big, small: at(big) * 15 + F.when(precision > 0, at(small)).otherwise(0)
+    more = lambda k: F.when(precision > 1, number(k) * unit).otherwise(0.0) + (unit / 2 if centre else F.lit(0.0))
+    good = (part(1) != "") & (half != 1) & ((precision < 2) | (F.greatest(F.substring(part(5), F.lit(1), F.lit(2)), F.substring(part(5), half + 1, F.lit(2))) < "60"))
+    return F.when(good, F.struct((degree(2, 4) + more(half + 1) - 90).alias("lat"), (degree(1, 3) + more(F.lit(1)) - 180).alias("lon"), precision.alias("precision")))
+
+
 def utm_zone(lat: Column, lon: Column) -> Column:
     """Standard zone, 1 to 60, with the exceptions of Norway and Svalbard; 0 (polar) outside [-80, 84)."""
-    x = F.floor(ang_normalize(lon))
-    x = F.when(x == 180, F.lit(-180)).otherwise(x).cast("int")
-    zone = F.floor((x + 186) / 6).cast("int")
-    band = F.floor((F.floor(lat) + 80) / 8)
-    norway = (band == 17) & (zone == 31) & (x >= 3)
-    svalbard = (lat >= 72) & (x >= 0) & (x < 42)
-    zone = F.when(norway, F.lit(32)).when(svalbard, (2 * F.floor((x + 183) / 12) + 1).cast("int")).otherwise(zone)
-    return F.when(_good(lat, lon), F.when((lat >= -80) & (lat < 84), zone).otherwise(F.lit(0)))
+
+    def zone(s: Column) -> Column:
+        x = F.when(s["x"] == 180, F.lit(-180)).otherwise(s["x"]).cast("int")
+        plain = F.floor((x + 186) / 6).cast("int")
+        norway = (F.floor((F.floor(s["lat"]) + 80) / 8) == 17) & (plain == 31) & (x >= 3)
+        svalbard = (s["lat"] >= 72) & (x >= 0) & (x < 42)
+        plain = F.when(norway, F.lit(32)).when(svalbard, (2 * F.floor((x + 183) / 12) + 1).cast("int")).otherwise(plain)
+        return F.when((s["lat"] >= -80) & (s["lat"] < 84), plain).otherwise(F.lit(0))
+
+    return F.when(_good(lat, lon), bind(struct(lat=lat, x=F.floor(ang_normalize(lon))), zone))
 
 
 def epsg(zone: Column, north: Column) -> Column:

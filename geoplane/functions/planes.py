@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .angles import ang_diff, ang_normalize, cosd, sind
+from .bound import bind, struct
 from .ellipsoid import WGS84, Ellipsoid
 
 UPS_SCALE, UPS_FALSE = 0.994, 2_000_000.0
@@ -45,12 +46,11 @@ def _q_of(lat: float, e: Ellipsoid) -> float:
 def _latitude(t: Column, e: Ellipsoid) -> Column:
     """The latitude whose ``_t`` is t; each round leaves e2 of the error."""
     ec = math.sqrt(e.e2)
-    psi = -F.log(F.greatest(t, F.lit(1e-300)))
-    s = F.tanh(psi)
-    for _ in range(8):
-        s = F.tanh(psi + ec * F.atanh(ec * s))
+    bulge = lambda s: s["psi"] + ec * F.atanh(ec * s["s"])
+    start = lambda psi: struct(psi=psi, s=F.tanh(psi))
+    closer = lambda s: struct(psi=s["psi"], s=F.tanh(bulge(s)))
     # the cosine's side, by asinh's argument, keeps its digits near a pole
-    return F.degrees(F.atan(F.sinh(psi + ec * F.atanh(ec * s))))
+    return bind(-F.log(F.greatest(t, F.lit(1e-300))), start, *[closer] * 8, lambda s: F.degrees(F.atan(F.sinh(bulge(s)))))
 
 
 def authalic_latitude(lat: Column, e: Ellipsoid = WGS84) -> Column:
@@ -81,20 +81,28 @@ def _polar_radius(k0: float, e: Ellipsoid) -> float:
 
 def polar_stereographic(north: Column, lat: Column, lon: Column, k0: float = UPS_SCALE, e: Ellipsoid = WGS84) -> Column:
     """Struct x, y, gamma (convergence, degrees), k (scale) about a pole; null at the other pole."""
-    sign = F.when(north, F.lit(1.0)).otherwise(F.lit(-1.0))
-    own = lat * sign
-    rho = _t(own, e) * _polar_radius(k0, e)
-    s, c = sind(own), cosd(own)
-    k = F.when(own == 90, F.lit(k0)).otherwise(rho / F.nullif(c, F.lit(0.0)) * F.sqrt(1 - e.e2 * s * s) / e.a)
-    found = F.struct((rho * sind(lon)).alias("x"), (-sign * rho * cosd(lon)).alias("y"), ang_normalize(sign * lon).alias("gamma"), k.alias("k"))
-    return F.when(own > -90, found)
+
+    def own(i: Column) -> Column:
+        sign = F.when(i["north"], F.lit(1.0)).otherwise(F.lit(-1.0))
+        return struct(sign=sign, lat=i["lat"] * sign, lon=i["lon"], rho=_t(i["lat"] * sign, e) * _polar_radius(k0, e))
+
+    def placed(s: Column) -> Column:
+        sine, cosine = sind(s["lat"]), cosd(s["lat"])
+        k = F.when(s["lat"] == 90, F.lit(k0)).otherwise(s["rho"] / F.nullif(cosine, F.lit(0.0)) * F.sqrt(1 - e.e2 * sine * sine) / e.a)
+        found = struct(x=s["rho"] * sind(s["lon"]), y=-s["sign"] * s["rho"] * cosd(s["lon"]), gamma=ang_normalize(s["sign"] * s["lon"]), k=k)
+        return F.when(s["lat"] > -90, found)
+
+    return bind(struct(north=north, lat=lat, lon=lon), own, placed)
 
 
 def polar_stereographic_reverse(north: Column, x: Column, y: Column, k0: float = UPS_SCALE, e: Ellipsoid = WGS84) -> Column:
     """Struct lat, lon."""
-    sign = F.when(north, F.lit(1.0)).otherwise(F.lit(-1.0))
-    lat = sign * _latitude(F.hypot(x, y) / _polar_radius(k0, e), e)
-    return F.struct(lat.alias("lat"), F.degrees(F.atan2(x, -sign * y)).alias("lon"))
+
+    def placed(s: Column) -> Column:
+        sign = F.when(s["north"], F.lit(1.0)).otherwise(F.lit(-1.0))
+        return struct(lat=sign * s["lat"], lon=F.degrees(F.atan2(s["x"], -sign * s["y"])))
+
+    return bind(struct(north=north, x=x, y=y, lat=_latitude(F.hypot(x, y) / _polar_radius(k0, e), e)), placed)
 
 
 def ups(lat: Column, lon: Column) -> Column:

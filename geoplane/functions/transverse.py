@@ -41,7 +41,7 @@ def transverse_mercator(lon0, lat, lon, k0: float = 1.0, e: Ellipsoid = WGS84) -
 
 
 def transverse_mercator_reverse(lon0, x, y, k0: float = 1.0, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
-    """lat, lon of a projected point, by Newton's method on the series and on the conformal latitude."""
+    """lat, lon, gamma, k of a projected point, by Newton's method on the series and on the conformal latitude."""
     radius, alpha = _tm_constants(e)
     w = (np.asarray(y, np.float64) + 1j * np.asarray(x, np.float64)) / (k0 * radius)
     z = w.copy()
@@ -54,4 +54,6 @@ def transverse_mercator_reverse(lon0, x, y, k0: float = 1.0, e: Ellipsoid = WGS8
     for _ in range(8):
         s = np.tanh(psi + ec * np.arctanh(ec * s))
     lon = np.degrees(lam) + lon0
-    return {"lat": np.degrees(np.arctan(np.sinh(psi + ec * np.arctanh(ec * s)))), "lon": lon - 360 * np.rint(lon / 360)}
+    lat = np.degrees(np.arctan(np.sinh(psi + ec * np.arctanh(ec * s))))
+    found = transverse_mercator(lon0, lat, lon, k0, e)
+    return {"lat": lat, "lon": lon - 360 * np.rint(lon / 360), "gamma": found["gamma"], "k": found["k"]}
