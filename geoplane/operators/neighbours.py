@@ -19,11 +19,11 @@ def _placed(points: DataFrame, key: str, side: float, e: Ellipsoid) -> DataFrame
     return p.select(key, "lat", "lon", "p.x", "p.y", "p.z", cell("x"), cell("y"), cell("z"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
-    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid.
+def _chord_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid) -> DataFrame:
+    """(left_key, lat, lon, right_key, r_lat, r_lon, chord) of the pairs whose chord through the ellipsoid is ``radius`` or less.
 
     A chord is never longer than the geodesic, so partners are in the same cube of space or one beside it: an
-    equi-join on cubes, a chord filter in native columns, and the exact distance for what is left.
+    equi-join on cubes and a filter, all in native columns.
     """
     a, b = _placed(left, left_key, radius, e), _placed(right, right_key, radius, e)
     b = b.select(*[F.col(c).alias(f"r_{c}" if c != right_key else c) for c in b.columns])
@@ -31,26 +31,57 @@ def radius_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     for axis in "xyz":
         b = b.withColumn("_d", near).withColumn(f"c{axis}", F.col(f"r_c{axis}") + F.col("_d")).drop("_d")
     pairs = a.join(b, ["cx", "cy", "cz"])
-    chord2 = sum((F.col(c) - F.col(f"r_{c}")) ** 2 for c in "xyz")
-    pairs = pairs.filter(chord2 <= (radius * (1 + 1e-12)) ** 2)
-    pairs = pairs.withColumn("distance", inverse(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"), e)["s12"])
+    chord = F.sqrt(sum((F.col(c) - F.col(f"r_{c}")) ** 2 for c in "xyz"))
+    return pairs.filter(chord <= radius * (1 + 1e-12)).select(left_key, "lat", "lon", right_key, "r_lat", "r_lon", chord.alias("chord"))
+
+
+def _measured(pairs: DataFrame, e: Ellipsoid) -> DataFrame:
+    return pairs.withColumn("distance", inverse(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"), e, "s12")["s12"])
+
+
+def radius_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
+    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid."""
+    pairs = _measured(_chord_pairs(left, right, left_key, right_key, radius, e), e)
     return pairs.filter(F.col("distance") <= radius).select(left_key, right_key, "distance")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, e: Ellipsoid = WGS84, first_radius: float | None = None) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
+    """The rows of ``left`` with some row of ``right`` at most ``radius`` metres away."""
+    return left.join(radius_join(left, right, left_key, right_key, radius, e).select(left_key).distinct(), left_key, "left_semi")
+
+
+def nearest_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, e: Ellipsoid = WGS84, first_radius: float | None = None, most: float = math.inf, least: float = -1.0
+) -> DataFrame:
     """(left_key, right_key, distance, rank) of the ``k`` nearest of ``right`` for each of ``left``; ties by right_key.
 
+    Only pairs at most ``most`` and more than ``least`` metres apart count (0 leaves out a point itself, in a join of
+    a table with itself).
+
     A radius is tried that holds some multiple of k points on average; left rows that found fewer than k go on with
-    twice the radius, until all have k or the radius spans the ellipsoid. Keys must be unique in each table.
+    twice the radius, until all have k or the radius spans the ellipsoid. Of the candidates of a row only those are
+    measured whose chord is no longer than the geodesic of the k-th shortest chord can be. Keys must be unique in
+    each table. Needs spark.checkpoint.dir, to which each round's rest is written.
     """
     n = right.count()
-    wanted = min(k, n)
+    wanted = min(k, n) if least < 0 else k
     radius = first_radius or 2 * e.a * math.sqrt(2 * max(1, k) / max(1, n))
+    least_radius = min(e.a, e.b) ** 2 / max(e.a, e.b)  # of curvature: arcs bend no more than circles of that radius
     todo, done = left, None
-    w = Window.partitionBy(left_key).orderBy("distance", right_key)
+    by_chord, by_distance = Window.partitionBy(left_key).orderBy("chord", right_key), Window.partitionBy(left_key).orderBy("distance", right_key)
+    far = min(3.2 * e.a, max(most, 1.0))
     while wanted:
-        whole = radius >= 3.2 * e.a
-        found = radius_join(todo, right, left_key, right_key, min(radius, 3.2 * e.a), e).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        whole = radius >= far
+        reach = min(radius, far)
+        pairs = _chord_pairs(todo, right, left_key, right_key, reach, e)
+        if least >= 0:  # chords up to that are not among the k
+            pairs = pairs.filter(F.col("chord") > least * 0.5)
+        pairs = pairs.withColumn("_k", F.row_number().over(by_chord))
+        longest = F.max(F.when(F.col("_k") <= (k if least < 0 else k + 1), F.col("chord"))).over(Window.partitionBy(left_key))
+        bound = 2 * least_radius * F.asin(F.least(longest / (2 * least_radius), F.lit(1.0))) if least <= 0 else F.lit(math.inf)
+        pairs = pairs.withColumn("_b", bound).filter((F.col("chord") <= F.col("_b") * (1 + 1e-12)) | (F.col("_b") >= math.pi * least_radius * 0.999))
+        found = _measured(pairs, e).filter((F.col("distance") <= min(reach, most)) & (F.col("distance") > least))
+        found = found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank")
         full = found.groupBy(left_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= wanted).select(left_key)
         kept = found if whole else found.join(full, left_key, "left_semi")
         done = kept if done is None else done.unionByName(kept)

@@ -88,6 +88,18 @@ def test_joins_are_brute_force(spark):
     assert near == want
 
 
+def test_nearest_with_limits(spark):
+    a = queries._customers(spark, SF)
+    x = a.toPandas()
+    d = {(i, j): geodesic.inverse(la, lo, x.lat.to_numpy(), x.lon.to_numpy())["s12"][n] for i, la, lo in x.itertuples(index=False) for n, j in enumerate(x.id)}
+    b = a.withColumnRenamed("id", "other")
+    near = {(r.id, r["rank"]): r.other for r in neighbours.nearest_join(a, b, "id", "other", 2, least=0.0, most=1_500_000.0).collect()}
+    want = {(i, k + 1): j for i in x.id for k, j in enumerate([j for j in sorted(x.id, key=lambda j: (d[i, j], j)) if 0 < d[i, j] <= 1_500_000][:2])}
+    assert near == want
+    got = {r.id for r in neighbours.within_radius(a, b.filter("other % 7 = 0"), "id", "other", 800_000.0).collect()}
+    assert got == {i for i in x.id if any(d[i, j] <= 800_000 for j in x.id if j % 7 == 0)}
+
+
 def test_lines(spark, tmp_path):
     lines = ["40:38:23N 073:46:44W # home", "33.3 44.4", "E44d24 N33d20", "91 0", "x y", "1", ""]
     got = parse_points(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
