@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from .ellipsoid import WGS84, Ellipsoid
-from .geodesic import sincosd
+from .geodesic import difference, sincosd
 from .rhumb import isometric
 
 # Krueger's series for the transverse Mercator projection, coefficients of n, n^2, ..., n^6.
@@ -57,3 +57,26 @@ def transverse_mercator_reverse(lon0, x, y, k0: float = 1.0, e: Ellipsoid = WGS8
     lat = np.degrees(np.arctan(np.sinh(psi + ec * np.arctanh(ec * s))))
     found = transverse_mercator(lon0, lat, lon, k0, e)
     return {"lat": lat, "lon": lon - 360 * np.rint(lon / 360), "gamma": found["gamma"], "k": found["k"]}
+
+
+def transverse_mercator_exact(lon0, lat, lon, k0: float = 1.0, e: Ellipsoid = WGS84) -> dict[str, np.ndarray]:
+    """x, y of the projection itself, without a series: the meridian's length as a function of the isometric latitude, continued to complex numbers.
+
+    Within 80 degrees of lon0. For an oblate ellipsoid.
+    """
+    lat, lon = np.broadcast_arrays(np.atleast_1d(np.asarray(lat, np.float64)), np.asarray(lon, np.float64))
+    lam, ec = np.radians(difference(lon0, lon)), np.sqrt(e.e2)
+    zeta = isometric(lat, e) + 1j * lam
+    s = np.tanh(zeta)
+    for _ in range(40):
+        s = np.tanh(zeta + ec * np.arctanh(ec * s))
+    phi = np.arcsin(s)
+    # Gauss-Legendre on the straight way from the equator
+    nodes, weights = np.polynomial.legendre.leggauss(24)
+    w = np.zeros_like(phi)
+    for k in range(4):
+        t = phi[:, None] * ((k + (nodes + 1) / 2) / 4)
+        w = w + (weights / (1 - e.e2 * np.sin(t) ** 2) ** 1.5).sum(axis=1) * phi / 8
+    w = w * e.a * (1 - e.e2)
+    far = np.abs(lam) > np.radians(80)
+    return {"x": np.where(far, np.nan, k0 * w.imag), "y": np.where(far, np.nan, k0 * w.real)}

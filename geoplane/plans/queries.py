@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import angles, frames, grids, planes
+from ..functions import angles, frames, grids, planes, rhumb, transverse
 from ..functions.ellipsoid import WGS84
-from ..operators import geodesics, neighbours, polygons, projections
+from ..operators import geodesics, neighbours, osgb, polygons, projections
 
 A, FL, E2 = WGS84.a, WGS84.f, WGS84.e2
 
@@ -102,7 +103,7 @@ def geodesic_direct(spark, sf_dir):
 
 def rhumb_lines(spark, sf_dir):
     g = geodesics.rhumb_inverse(F.col("lat"), F.col("lon"), F.lit(1.36), F.lit(103.99))
-    return _customers(spark, sf_dir).withColumn("g", g).select("id", _r(F.col("g.azi12"), "azi12"), _r(F.col("g.s12"), "s12"))
+    return _customers(spark, sf_dir).withColumn("g", g).select("id", _r(F.col("g.azi12"), "azi12"), _r(F.col("g.s12"), "s12", 4))
 
 
 def utm_points(spark, sf_dir):
@@ -121,10 +122,13 @@ def track_length(spark, sf_dir):
     return geodesics.track_lengths(track, "user_id", ["ts", "event_id"]).select("user_id", "event_id", _r(F.col("so_far"), "so_far", 3))
 
 
-def polygon_area(spark, sf_dir):
+def _rings(spark, sf_dir):
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rings = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (((k * 7919) % 17001).cast("double") / 100.0 - 85.0).alias("lat"), (((k * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"))
-    return polygons.polygon_areas(rings, "l_orderkey", ["l_linenumber"]).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 3), _r(F.col("area"), "area", 0))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (((k * 7919) % 17001).cast("double") / 100.0 - 85.0).alias("lat"), (((k * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"))
+
+
+def polygon_area(spark, sf_dir):
+    return polygons.polygon_areas(_rings(spark, sf_dir), "l_orderkey", ["l_linenumber"]).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 3), _r(F.col("area"), "area", 0))
 
 
 def radius_pairs(spark, sf_dir):
@@ -158,12 +162,66 @@ def mgrs_codes(spark, sf_dir):
     return _customers(spark, sf_dir).select("id", projections.mgrs(F.col("lat"), F.col("lon")).alias("mgrs"))
 
 
+def geodesic_terms(spark, sf_dir):
+    """Everything that the inverse problem gives, and its second point back by arc."""
+    g = geodesics.inverse(F.col("lat"), F.col("lon"), F.lit(-30.0), F.lit(150.0), fields="s12 a12 azi1 azi2 m12 scale12 scale21 area12")
+    back = geodesics.direct(F.col("lat"), F.col("lon"), F.col("g.azi1"), F.col("g.a12"), arc=True, fields="lat2 lon2 s12")
+    out = _customers(spark, sf_dir).withColumn("g", g).withColumn("b", back)
+    return out.select("id", _r(F.col("g.a12"), "a12"), _r(F.col("g.m12"), "m12", 3), _r(F.col("g.scale12"), "scale12"), _r(F.col("g.scale21"), "scale21"), _r(F.col("g.area12") / 1e6, "area_km2", 0), _r(F.col("b.lat2"), "lat2"), _r(F.col("b.lon2"), "lon2"))
+
+
+def utm_round_trip(spark, sf_dir):
+    out = _customers(spark, sf_dir).withColumn("u", projections.forward(F.col("lat"), F.col("lon"))).withColumn("b", projections.reverse(F.col("u.zone"), F.col("u.north"), F.col("u.easting"), F.col("u.northing")))
+    east = F.when(F.col("b.lon") > 179.9999999, F.col("b.lon") - 360).otherwise(F.col("b.lon"))
+    return out.select("id", _r(F.col("b.lat"), "lat2"), _r(east, "lon2"), projections.encode_zone(F.col("u.zone"), F.col("u.north")).alias("zone"))
+
+
+def mgrs_cells(spark, sf_dir):
+    """The codes' 100 m cells, read back: corners in whole hundreds of metres."""
+    code = projections.mgrs(F.col("lat"), F.col("lon"), 3)
+    out = _customers(spark, sf_dir).withColumn("code", code).withColumn("g", projections.mgrs_reverse(F.col("code"), centre=False)).withColumn("t", projections.mgrs_parts(F.col("code")))
+    return out.select("id", "code", F.col("g.zone").alias("zone"), _r(F.col("g.easting"), "easting", 0), _r(F.col("g.northing"), "northing", 0), F.col("t.square").alias("square"))
+
+
+def gars_cells(spark, sf_dir):
+    g = grids.gars_reverse(grids.gars(F.col("lat"), F.col("lon")))
+    return _customers(spark, sf_dir).withColumn("g", g).select("id", _r(F.col("g.lat"), "lat2"), _r(F.col("g.lon"), "lon2"), F.col("g.precision").alias("precision"))
+
+
+def georef_cells(spark, sf_dir):
+    g = grids.georef_reverse(grids.georef(F.col("lat"), F.col("lon"), 4))
+    return _customers(spark, sf_dir).withColumn("g", g).select("id", _r(F.col("g.lat"), "lat2"), _r(F.col("g.lon"), "lon2"), F.col("g.precision").alias("precision"))
+
+
+def zone_codes(spark, sf_dir):
+    zone, north = (F.col("id") % 61).cast("int"), F.col("lat") >= 0
+    d, e = projections.decode_zone(projections.encode_zone(zone, north)), projections.decode_epsg(grids.epsg(zone, north))
+    return _customers(spark, sf_dir).select("id", projections.encode_zone(zone, north, False).alias("name"), d["zone"].alias("zone"), d["north"].alias("north"), e["zone"].alias("epsg_zone"))
+
+
+def osgb_references(spark, sf_dir):
+    x, y = ((F.col("id") * 7919) % 700_000).cast("double") + 0.5, ((F.col("id") * 104_729) % 1_300_000).cast("double") + 0.5
+    out = _customers(spark, sf_dir).select("id", x.alias("x"), y.alias("y")).withColumn("ref", osgb.grid_reference(F.col("x"), F.col("y"), 4)).withColumn("g", osgb.grid_reference_reverse(F.col("ref"), centre=False))
+    return out.select("id", "ref", F.col("g.easting").alias("easting"), F.col("g.northing").alias("northing"))
+
+
+def osgb_points(spark, sf_dir):
+    lat, lon = 50 + F.col("id") % 1000 / 125.0, -7 + F.col("id") % 977 / 110.0
+    return _customers(spark, sf_dir).withColumn("g", osgb.forward(lat, lon)).select("id", _r(F.col("g.easting"), "easting", 3), _r(F.col("g.northing"), "northing", 3))
+
+
+def polygon_kinds(spark, sf_dir):
+    """Rings of rhumb lines, with what lies to their left in [0, whole)."""
+    return polygons.polygon_areas(_rings(spark, sf_dir), "l_orderkey", ["l_linenumber"], edges="rhumb", sign=False).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 2), _r(F.col("area") / 1e6, "area_km2", 0))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         geodesic_inverse, geodesic_direct, geodesic_waypoints, rhumb_lines, utm_points, track_length, polygon_area, radius_pairs, nearest_pairs, angle_normalize, angle_trig, dms_text,
         dms_round_trip, gars_codes, georef_codes, geohash_codes, utm_zones, geocentric_points, geodetic_points, local_points, auxiliary_latitudes, curvature_radii,
         mercator_points, ups_points, conic_points, mgrs_codes,
+        geodesic_terms, utm_round_trip, mgrs_cells, gars_cells, georef_cells, zone_codes, osgb_references, osgb_points, polygon_kinds,
     )
 }
 
@@ -201,7 +259,74 @@ _P1, _P2 = repr(39 + 56 / 60), repr(40 + 58 / 60)
 _ZONE = """case when lat < -80 or lat >= 84 then 0
   when cast(floor((floor(lat) + 80) / 8) as int) = 17 and ix between 3 and 5 then 32
   when lat >= 72 and ix between 0 and 41 then 2 * ((ix + 183) // 12) + 1 else (ix + 186) // 6 end"""
+
+
+def _tm_sql(zone_lon: str, lat: str, lon: str, k0: float, e, source: str, keep: str) -> str:
+    """Steps t0 to t2 of a transverse Mercator projection in SQL; t2 has ``keep``, x and y."""
+    radius, alpha = transverse._tm_constants(e)
+    ec = e.e2**0.5
+    sh, ch = (lambda x: f"((exp({x}) - exp(-({x}))) / 2)"), (lambda x: f"((exp({x}) + exp(-({x}))) / 2)")
+    sums = lambda a, b, trig: " + ".join(f"{c!r} * {trig}({2 * (j + 1)} * xi) * {b(f'{2 * (j + 1)} * eta')}" for j, c in enumerate(alpha))
+    return f"""t0 as (select {keep}, radians({_N(f'({lon} - ({zone_lon}))')}) as lam, asinh(tan(radians({lat}))) - {ec!r} * atanh({ec!r} * sin(radians({lat}))) as psi from {source}),
+t1 as (select {keep}, atan2({sh('psi')}, cos(lam)) as xi, asinh(sin(lam) / sqrt(power({sh('psi')}, 2) + power(cos(lam), 2))) as eta from t0),
+t2 as (select {keep}, {k0 * radius!r} * (eta + {sums('xi', sh, 'cos')}) as x, {k0 * radius!r} * (xi + {sums('xi', ch, 'sin')}) as y from t1)"""
+
+
+_UTM = f"""x as (select id, lat, lon, cast(floor(lon) as int) as ix from p), z as (select id, lat, lon, {_ZONE} as zone from x),
+{_tm_sql('6 * zone - 183', 'lat', 'lon', projections.SCALE, WGS84, 'z', 'id, lat, lon, zone')},
+u as (select id, lat, lon, zone, lat >= 0 as north, case when zone > 0 then x + 500000 else 2000000 + {_RHO} * sin(radians(lon)) end as easting,
+  case when zone > 0 then y + case when lat < 0 then 10000000 else 0 end else 2000000 - case when lat >= 0 then 1 else -1 end * {_RHO} * cos(radians(lon)) end as northing from t2)"""
+_AT = lambda letters, k: f"substr({letters}, cast({k} as bigint) + 1, 1)"
+_PICK = lambda values, k: "case " + k + " " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
+_KIND = "((case when north then 2 else 0 end) + (case when col >= 20 then 1 else 0 end))"
+_LOW = "(case when north then 13 else 8 end)"
+
+
+def _mgrs_sql(digits: int) -> str:
+    """Steps m (tiles) and c (id, zone, square, code)."""
+    number = lambda v: f"lpad(cast((cast({v} as bigint) % 100000) // {10 ** (5 - digits)} as varchar), {digits}, '0')"
+    return f"""m as (select *, cast(floor(easting / 100000) as int) as col, cast(floor(northing / 100000) as int) as row, floor(easting) as fx, floor(northing) as fy from u),
+c as (select id, zone, north, easting, northing, case when zone > 0 then lpad(cast(zone as varchar), 2, '0') || {_AT(f"'{projections.BANDS}'", 'least(floor((floor(lat) + 80) / 8), 19)')} else {_AT(f"'{projections.UPS_BANDS}'", _KIND)} end as gridzone,
+  case when zone > 0 then {_AT(_PICK(projections.COLUMNS, '((zone - 1) % 3)'), 'col - 1')} || {_AT(f"'{projections.ROWS}'", '(row + case when zone % 2 = 0 then 5 else 0 end) % 20')}
+    else {_AT(_PICK(projections.UPS_COLUMNS, _KIND), f'col - case when col >= 20 then 20 else {_LOW} end')} || {_AT(f"case when north then '{projections.UPS_ROWS[1]}' else '{projections.UPS_ROWS[0]}' end", f'row - {_LOW}')} end as square,
+  {number('fx')} || {number('fy')} as digits from m)"""
+
+
+def _meridian_sql(lat: str) -> str:
+    """Metres of meridian from the equator: the mean rate and a sine series, by Fourier analysis of the integral."""
+    phi = np.linspace(0, 90, 129)
+    m = rhumb.meridian(np.zeros(129), phi, WGS84)
+    rate = m[-1] / (np.pi / 2)
+    rest = m - rate * np.radians(phi)
+    terms = [2 / 128 * float((rest[1:-1] * np.sin(2 * j * np.radians(phi[1:-1]))).sum()) for j in range(1, 7)]
+    return f"({float(rate)!r} * radians({lat}) + " + " + ".join(f"{c!r} * sin({2 * j} * radians({lat}))" for j, c in enumerate(terms, 1)) + ")"
+
+
+_PSI_OF = lambda x: f"(asinh(tan(radians({x}))) - {_EC!r} * atanh({_EC!r} * sin(radians({x}))))"
+_LAT0, _LON0 = np.radians(33.0), np.radians(44.0)
+_N0 = A / np.sqrt(1 - E2 * np.sin(_LAT0) ** 2)
+_O = [float(v) for v in ((_N0 + 20) * np.cos(_LAT0) * np.cos(_LON0), (_N0 + 20) * np.cos(_LAT0) * np.sin(_LON0), ((1 - E2) * _N0 + 20) * np.sin(_LAT0))]
+_SP, _CP, _SL, _CL = (float(v) for v in (np.sin(_LAT0), np.cos(_LAT0), np.sin(_LON0), np.cos(_LON0)))
+_OX, _OY = "((id * 7919) % 700000)", "((id * 104729) % 1300000)"
+_GRID25 = lambda e, n: f"substr('{osgb.LETTERS}', cast((4 - {n}) * 5 + {e} + 1 as bigint), 1)"
 ORACLE_SQL = {
+    "local_points": f"""with {PTS}, {_XYZ.replace('H', '0.0')}, d as (select id, x - {_O[0]!r} as x, y - {_O[1]!r} as y, z - {_O[2]!r} as z from g)
+select id, round({-_SL!r} * x + {_CL!r} * y, 3) as east, round({-_SP * _CL!r} * x - {_SP * _SL!r} * y + {_CP!r} * z, 3) as north, round({_CP * _CL!r} * x + {_CP * _SL!r} * y + {_SP!r} * z, 3) as up from d""",
+    "utm_points": f"with {PTS}, {_UTM} select id, case when zone > 0 then zone end as zone, case when zone > 0 then north end as north, case when zone > 0 then round(easting, 3) end as easting, case when zone > 0 then round(northing, 3) end as northing from u",
+    "utm_round_trip": f"with {PTS}, {_UTM} select id, round(lat, 6) as lat2, round(lon, 6) as lon2, case when zone > 0 then lpad(cast(zone as varchar), 2, '0') else '' end || case when north then 'n' else 's' end as zone from u",
+    "mgrs_codes": f"with {PTS}, {_UTM}, {_mgrs_sql(5)} select id, gridzone || square || digits as mgrs from c",
+    "mgrs_cells": f"with {PTS}, {_UTM}, {_mgrs_sql(3)} select id, gridzone || square || digits as code, zone, round(floor(easting / 100) * 100, 0) as easting, round(floor(northing / 100) * 100, 0) as northing, square from c",
+    "gars_cells": f"with {PTS} select id, round((floor(least((lat + 90) * 12, 2159.5)) + 0.5) / 12 - 90, 6) as lat2, round((floor({_EAST} * 12) + 0.5) / 12 - 180, 6) as lon2, 2 as precision from p",
+    "georef_cells": f"with {PTS} select id, round((floor((lat + 90) * 6000) + 0.5) / 6000 - 90, 6) as lat2, round((floor({_EAST} * 6000) + 0.5) / 6000 - 180, 6) as lon2, 4 as precision from p",
+    "zone_codes": f"""with {PTS}, z as (select id, cast(id % 61 as int) as zone, lat >= 0 as north from p)
+select id, case when zone > 0 then lpad(cast(zone as varchar), 2, '0') else '' end || case when north then 'north' else 'south' end as name, zone, north, zone as epsg_zone from z""",
+    "osgb_references": f"""with {PTS}, o as (select id, {_OX} as x, {_OY} as y, {_OX} // 100000 + 10 as e, {_OY} // 100000 + 5 as n from p)
+select id, {_GRID25('(e // 5)', '(n // 5)')} || {_GRID25('(e % 5)', '(n % 5)')} || lpad(cast(x % 100000 // 10 as varchar), 4, '0') || lpad(cast(y % 100000 // 10 as varchar), 4, '0') as ref,
+  cast(x // 10 * 10 as double) as easting, cast(y // 10 * 10 as double) as northing from o""",
+    "osgb_points": f"""with {PTS}, o as (select id, 50 + id % 1000 / 125.0 as lat, -7 + id % 977 / 110.0 as lon from p), {_tm_sql('-2.0', 'lat', 'lon', osgb.SCALE, osgb.AIRY, 'o', 'id')}
+select id, round(x + 400000, 3) as easting, round(y + {osgb._SHIFT!r}, 3) as northing from t2""",
+    "rhumb_lines": f"""with {PTS}, d as (select id, lat, radians({_N('(103.99 - lon)')}) as lam, {_PSI_OF('1.36')} - {_PSI_OF('lat')} as psi, {_meridian_sql('1.36')} - {_meridian_sql('lat')} as m from p)
+select id, round(degrees(atan2(lam, psi)), 6) as azi12, round(case when lat = 1.36 then abs(lam) * {A!r} * cos(radians(lat)) / sqrt(1 - {E2!r} * power(sin(radians(lat)), 2)) else sqrt(lam * lam + psi * psi) * m / psi end, 4) as s12 from d""",
     "angle_normalize": f"with {PTS}, x as (select id, lon * 5 + 3.25 as x, lat * 7 as y from p) select id, round({_N('x')}, 6) as norm, round({_N(f'({_N("y")} - {_N("x")})')}, 6) as diff from x",
     "angle_trig": f"with {PTS}, x as (select id, lat, lon, floor(lon) * 3 as x from p) select id, round(sin(radians(x)), 6) + 0 as s, round(cos(radians(x)), 6) + 0 as c, round(degrees(atan2(lat, lon)), 6) as t from x",
     "dms_text": f"with {PTS} select id, {_dms('lat', 2, 'N', 'S')} as lat_dms, {_dms('lon', 3, 'E', 'W')} as lon_dms from p",
