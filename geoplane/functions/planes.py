@@ -117,16 +117,29 @@ def _conic(rho: Column, rho0: float, n: float, lam: Column) -> tuple[Column, Col
     return rho * F.sin(turn), rho0 - rho * F.cos(turn)
 
 
+def _lambert(lat1: float, lat2: float, k1: float, e: Ellipsoid) -> tuple[float, float]:
+    """The cone's constant, and the radius where the isometric latitude is 0."""
+    if lat1 == lat2:
+        n = math.sin(math.radians(lat1))
+    else:
+        n = math.log(_m_of(lat1, e) / _m_of(lat2, e)) / math.log(_t_of(lat1, e) / _t_of(lat2, e))
+    return n, e.a * k1 * _m_of(lat1, e) / n / _t_of(lat1, e) ** n
+
+
+def _albers(lat1: float, lat2: float, e: Ellipsoid) -> tuple[float, float]:
+    if lat1 == lat2:
+        n = math.sin(math.radians(lat1))
+    else:
+        n = (_m_of(lat1, e) ** 2 - _m_of(lat2, e) ** 2) / (_q_of(lat2, e) - _q_of(lat1, e))
+    return n, _m_of(lat1, e) ** 2 + n * _q_of(lat1, e)
+
+
 def lambert_conformal(lat: Column, lon: Column, lat1: float, lat2: float, lon0: float, k1: float = 1.0, e: Ellipsoid = WGS84) -> Column:
     """Struct x, y, gamma, k of the conic with scale k1 on the parallels lat1 and lat2 (both on one side of the equator).
 
     y counts from the latitude of least scale, whose sine is the cone's constant. Null at the pole that is far away.
     """
-    if lat1 == lat2:
-        n = math.sin(math.radians(lat1))
-    else:
-        n = math.log(_m_of(lat1, e) / _m_of(lat2, e)) / math.log(_t_of(lat1, e) / _t_of(lat2, e))
-    size = e.a * k1 * _m_of(lat1, e) / n / _t_of(lat1, e) ** n
+    n, size = _lambert(lat1, lat2, k1, e)
     lam = ang_diff(F.lit(lon0), lon)
     rho = F.pow(_t(lat, e), F.lit(n)) * size
     x, y = _conic(rho, size * _t_of(math.degrees(math.asin(n)), e) ** n, n, lam)
@@ -137,12 +150,51 @@ def lambert_conformal(lat: Column, lon: Column, lat1: float, lat2: float, lon0:
 
 def albers_equal_area(lat: Column, lon: Column, lat1: float, lat2: float, lat0: float, lon0: float, e: Ellipsoid = WGS84) -> Column:
     """Struct x, y, gamma of the conic true on the parallels lat1 and lat2; y counts from lat0."""
-    if lat1 == lat2:
-        n = math.sin(math.radians(lat1))
-    else:
-        n = (_m_of(lat1, e) ** 2 - _m_of(lat2, e) ** 2) / (_q_of(lat2, e) - _q_of(lat1, e))
-    c = _m_of(lat1, e) ** 2 + n * _q_of(lat1, e)
+    n, c = _albers(lat1, lat2, e)
     lam = ang_diff(F.lit(lon0), lon)
     rho = F.sqrt(F.greatest(c - n * _q(sind(lat), e), F.lit(0.0))) * (e.a / n)
     x, y = _conic(rho, e.a / n * math.sqrt(c - n * _q_of(lat0, e)), n, lam)
     return F.struct(x.alias("x"), y.alias("y"), (lam * n).alias("gamma"))
+
+
+def _back(x: Column, y: Column, rho0: float, n: float, lon0: float) -> tuple[Column, Column]:
+    """Signed radius and longitude of a point of a conic projection."""
+    side = math.copysign(1.0, n)
+    turn = F.atan2(x * side, (rho0 - y) * side)
+    return F.hypot(x, rho0 - y) * side, ang_normalize(F.degrees(turn) / n + lon0)
+
+
+def lambert_conformal_reverse(x: Column, y: Column, lat1: float, lat2: float, lon0: float, k1: float = 1.0, e: Ellipsoid = WGS84) -> Column:
+    """Struct lat, lon of a point of ``lambert_conformal``."""
+    n, size = _lambert(lat1, lat2, k1, e)
+    rho, lon = _back(x, y, size * _t_of(math.degrees(math.asin(n)), e) ** n, n, lon0)
+    return bind(struct(rho=rho, lon=lon), lambda s: struct(lat=_latitude(F.pow(s["rho"] / size, F.lit(1 / n)), e), lon=s["lon"]))
+
+
+def _closer(e: Ellipsoid):
+    """A step of Newton's method on the sine of a latitude whose ``_q`` is known."""
+
+    def step(s: Column) -> Column:
+        w = 1 - e.e2 * s["s"] * s["s"]
+        sine = s["s"] + (s["q"] - _q(s["s"], e)) * w * w / (2 * (1 - e.e2))
+        return struct(q=s["q"], lon=s["lon"], s=F.greatest(F.least(sine, F.lit(1.0)), F.lit(-1.0)))
+
+    return step
+
+
+def _of_q(q: Column, lon: Column, e: Ellipsoid) -> Column:
+    start = lambda s: struct(q=s["q"], lon=s["lon"], s=F.greatest(F.least(s["q"] / 2, F.lit(1.0)), F.lit(-1.0)))
+    return bind(struct(q=q, lon=lon), start, *[_closer(e)] * 6, lambda s: struct(lat=F.degrees(F.asin(s["s"])), lon=s["lon"]))
+
+
+def albers_equal_area_reverse(x: Column, y: Column, lat1: float, lat2: float, lat0: float, lon0: float, e: Ellipsoid = WGS84) -> Column:
+    """Struct lat, lon of a point of ``albers_equal_area``."""
+    n, c = _albers(lat1, lat2, e)
+    rho, lon = _back(x, y, e.a / n * math.sqrt(c - n * _q_of(lat0, e)), n, lon0)
+    return _of_q((c - F.pow(rho * (n / e.a), F.lit(2.0))) / n, lon, e)
+
+
+def cylindrical_equal_area_reverse(x: Column, y: Column, lat1: float = 0.0, lon0: float = 0.0, e: Ellipsoid = WGS84) -> Column:
+    """Struct lat, lon of a point of ``cylindrical_equal_area``."""
+    k = _m_of(lat1, e)
+    return _of_q(y * (2 * k / e.a), ang_normalize(F.degrees(x / (e.a * k)) + lon0), e)

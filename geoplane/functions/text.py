@@ -15,9 +15,31 @@ def is_negative(x: Column) -> Column:
 
 
 def number_text(x: Column, digits: int = 6) -> Column:
-    """Fixed-point text, halves to even; ``nan``, ``inf``, ``-inf``."""
-    plain = F.format_string(f"%.{digits}f", F.bround(F.abs(x), digits))
-    signed = F.concat(F.when(is_negative(x), "-").otherwise(""), plain)
+    """Fixed-point text of the double as it is, halves to even; ``nan``, ``inf``, ``-inf``.
+
+    What multiplying by a power of ten leaves out is reckoned too, so 60.45, which is a little more as a double, is
+    60.5 and 0.25, which is just that, is 0.2.
+    """
+    scale, cut = 10.0**digits, 134217729.0  # 2 ** 27 + 1 parts a double in halves
+    high = cut * scale - (cut * scale - scale)
+    halves = lambda v: struct(x=v, y=v * scale, high=cut * v - (cut * v - v))
+
+    def left(s: Column) -> Column:
+        low = s["x"] - s["high"]
+        return struct(x=s["x"], y=s["y"], floor=F.floor(s["y"]).cast("double"), left=((s["high"] * high - s["y"]) + s["high"] * (scale - high) + low * high) + low * (scale - high))
+
+    def rounded(s: Column) -> Column:
+        rest = s["y"] - s["floor"]
+        up = (rest > 0.5) | ((rest == 0.5) & ((s["left"] > 0) | ((s["left"] == 0) & (s["floor"] % 2 == 1))))
+        number = (s["floor"] + F.when(up, 1.0).otherwise(0.0)).cast("decimal(38,0)").cast("string")
+        return struct(x=s["x"], number=F.when(F.length(number) <= digits, F.lpad(number, digits + 1, "0")).otherwise(number))
+
+    def pointed(s: Column) -> Column:
+        whole = F.length(s["number"]) - digits
+        text = F.concat(F.substring(s["number"], F.lit(1), whole), F.lit("."), F.substring(s["number"], whole + 1, F.lit(digits))) if digits else s["number"]
+        return F.when(s["x"] < 1e15 / scale, text).otherwise(F.format_string(f"%.{digits}f", s["x"]))
+
+    signed = F.concat(F.when(is_negative(x), "-").otherwise(""), bind(F.when(F.abs(x) < float("inf"), F.abs(x)).otherwise(0.0), halves, left, rounded, pointed))
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x.isNotNull(), signed)
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bound import bind, struct
 from ..functions.ellipsoid import WGS84, Ellipsoid
 from ..functions.frames import geocentric
 from .geodesics import inverse
@@ -14,9 +15,10 @@ from .geodesics import inverse
 
 def _placed(points: DataFrame, key: str, side: float, e: Ellipsoid) -> DataFrame:
     """(key, lat, lon, x, y, z, cx, cy, cz): points with the cube, of ``side`` metres, of space that they are in."""
-    p = points.select(F.col(key), "lat", "lon", geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e).alias("p")).filter(~F.isnan("p.x") & F.col("p.x").isNotNull())
-    cell = lambda c: F.floor(F.col(f"p.{c}") / side).cast("bigint").alias(f"c{c}")
-    return p.select(key, "lat", "lon", "p.x", "p.y", "p.z", cell("x"), cell("y"), cell("z"))
+    cell = lambda c: F.floor(c / side).cast("bigint")
+    place = lambda p: struct(x=p["x"], y=p["y"], z=p["z"], cx=cell(p["x"]), cy=cell(p["y"]), cz=cell(p["z"]))
+    p = points.select(F.col(key), "lat", "lon", bind(geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e), place).alias("p"))
+    return p.filter(~F.isnan("p.x") & F.col("p.x").isNotNull()).select(key, "lat", "lon", *(f"p.{c}" for c in ("x", "y", "z", "cx", "cy", "cz")))
 
 
 def _chord_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid) -> DataFrame:

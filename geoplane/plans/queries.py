@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import angles, frames, grids, planes, rhumb, transverse
+from ..functions import angles, frames, grids, harmonics, planes, rhumb, text, transverse
 from ..functions.ellipsoid import WGS84
-from ..operators import geodesics, neighbours, osgb, polygons, projections
+from ..operators import centred, fields, geodesics, intersections, neighbours, osgb, polygons, projections
+from ..sources import coordinates
 
 A, FL, E2 = WGS84.a, WGS84.f, WGS84.e2
 
@@ -215,13 +216,73 @@ def polygon_kinds(spark, sf_dir):
     return polygons.polygon_areas(_rings(spark, sf_dir), "l_orderkey", ["l_linenumber"], edges="rhumb", sign=False).select("l_orderkey", "n", _r(F.col("perimeter"), "perimeter", 2), _r(F.col("area") / 1e6, "area_km2", 0))
 
 
+def conic_round_trip(spark, sf_dir):
+    p = planes.lambert_conformal(F.col("lat"), F.col("lon"), 33.0, 45.0, -77.75)
+    c = planes.albers_equal_area(F.col("lat"), F.col("lon"), 29.5, 45.5, 23.0, -96.0)
+    out = _customers(spark, sf_dir).withColumn("p", p).withColumn("c", c)
+    out = out.withColumn("a", planes.lambert_conformal_reverse(F.col("p.x"), F.col("p.y"), 33.0, 45.0, -77.75)).withColumn("b", planes.albers_equal_area_reverse(F.col("c.x"), F.col("c.y"), 29.5, 45.5, 23.0, -96.0))
+    return out.select("id", _r(F.col("a.lat"), "lat_a", 5), _r(F.col("a.lon"), "lon_a", 5), _r(F.col("b.lat"), "lat_b", 5), _r(F.col("b.lon"), "lon_b", 5))
+
+
+def azimuthal_points(spark, sf_dir):
+    out = _customers(spark, sf_dir).withColumn("p", centred.centred("equidistant", F.col("lat"), F.col("lon"), 48.836, 2.337)).withColumn("g", centred.centred("gnomonic", F.col("lat"), F.col("lon"), 48.836, 2.337))
+    return out.select("id", _r(F.col("p.x"), "x", 3), _r(F.col("p.y"), "y", 3), _r(F.col("p.rk"), "rk"), _r(F.when(F.col("g.rk") > 0.2, F.col("g.x")), "gnomonic_x", 2))
+
+
+def cassini_points(spark, sf_dir):
+    out = _customers(spark, sf_dir).withColumn("p", centred.centred("cassini", F.col("lat"), F.col("lon"), 48.836, 2.337))
+    return out.select("id", _r(F.col("p.x"), "x", 3), _r(F.col("p.y"), "y", 3), _r(F.col("p.rk"), "rk"))
+
+
+def line_intersections(spark, sf_dir):
+    i = intersections.closest(F.col("lat"), F.col("lon"), F.col("lon") / 2 + 7, F.lit(10.0), F.lit(20.0), F.lit(33.0))
+    return _customers(spark, sf_dir).withColumn("i", i).select("id", _r(F.col("i.x"), "x", 3), _r(F.col("i.y"), "y", 3))
+
+
+def all_intersections(spark, sf_dir):
+    lines = points(spark, sf_dir, "supplier", "s_suppkey").select("id", F.col("lat").alias("lat_x"), F.col("lon").alias("lon_x"), (F.col("lon") / 2 + 7).alias("azi_x"), F.lit(10.0).alias("lat_y"), F.lit(20.0).alias("lon_y"), F.lit(33.0).alias("azi_y"))
+    return intersections.all_within(lines, 4.2e7).select("id", "rank", _r(F.col("x"), "x", 2), _r(F.col("y"), "y", 2))
+
+
+def segment_crossings(spark, sf_dir):
+    i = intersections.segment(F.col("lat"), F.col("lon"), F.lit(0.0), F.lit(0.0), F.lit(-60.0), F.lit(30.0), F.lit(60.0), F.lit(30.5))
+    return _customers(spark, sf_dir).withColumn("i", i).select("id", F.col("i.inside").cast("int").alias("inside"), _r(F.when(F.col("i.inside") == 1, F.col("i.x")), "x", 2))
+
+
+def normal_gravities(spark, sf_dir):
+    g = fields.normal_gravity(F.col("lat"), F.lit(0.0))
+    return _customers(spark, sf_dir).withColumn("g", g).select("id", _r(-F.col("g.up"), "gamma", 8))
+
+
+def angle_texts(spark, sf_dir):
+    lat, lon = text.dms_text(F.col("lat"), 2, 1, "latitude"), text.dms_text(F.col("lon"), 1, 2, "longitude")
+    back = text.lat_lon(lon, lat)
+    return _customers(spark, sf_dir).select("id", lat.alias("lat_text"), lon.alias("lon_text"), text.number_text(F.col("lat"), 1).alias("number"), _r(back["lat"], "lat2", 4), _r(back["lon"], "lon2", 3))
+
+
+def day_numbers(spark, sf_dir):
+    d = F.col("o_orderdate")
+    n = text.day_number(F.year(d), F.month(d), F.dayofmonth(d))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("n", n).select("o_orderkey", "n", text.weekday(F.col("n")).alias("weekday"), _r(text.fractional_year(F.date_format(d, "yyyy-MM-dd")), "year"))
+
+
+def coordinate_lines(spark, sf_dir):
+    """Points as text lines in three forms, read back."""
+    p = _customers(spark, sf_dir)
+    line = F.when(F.col("id") % 3 == 0, coordinates.decimal_text(F.col("lat"), F.col("lon"), 2)).when(F.col("id") % 3 == 1, coordinates.dms_pair(F.col("lat"), F.col("lon"), 2, long_first=True)).otherwise(coordinates.dms_pair(F.col("lat"), F.col("lon"), 2))
+    rows = coordinates.parse_coordinates(p.select("id", F.concat(line, F.lit(" # "), F.col("id").cast("string")).alias("value")))
+    east = F.when(F.col("lon") > 179.99999, F.col("lon") - 360).otherwise(F.col("lon"))
+    return rows.select("id", "comment", _r(F.col("lat"), "lat2", 4), _r(east, "lon2", 4), F.col("error").isNull().alias("good"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         geodesic_inverse, geodesic_direct, geodesic_waypoints, rhumb_lines, utm_points, track_length, polygon_area, radius_pairs, nearest_pairs, angle_normalize, angle_trig, dms_text,
         dms_round_trip, gars_codes, georef_codes, geohash_codes, utm_zones, geocentric_points, geodetic_points, local_points, auxiliary_latitudes, curvature_radii,
         mercator_points, ups_points, conic_points, mgrs_codes,
-        geodesic_terms, utm_round_trip, mgrs_cells, gars_cells, georef_cells, zone_codes, osgb_references, osgb_points, polygon_kinds,
+        geodesic_terms, utm_round_trip, mgrs_cells, gars_cells, georef_cells, zone_codes, osgb_references, osgb_points, polygon_kinds, conic_round_trip,
+        azimuthal_points, cassini_points, line_intersections, all_intersections, segment_crossings, normal_gravities, angle_texts, day_numbers, coordinate_lines,
     )
 }
 
@@ -309,7 +370,19 @@ _O = [float(v) for v in ((_N0 + 20) * np.cos(_LAT0) * np.cos(_LON0), (_N0 + 20)
 _SP, _CP, _SL, _CL = (float(v) for v in (np.sin(_LAT0), np.cos(_LAT0), np.sin(_LON0), np.cos(_LON0)))
 _OX, _OY = "((id * 7919) % 700000)", "((id * 104729) % 1300000)"
 _GRID25 = lambda e, n: f"substr('{osgb.LETTERS}', cast((4 - {n}) * 5 + {e} + 1 as bigint), 1)"
+_G = harmonics.NormalGravity().constants
+_TENTHS = "cast(round_even(abs(lat) * 36000, 0) as bigint)"
+_HUNDREDTHS = "cast(round_even(abs(lon) * 6000, 0) as bigint)"
+_TWO = lambda x: f"lpad(cast({x} as varchar), 2, '0')"
 ORACLE_SQL = {
+    "conic_round_trip": f"with {PTS} select id, round(lat, 5) as lat_a, round(lon, 5) as lon_a, round(lat, 5) as lat_b, round(lon, 5) as lon_b from p",
+    "normal_gravities": f"with {PTS} select id, round(({_G['gamma_e']!r} + {(1 - FL) * _G['gamma_p'] - _G['gamma_e']!r} * power(sin(radians(lat)), 2)) / sqrt(1 - {E2!r} * power(sin(radians(lat)), 2)), 8) as gamma from p",
+    "angle_texts": f"""with {PTS} select id, {_TWO(f'{_TENTHS} // 36000')} || 'd' || {_TWO(f'{_TENTHS} % 36000 // 600')} || chr(39) || {_TWO(f'{_TENTHS} % 600 // 10')} || '.' || cast({_TENTHS} % 10 as varchar) || chr(34) || case when lat < 0 then 'S' else 'N' end as lat_text,
+  lpad(cast({_HUNDREDTHS} // 6000 as varchar), 3, '0') || 'd' || {_TWO(f'{_HUNDREDTHS} % 6000 // 100')} || '.' || {_TWO(f'{_HUNDREDTHS} % 100')} || chr(39) || case when lon < 0 then 'W' else 'E' end as lon_text,
+  case when lat < 0 then '-' else '' end || printf('%.1f', abs(lat)) as number, round(sign(lat) * {_TENTHS} / 36000.0, 4) as lat2, round(sign(lon) * {_HUNDREDTHS} / 6000.0, 3) as lon2 from p""",
+    "day_numbers": """with d as (select o_orderkey, cast(o_orderdate as date) as d from orders)
+select o_orderkey, cast(date_diff('day', date '2000-01-01', d) + 730122 as int) as n, cast(dayofweek(d) as int) as weekday, round(year(d) + (dayofyear(d) - 1) / cast(date_diff('day', make_date(year(d), 1, 1), make_date(year(d) + 1, 1, 1)) as double), 6) as year from d""",
+    "coordinate_lines": f"with {PTS} select id, '# ' || cast(id as varchar) as comment, round(lat, 4) as lat2, round(lon, 4) as lon2, true as good from p",
     "local_points": f"""with {PTS}, {_XYZ.replace('H', '0.0')}, d as (select id, x - {_O[0]!r} as x, y - {_O[1]!r} as y, z - {_O[2]!r} as z from g)
 select id, round({-_SL!r} * x + {_CL!r} * y, 3) as east, round({-_SP * _CL!r} * x - {_SP * _SL!r} * y + {_CP!r} * z, 3) as north, round({_CP * _CL!r} * x + {_CP * _SL!r} * y + {_SP!r} * z, 3) as up from d""",
     "utm_points": f"with {PTS}, {_UTM} select id, case when zone > 0 then zone end as zone, case when zone > 0 then north end as north, case when zone > 0 then round(easting, 3) end as easting, case when zone > 0 then round(northing, 3) end as northing from u",
