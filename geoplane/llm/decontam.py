@@ -15,7 +15,7 @@ from .common import LOWER, UPPER, as_bytes, numbered, saved, table
 
 WINDOW = 10
 #: Words in a segment of the index, about; words of the benchmark that are searched for in one pass, about; places looked at in one step.
-SEGMENT, BLOCK, BYTES_A_WORD, STEP = 1_000_000, 500_000, 5, 1 << 20
+SEGMENT, BLOCK, BYTES_A_WORD, STEP = 500_000, 500_000, 5, 1 << 20
 #: Maps A-Z to a-z, keeps digits, a-z and what isn't ASCII, and makes the rest white space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

@@ -23,7 +23,7 @@ LEAST_USES, LEAST_RATIO = 3, 6
 SURE_RATIO, SURE_SHARE = 20, 0.01
 #: Landmarks are less alike than this.
 ALIKE = 0.5
-FOLDS, HELD_OUT, CACHE, PAIRS = 5, 0, 100_000, 1 << 14
+FOLDS, HELD_OUT, CACHE, PAIRS = 5, 0, 200_000, 1 << 14
 #: Words below this kernel with every landmark count as unlike all. Close characters; parts that long words are cut into; the mark of a word's start.
 LEAST, CLOSE, PIECE, START = 0.2, 3, 32, "^"
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -314,11 +314,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     return Model([r.text or "" for r in rows if r.toxic == 1], [r.text or "" for r in rows if r.toxic == 0])
 
 
-BATCH = 1 << 20
+BATCH = 1 << 21
 
 
 def _scored(model, texts: list[str | None]) -> np.ndarray:
-    """Scores, about a million characters at a time."""
+    """Scores, about two million characters at a time."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
