@@ -1 +1 @@
-
+"""Operators on streams that keep state."""

@@ -18,7 +18,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view customer as select * from '{SF}/customer.parquet'")
+    for table in ("customer", "orders"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
