@@ -59,10 +59,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert result(simhash.near_duplicates(odd_docs)) == expected(rows)
     assert simhash.near_duplicates(no_docs).collect() == []
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and {1, 6} <= set(ids) and 2 not in ids
 
 
 def test_lists_split_into_parts_lose_no_link(spark):
