@@ -63,7 +63,7 @@ def nearest_join(
     A radius is tried that holds some multiple of k points on average; left rows that found fewer than k go on with
     twice the radius, until all have k or the radius spans the ellipsoid. Of the candidates of a row only those are
     measured whose chord is no longer than the geodesic of the k-th shortest chord can be. Keys must be unique in
-    each table. Needs spark.checkpoint.dir, to which each round's rest is written.
+    each table. Needs spark.checkpoint.dir, to which each round's pairs and rest are written.
     """
     n = right.count()
     wanted = min(k, n) if least < 0 else k
@@ -83,14 +83,14 @@ def nearest_join(
         bound = 2 * least_radius * F.asin(F.least(longest / (2 * least_radius), F.lit(1.0))) if least <= 0 else F.lit(math.inf)
         pairs = pairs.withColumn("_b", bound).filter((F.col("chord") <= F.col("_b") * (1 + 1e-12)) | (F.col("_b") >= math.pi * least_radius * 0.999))
         found = _measured(pairs, e).filter((F.col("distance") <= min(reach, most)) & (F.col("distance") > least))
-        found = found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank")
+        found = found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank").checkpoint()
         full = found.groupBy(left_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= wanted).select(left_key)
         kept = found if whole else found.join(full, left_key, "left_semi")
         done = kept if done is None else done.unionByName(kept)
         if whole:
             break
         todo = todo.join(full, left_key, "left_anti").checkpoint()
-        if not todo.limit(1).count():
+        if todo.isEmpty():
             break
         radius *= 2
     return done if done is not None else radius_join(left, right, left_key, right_key, 1.0, e).withColumn("rank", F.lit(0)).limit(0)
