@@ -223,7 +223,7 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) ->
     return chosen, sure
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 30) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, c: float = 100.0, steps: int = 30) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, classes weighed alike, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * 100
