@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, licenses, lines, mixing, pieces, simhash, substrings, toxicity, vectors
+from . import chat, decontam, language, licenses, lines, mixing, periodic, pieces, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_licenses,
+    "op11_runs": periodic.op11_runs,
     "op12_pieces": pieces.op12_pieces,
     "license_forms": licenses.license_forms,
 }
