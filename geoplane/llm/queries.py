@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, licenses, lines, mixing, periodic, pieces, simhash, substrings, toxicity, vectors
+from . import alignment, chat, decontam, language, licenses, lines, mixing, periodic, pieces, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "op11_runs": periodic.op11_runs,
     "op12_pieces": pieces.op12_pieces,
+    "op13_alignment": alignment.op13_alignment,
     "license_forms": licenses.license_forms,
 }
 ORACLE_SQL = {"op3_chat": chat.SQL, "op4_decontamination": decontam.SQL, "op6_lines": lines.SQL, "op8_substrings": substrings.SQL, "op10_licenses": licenses.SQL, "license_forms": licenses.FORMS_SQL}
