@@ -1,7 +1,7 @@
 """NumPy kernels for intersections of geodesics. Lines X and Y are given by a point and an azimuth; an intersection by the displacements x, y along them.
 
-The step from trial displacements is that of the spherical triangle of the two points and the intersection of the great
-circles through them; repeated, it converges to an intersection of the geodesics near it.
+From trial displacements the lines go on as great circles of a sphere, whose normals' cross product points to where they
+meet; repeated, this converges to an intersection of the geodesics near it. Rows that have converged are left alone.
 """
 
 from __future__ import annotations
@@ -14,31 +14,48 @@ from .geodesic import _columns, difference, direct, inverse, sincosd
 ROUNDS = 30
 
 
+def _angle(to: np.ndarray, along: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The angle from a unit vector towards another by which a third lies."""
+    return np.arctan2((to * along).sum(axis=1), (to * at).sum(axis=1))
+
+
+def _meeting(z, turn_x, turn_y) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two points z apart on the unit sphere, lines through them at angles to the arc between: how far each goes to where they meet, and whether they are one line.
+
+    Coordinates are along the first point, the arc's direction there, and across. Great circles meet at the cross product
+    of their normals and opposite to it; the place that is nearer for both together is taken. Circles that are one meet
+    half-way.
+    """
+    (sz, cz), (sx, cx), (sy, cy) = ((np.sin(v), np.cos(v)) for v in (z, turn_x, turn_y))
+    zero = np.zeros_like(z)
+    p, u = np.stack([zero + 1, zero, zero], axis=1), np.stack([zero, cx, sx], axis=1)
+    q, v = np.stack([cz, sz, zero], axis=1), np.stack([-sz * cy, cz * cy, sy], axis=1)
+    normal_x, normal_y = np.stack([zero, -sx, cx], axis=1), np.stack([sz * sy, -cz * sy, cy], axis=1)
+    meet = np.cross(normal_x, normal_y)
+    agree = (normal_x * normal_y).sum(axis=1)
+    one = np.abs(meet).max(axis=1, initial=0) < 1e-14
+    # two points of one circle: half-way between them, which is where both are if they are the same
+    meet[one] = (p + q)[one]
+    dx, dy = _angle(meet, u, p), _angle(meet, v, q)
+    other_x, other_y = _angle(-meet, u, p), _angle(-meet, v, q)
+    swap = np.abs(other_x) + np.abs(other_y) < np.abs(dx) + np.abs(dy)
+    return np.where(swap, other_x, dx), np.where(swap, other_y, dy), np.where(one, np.where(agree > 0, 1, -1), 0)
+
+
 def _steps(lx, ly, x, y, e: Ellipsoid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Displacements of an intersection near x, y; and whether the lines coincide there (1, or -1 if they run against each other)."""
     radius = np.sqrt(e.authalic2)
-    same = np.zeros(len(x), int)
+    x, y, same = x.copy(), y.copy(), np.zeros(len(x), int)
+    left = np.arange(len(x))
     for _ in range(ROUNDS):
-        p = direct(*lx, x, e, fields=("lat2", "lon2", "azi2"))
-        q = direct(*ly, y, e, fields=("lat2", "lon2", "azi2"))
+        p = direct(*(c[left] for c in lx), x[left], e, fields=("lat2", "lon2", "azi2"))
+        q = direct(*(c[left] for c in ly), y[left], e, fields=("lat2", "lon2", "azi2"))
         g = inverse(p["lat2"], p["lon2"], q["lat2"], q["lon2"], e, ("s12", "azi1", "azi2"))
-        z = g["s12"] / radius
-        mu_x, mu_y = np.radians(difference(p["azi2"], g["azi1"])), np.radians(difference(q["azi2"], g["azi2"]))
-        turn = np.radians(difference(p["azi2"], q["azi2"]))
-        close = z < 1e-14
-        sx, cx, sy, cy, sz, cz = np.sin(mu_x), np.cos(mu_x), np.sin(mu_y), np.cos(mu_y), np.sin(z), np.cos(z)
-        along = (np.abs(sx) < 1e-14) & (np.abs(sy) < 1e-14) & ~close
-        met = close & (np.abs(np.sin(turn)) < 1e-14)
-        dx = np.arctan2(sy * sz, sy * cx * cz - cy * sx)
-        dy = np.arctan2(sx * sz, -sx * cy * cz + cx * sy)
-        # of the two antipodal meetings of the great circles, the nearer
-        flip = np.abs(dx) + np.abs(dy) > np.pi
-        dx, dy = np.where(flip, dx - np.copysign(np.pi, dx), dx), np.where(flip, dy - np.copysign(np.pi, dy), dy)
-        dx = np.where(along, z / 2 * cx, np.where(close, 0.0, dx))
-        dy = np.where(along, -z / 2 * cy, np.where(close, 0.0, dy))
-        same = np.where(along | met, np.where(np.cos(np.where(along, mu_x - mu_y, turn)) > 0, 1, -1), 0)
-        x, y = x + radius * dx, y + radius * dy
-        if not np.nanmax(np.abs(dx) + np.abs(dy), initial=0) > 1e-15:
+        dx, dy, same[left] = _meeting(g["s12"] / radius, np.radians(difference(g["azi1"], p["azi2"])), np.radians(difference(g["azi2"], q["azi2"])))
+        x[left] += radius * dx
+        y[left] += radius * dy
+        left = left[np.abs(dx) + np.abs(dy) > 1e-12]
+        if not len(left):
             break
     return x, y, same
 

@@ -57,48 +57,39 @@ def fraction_of(text: Column) -> Column:
 
 
 # Days are counted from 1 January of the year 1, by the Julian calendar up to 2 September 1752 and the Gregorian from 14 September on.
-def _gregorian(y: Column, m: Column, d: Column) -> Column:
-    return 100 * (100 * y + m) + d >= 17520914
+#: The first Gregorian date, its number, and four years of the Gregorian calendar that go like any four of the Julian one.
+SWITCH, SWITCH_NUMBER = "1752-09-14", 639799
+FOUR_YEARS, FOUR_DAYS = 2001, 1461
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.floor(a / b).cast("int")
+def _date(y: Column, m: Column, d: Column) -> Column:
+    return F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
 
 
 def day_number(y: Column, m: Column, d: Column) -> Column:
-    """The number of a date; null if there is no such date."""
+    """The number of a date; null if there is no such date. Spark's dates count the Gregorian days; a Julian date is counted in four years that have its form."""
 
-    def count(s: Column) -> Column:
-        early = F.when(s["m"] < 3, 1).otherwise(0)
-        years, month = s["y"] - early, s["m"] - 3 + 12 * early  # years and months from March
-        leap = F.when(_gregorian(s["y"], s["m"], s["d"]), _div(years, 400) - _div(years, 100) + 2).otherwise(0)
-        return struct(y=s["y"], m=s["m"], d=s["d"], n=_div(1461 * years, 4) + leap + _div(153 * month + 2, 5) + s["d"] - 306)
+    def number(s: Column) -> Column:
+        gregorian = SWITCH_NUMBER + F.date_diff(_date(s["y"], s["m"], s["d"]), F.lit(SWITCH).cast("date"))
+        before = F.floor((s["y"] - 1) / 4).cast("int")
+        julian = before * FOUR_DAYS + 1 + F.date_diff(_date(s["y"] - 4 * before + FOUR_YEARS - 1, s["m"], s["d"]), F.lit(f"{FOUR_YEARS}-01-01").cast("date"))
+        n = F.when(F.struct(s["y"], s["m"], s["d"]) >= F.struct(F.lit(1752), F.lit(9), F.lit(14)), gregorian).when(julian < SWITCH_NUMBER, julian)
+        return F.when((n > 0) & (s["y"] > 0), n)
 
-    def checked(s: Column) -> Column:
-        back = date_of(s["n"])
-        return F.when((s["n"] > 0) & (back["y"] == s["y"]) & (back["m"] == s["m"]) & (back["d"] == s["d"]), s["n"])
-
-    return bind(struct(y=y.cast("int"), m=m.cast("int"), d=d.cast("int")), count, checked)
+    return bind(struct(y=y.cast("int"), m=m.cast("int"), d=d.cast("int")), number)
 
 
 def date_of(n: Column) -> Column:
     """Struct y, m, d of a day's number."""
 
-    def century(s: Column) -> Column:
-        late = s["n"] >= 639799  # 14 September 1752
-        days = s["n"] + 305 - F.when(late, 2).otherwise(0)
-        c = F.when(late, _div(4 * days + 3, 146097)).otherwise(0)
-        return struct(c=c, days=days - _div(c * 146097, 4))
-
-    def year(s: Column) -> Column:
-        y = _div(4 * s["days"] + 3, 1461)
-        return struct(y=y + 100 * s["c"], days=s["days"] - _div(1461 * y, 4))
-
-    def month(s: Column) -> Column:
-        m = _div(5 * s["days"] + 2, 153)
-        return struct(y=s["y"] + _div(m + 2, 12), m=(m + 2) % 12 + 1, d=s["days"] - _div(153 * m + 2, 5) + 1)
+    def dated(s: Column) -> Column:
+        late = s["n"] >= SWITCH_NUMBER
+        before = F.floor((s["n"] - 1) / FOUR_DAYS).cast("int")
+        date = F.when(late, F.date_add(F.lit(SWITCH).cast("date"), s["n"] - SWITCH_NUMBER)).otherwise(F.date_add(F.lit(f"{FOUR_YEARS}-01-01").cast("date"), s["n"] - 1 - before * FOUR_DAYS))
+        return struct(date=date, more=F.when(late, 0).otherwise(4 * before + 1 - FOUR_YEARS))
 
-    return bind(struct(n=n.cast("int")), century, year, month)
+    parts = lambda s: struct(y=F.year(s["date"]) + s["more"], m=F.month(s["date"]), d=F.dayofmonth(s["date"]))
+    return bind(struct(n=n.cast("int")), dated, parts)
 
 
 def weekday(n: Column) -> Column:
