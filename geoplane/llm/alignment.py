@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,8 @@ from .pieces import MODEL, SPACE, model_path
 from .spaced import ragged, stretches, words_of
 
 BYTES_MODEL = "byte_bpe_50k.json"
+#: Encoded words that a worker keeps, and characters of text that it aligns at once.
+KEPT_WORDS, AT_ONCE = 400_000, 1 << 20
 
 
 class Spelled:
@@ -53,16 +56,42 @@ class Tokenizers:
         self.bytes_a = Spelled([bytes(letters[c] for c in names[i]) if all(c in letters for c in names.get(i, "?\0")) else b"" for i in range(max(names) + 1)])
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode()
         self.bytes_b = Spelled([piece(i) for i in range(self.b.get_piece_size())])
+        self._forget()
         # ids as text, with what comes after: a comma, the bar or the semicolon
         most = max(len(self.bytes_a.lengths), len(self.bytes_b.lengths))
         self.digits = Spelled([f"{i}{end}".encode() for i in range(most) for end in ",|;"])
 
     def encode_words(self, words: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """For A and for B the ids of all words and the number of each; and whether both spell a space and the word."""
-        flat = lambda lists: (np.fromiter((i for own in lists for i in own), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
-        a = flat([e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)])
+        """For A and for B the ids of all words and the number of each; and whether both spell a space and the word.
+
+        Words are kept, so that those of the next texts aren't encoded again; beyond KEPT_WORDS all are let go.
+        """
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = words
+        if new:
+            self.kept = [np.concatenate(x) for x in zip(self.kept, self._encoded(new))]
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new))))
+        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        a, sizes_a, b, sizes_b, right = self.kept
+        side = lambda ids, sizes: (ids[ragged((np.cumsum(sizes) - sizes)[own], sizes[own])].astype(np.int64), sizes[own])
+        return side(a, sizes_a), side(b, sizes_b), right[own]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.kept = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        def flat(lists):
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+        spaced = [" " + w for w in words]
+        a = flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
         b = flat(self.b.encode(words, num_threads=1))
-        want = Spelled([b" " + w.encode() for w in words])
+        want = Spelled([w.encode() for w in spaced])
         right = np.ones(len(words), bool)
         for (ids, counts), own in ((a, self.bytes_a), (b, self.bytes_b)):
             word = np.repeat(np.arange(len(words)), counts)
@@ -70,7 +99,7 @@ class Tokenizers:
             on = right[word]
             got, aim = own.of(ids[on]), want.of(np.flatnonzero(right))
             right[np.repeat(np.flatnonzero(right), want.lengths[right])[got != aim]] = False
-        return a, b, right
+        return [*a, *b, right]
 
 
 @lru_cache(maxsize=2)
@@ -152,13 +181,13 @@ def _measured(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], row: st
         rows, keys = (batch.column(batch.schema.get_field_index(c)) for c in (row, key))
         column = batch.column(batch.schema.get_field_index(text)).to_pylist()
         good = [True] * len(column)
-        if any(len(c or "") > 1 << 21 for c in column):  # a text of several stretches has no tokens if any of them is spelled otherwise
-            for own, texts, _ in stretches(column):
+        if any(len(c or "") > AT_ONCE for c in column):  # a text of several stretches has no tokens if any of them is spelled otherwise
+            for own, texts, _ in stretches(column, AT_ONCE):
                 for k, one in zip(own, texts):
                     good[k] = good[k] and SPACE not in one
         column = [c if g else None for c, g in zip(column, good)]
         totals, digests = np.zeros((len(column), 3), np.int64), [None] * len(column)
-        for own, texts, first in stretches(column):
+        for own, texts, first in stretches(column, AT_ONCE):
             x = aligned(t, texts)
             raw, at = _groups_text(t, x)
             edges_a, edges_b = np.r_[0, np.cumsum(x.counts_a)], np.r_[0, np.cumsum(x.counts_b)]
