@@ -20,74 +20,148 @@ def size_of(degree: int, order: int) -> int:
 
 @dataclass
 class Coefficients:
-    """Cosine and sine coefficients [degree, order]."""
+    """Cosine and sine coefficients [degree, order]; orders can end before degrees do."""
 
     c: np.ndarray
     s: np.ndarray
 
     @classmethod
-    def read(cls, stream: io.BufferedIOBase) -> Coefficients:
-        """A block: degree and order (32-bit), then the cosines and the sines (from order 1), a column for each order, little-endian."""
+    def read(cls, stream: io.BufferedIOBase, degree: int | None = None, order: int | None = None) -> Coefficients:
+        """A block: degree and order (32-bit), then the cosines and the sines (from order 1), a column for each order, little-endian.
+
+        Degrees and orders above ``degree`` and ``order`` are passed over.
+        """
         n, m = struct.unpack("<ii", stream.read(8))
-        c, s = np.zeros((max(n, 0) + 1,) * 2), np.zeros((max(n, 0) + 1,) * 2)
-        if n >= 0:
-            count = size_of(n, m)
-            cosines, sines = (np.frombuffer(stream.read(8 * k), "<f8") for k in (count, count - (n + 1)))
-            rows, columns = np.array([(i, j) for j in range(m + 1) for i in range(j, n + 1)]).T
-            c[rows, columns] = cosines
-            s[rows[n + 1 :], columns[n + 1 :]] = sines
+        if n < 0:
+            return cls(np.zeros((1, 1)), np.zeros((1, 1)))
+        count = size_of(n, m)
+        cosines, sines = (np.frombuffer(stream.read(8 * k), "<f8") for k in (count, count - (n + 1)))
+        top = n if degree is None else min(n, degree)
+        last = min(m if order is None else min(m, order), top)
+        c, s = np.zeros((top + 1, last + 1)), np.zeros((top + 1, last + 1))
+        for j in range(last + 1):
+            at = size_of(n, j - 1) if j else 0
+            c[j:, j] = cosines[at : at + top - j + 1]
+            if j:
+                s[j:, j] = sines[at - (n + 1) : at - (n + 1) + top - j + 1]
         return cls(c, s)
 
     def written(self) -> bytes:
-        n = len(self.c) - 1
-        rows, columns = np.array([(i, j) for j in range(n + 1) for i in range(j, n + 1)]).T
-        return struct.pack("<ii", n, n) + self.c[rows, columns].astype("<f8").tobytes() + self.s[rows[n + 1 :], columns[n + 1 :]].astype("<f8").tobytes()
+        n, m = len(self.c) - 1, self.c.shape[1] - 1
+        column = lambda a, first: b"".join(a[j:, j].astype("<f8").tobytes() for j in range(first, m + 1))
+        return struct.pack("<ii", n, m) + column(self.c, 0) + column(self.s, 1)
 
     def plus(self, other: Coefficients, times: float = 1.0) -> Coefficients:
-        """The sum with some multiple of other coefficients, of any degree."""
-        n = max(len(self.c), len(other.c))
-        wide = lambda a: np.pad(a, (0, n - len(a)))
+        """The sum with some multiple of other coefficients, of any degree and order."""
+        shape = tuple(max(v) for v in zip(self.c.shape, other.c.shape))
+        wide = lambda a: np.pad(a, [(0, n - k) for n, k in zip(shape, a.shape)])
         return Coefficients(wide(self.c) + times * wide(other.c), wide(self.s) + times * wide(other.s))
 
 
-def harmonic_sum(k: Coefficients, radius: float, x, y, z, schmidt: bool = False) -> dict[str, np.ndarray]:
+#: Legendre functions without their power of the sine go up to 1e450 at degree 2190; they are kept at this power of two below.
+SHIFT = 930
+#: Numbers of a block of circles, an array for each of the running sums.
+BLOCK = 1_000_000
+
+
+class Circles:
+    """Sums over degrees on circles (distance p from the axis, height z): what is left is a Fourier sum over longitude.
+
+    For each order there are a cosine and a sine coefficient of the value and of its derivatives along the radius,
+    southward and eastward. Legendre functions are u ** m times polynomials of t, which go up by degree for all orders
+    at once, with their derivatives by t; the power of u comes last, mantissa and exponent apart, so that nothing
+    underflows before its time and poles are no special case.
+    """
+
+    def __init__(self, k: Coefficients, radius, p: np.ndarray, z: np.ndarray, schmidt: bool = False):
+        self.r = np.hypot(p, z)
+        self.t, self.u = z / self.r, p / self.r
+        q = (radius / self.r)[:, None]
+        t, tall, wide = self.t[:, None], len(k.c), k.c.shape[1]
+        m = np.arange(wide)
+        value, slope = np.zeros((2, len(p), wide)), np.zeros((2, len(p), wide))  # this degree's and the one's before
+        sums = np.zeros((6, len(p), wide))  # cosine and sine of value, radial derivative, derivative by t
+        diagonal = np.ldexp(1.0, -SHIFT) * q[:, 0]
+        for n in range(tall):
+            o = m[: min(n, wide)]  # orders that go on
+            new, new_slope = np.zeros((len(p), wide)), np.zeros((len(p), wide))
+            if n:
+                a = np.sqrt((2 * n - 1) * (2 * n + 1) / ((n - o) * (n + o))) * q
+                b = np.sqrt((2 * n + 1) * (n + o - 1.0) * (n - o - 1.0) / ((n - o) * (n + o) * max(2 * n - 3, 1))) * q * q
+                w = len(o)
+                new[:, :w] = a * t * value[0, :, :w] - b * value[1, :, :w]
+                new_slope[:, :w] = a * (value[0, :, :w] + t * slope[0, :, :w]) - b * slope[1, :, :w]
+                diagonal = diagonal * q[:, 0] * math.sqrt(3 if n == 1 else (2 * n + 1) / (2 * n))
+            if n < wide:
+                new[:, n] = diagonal
+            value, slope = np.stack([new, value[0]]), np.stack([new_slope, slope[0]])
+            scale = 1 / math.sqrt(2 * n + 1) if schmidt else 1.0
+            for part, row in enumerate((k.c[n], k.s[n])):
+                if row.any():
+                    term = scale * row * new
+                    sums[part] += term
+                    sums[2 + part] -= (n + 1) * term
+                    sums[4 + part] += scale * row * new_slope
+        self._with_powers(sums, wide)
+
+    def _with_powers(self, sums: np.ndarray, wide: int) -> None:
+        f, e = np.empty((len(self.u), wide + 1)), np.empty((len(self.u), wide + 1), int)
+        now, power = np.ones_like(self.u), np.zeros(len(self.u), int)
+        for m in range(wide + 1):
+            f[:, m], e[:, m] = now, power
+            now, more = np.frexp(now * self.u)
+            power = power + more
+        m = np.arange(wide)
+        whole = lambda x, k: np.ldexp(x * f[:, k], e[:, k] + SHIFT)
+        below = np.maximum(m - 1, 0)
+        self.value, self.radial = ([whole(x, m) for x in sums[i : i + 2]] for i in (0, 2))
+        self.east = [m * whole(x, below) for x in sums[0:2]]
+        self.south = [self.t[:, None] * x - whole(d, m + 1) for x, d in zip(self.east, sums[4:6])]
+
+    def at(self, circle: np.ndarray, cos: np.ndarray, sin: np.ndarray) -> dict[str, np.ndarray]:
+        """v, gx, gy, gz at points of circles, by their number and their longitudes' cosines and sines."""
+        out = np.empty((4, len(circle)))
+        wide = self.value[0].shape[1]
+        for a in range(0, len(circle), max(1, BLOCK // wide)):
+            on = slice(a, a + max(1, BLOCK // wide))
+            turn = np.angle(cos[on] + 1j * sin[on])[:, None] * np.arange(wide)
+            c, s = np.cos(turn), np.sin(turn)
+            i = circle[on]
+            total = lambda x, y: np.einsum("ij,ij->i", x[i], c) + np.einsum("ij,ij->i", y[i], s)
+            out[:, on] = total(*self.value), total(*self.radial), total(*self.south), total(self.east[1], -self.east[0])
+        r, t, u = self.r[circle], self.t[circle], self.u[circle]
+        gr, gt, gl = out[1] / r, out[2] / r, out[3] / r
+        gp = gr * u + gt * t
+        return {"v": out[0], "gx": gp * cos - gl * sin, "gy": gp * sin + gl * cos, "gz": gr * t - gt * u}
+
+
+def harmonic_sum(k: Coefficients, radius, x, y, z, schmidt: bool = False, circle=None) -> dict[str, np.ndarray]:
     """v and its gradient gx, gy, gz: the sum of (radius / r) ** (n + 1) (C cos m lon + S sin m lon) P_nm, fully normalised or by Schmidt.
 
-    Legendre functions go up by degree for each order, for all points at once.
+    ``circle`` numbers the circles that points are on (by latitude and height): sums over degrees are worked out once a
+    circle, so that a point costs as much as there are orders. Without it each point has a circle of its own.
     """
     x, y, z = _columns(x, y, z)
     p = np.hypot(x, y)
-    r = np.hypot(p, z)
-    t, u = z / r, np.maximum(p / r, 1e-8)  # the horizontal derivative needs the sine, at a pole too
-    cl, sl = np.where(p > 0, x / np.where(p > 0, p, 1), 1.0), np.where(p > 0, y / np.where(p > 0, p, 1), 0.0)
-    q = radius / r
-    v, vr, vt, vl = (np.zeros_like(r) for _ in range(4))
-    diagonal, cm, sm = np.ones_like(r), np.ones_like(r), np.zeros_like(r)
-    degree = len(k.c) - 1
-    for m in range(degree + 1):
-        if m:
-            diagonal = diagonal * u * math.sqrt(3 if m == 1 else (2 * m + 1) / (2 * m))
-            cm, sm = cm * cl - sm * sl, sm * cl + cm * sl
-        before, now = np.zeros_like(r), diagonal
-        power = q ** (m + 1)
-        for n in range(m, degree + 1):
-            if n > m:
-                a = math.sqrt((2 * n - 1) * (2 * n + 1) / ((n - m) * (n + m)))
-                b = math.sqrt((2 * n + 1) * (n + m - 1) * (n - m - 1) / ((n - m) * (n + m) * (2 * n - 3))) if n > m + 1 else 0.0
-                before, now = now, a * t * now - b * before
-                power = power * q
-            if k.c[n, m] or k.s[n, m]:
-                f = math.sqrt((n * n - m * m) * (2 * n + 1) / (2 * n - 1)) if n else 0.0
-                scale = 1 / math.sqrt(2 * n + 1) if schmidt else 1.0
-                term = scale * power * (k.c[n, m] * cm + k.s[n, m] * sm)
-                v += term * now
-                vr -= (n + 1) * term * now
-                vt += term * (n * t * now - f * before) / u
-                vl += m * scale * power * (k.s[n, m] * cm - k.c[n, m] * sm) * now
-    # along the radius, southward and eastward
-    gr, gt, gl = vr / r, vt / r, vl / (r * u)
-    gp = gr * u + gt * t
-    return {"v": v, "gx": gp * cl - gl * sl, "gy": gp * sl + gl * cl, "gz": gr * t - gt * u}
+    on = p > 0
+    cos, sin = np.where(on, x / np.where(on, p, 1), 1.0), np.where(on, y / np.where(on, p, 1), 0.0)
+    first, number = (np.arange(len(x)),) * 2 if circle is None else np.unique(circle, return_index=True, return_inverse=True)[1:]
+    radius = np.broadcast_to(np.asarray(radius, np.float64), p.shape)
+    out = {c: np.empty(len(x)) for c in ("v", "gx", "gy", "gz")}
+    order = np.argsort(number, kind="stable")
+    step = max(1, BLOCK // k.c.shape[1])
+    for a in range(0, len(first), step):
+        own = first[a : a + step]
+        here = order[np.searchsorted(number[order], a) : np.searchsorted(number[order], a + step)]
+        got = Circles(k, radius[own], p[own], z[own], schmidt).at(number[here] - a, cos[here], sin[here])
+        for c, v in got.items():
+            out[c][here] = v
+    return out
+
+
+def circles_of(*columns) -> np.ndarray:
+    """Numbers of the circles of latitude that points are on, by the columns that tell them (NaN like any value)."""
+    return np.unique(np.stack(columns), axis=1, return_inverse=True, equal_nan=False)[1].reshape(-1)
 
 
 def _frame(lat, lon, h, e: Ellipsoid):
@@ -213,12 +287,13 @@ class GravityModel:
     schmidt: bool = False
 
     @classmethod
-    def read(cls, text: str, data: bytes) -> GravityModel:
+    def read(cls, text: str, data: bytes, degree: int | None = None, order: int | None = None) -> GravityModel:
+        """From the model's text and coefficients, those above a degree and an order left out."""
         m = key_values(text)
         stream = io.BytesIO(data)
         if stream.read(8).decode() != m["ID"][:8]:
             raise ValueError("the coefficients are of another model")
-        k, more = Coefficients.read(stream), Coefficients.read(stream)
+        k, more = (Coefficients.read(stream, degree, order) for _ in range(2))
         if k.c[0, 0] != 0:
             raise ValueError("the term of degree 0 must be 0")
         k.c[0, 0] = 1.0
@@ -232,21 +307,21 @@ class GravityModel:
         more = Coefficients(more.c * times, more.s * times)
         return cls(k, float(m["ModelRadius"]), float(m["ModelMass"]), normal, more, float(m.get("HeightOffset", 0)), m.get("Normalization", "full").lower() == "schmidt")
 
-    def _gravitation(self, x, y, z) -> dict[str, np.ndarray]:
-        g = harmonic_sum(self.k, self.radius, x, y, z, self.schmidt)
+    def _gravitation(self, x, y, z, circle=None) -> dict[str, np.ndarray]:
+        g = harmonic_sum(self.k, self.radius, x, y, z, self.schmidt, circle)
         return {n: v * self.gm / self.radius for n, v in g.items()}
 
-    def potentials(self, x, y, z) -> dict[str, np.ndarray]:
+    def potentials(self, x, y, z, circle=None) -> dict[str, np.ndarray]:
         """v (gravitation), phi (centrifugal), w (both), t (disturbing)."""
         x, y, z = _columns(x, y, z)
-        v = self._gravitation(x, y, z)["v"]
+        v = self._gravitation(x, y, z, circle)["v"]
         phi = self.normal.omega**2 * (x * x + y * y) / 2
         return {"v": v, "phi": phi, "w": v + phi, "t": v + phi - self.normal.at(x, y, z)["u"]}
 
     def _vector(self, lat, lon, h, disturbing: bool) -> dict[str, np.ndarray]:
         lat, lon, h = _columns(lat, lon, h)
         xyz, rows = _frame(lat, lon, h, self.normal.e)
-        g = self._gravitation(*xyz)
+        g = self._gravitation(*xyz, circles_of(lat, h))
         x, y, _ = xyz
         spin = self.normal.omega**2
         whole = [g["gx"] + spin * x, g["gy"] + spin * y, g["gz"]]
@@ -269,8 +344,9 @@ class GravityModel:
         """Height of the geoid above the ellipsoid, by the disturbing potential there and the model's correction."""
         lat, lon = _columns(lat, lon)
         xyz, _ = _frame(lat, lon, 0.0 * lat, self.normal.e)
-        t = self.potentials(*xyz)["t"]
-        more = harmonic_sum(self.correction, np.hypot(np.hypot(xyz[0], xyz[1]), xyz[2]), *xyz, self.schmidt)["v"] if self.correction is not None else 0.0
+        circle = circles_of(lat)
+        t = self.potentials(*xyz, circle)["t"]
+        more = harmonic_sum(self.correction, np.hypot(np.hypot(xyz[0], xyz[1]), xyz[2]), *xyz, self.schmidt, circle)["v"] if self.correction is not None else 0.0
         return t / self.normal.surface(lat) + more + self.offset
 
     def anomaly(self, lat, lon, h) -> dict[str, np.ndarray]:
@@ -302,13 +378,14 @@ class MagneticModel:
     schmidt: bool = True
 
     @classmethod
-    def read(cls, text: str, data: bytes, e: Ellipsoid = WGS84) -> MagneticModel:
+    def read(cls, text: str, data: bytes, e: Ellipsoid = WGS84, degree: int | None = None, order: int | None = None) -> MagneticModel:
+        """From the model's text and coefficients, those above a degree and an order left out."""
         m = key_values(text)
         stream = io.BytesIO(data)
         if stream.read(8).decode() != m["ID"][:8]:
             raise ValueError("the coefficients are of another model")
         n, c = int(m.get("NumModels", 1)), int(m.get("NumConstants", 0))
-        blocks = [Coefficients.read(stream) for _ in range(n + 1 + c)]
+        blocks = [Coefficients.read(stream, degree, order) for _ in range(n + 1 + c)]
         valid = {k: float(m[k]) for k in ("MinTime", "MaxTime", "MinHeight", "MaxHeight") if k in m}
         return cls(blocks[: n + 1], blocks[n + 1 :], float(m["Radius"]), float(m["Epoch"]), float(m.get("DeltaEpoch", 1)), e, valid, m.get("Normalization", "schmidt").lower() != "full")
 
@@ -317,13 +394,13 @@ class MagneticModel:
         v = self.valid
         return (t >= v.get("MinTime", -np.inf)) & (t <= v.get("MaxTime", np.inf)) & (h >= v.get("MinHeight", -np.inf)) & (h <= v.get("MaxHeight", np.inf))
 
-    def geocentric(self, t, x, y, z) -> dict[str, np.ndarray]:
+    def geocentric(self, t, x, y, z, circle=None) -> dict[str, np.ndarray]:
         """bx, by, bz (nT) and their yearly changes tx, ty, tz."""
         t, x, y, z = _columns(t, x, y, z)
         after = t - self.epoch
         n = np.clip(np.floor(after / self.step), 0, len(self.models) - 2).astype(int)
         out = {c: np.zeros_like(t) for c in ("bx", "by", "bz", "tx", "ty", "tz")}
-        total = lambda k, on: [-self.radius * g for g in list(harmonic_sum(k, self.radius, x[on], y[on], z[on], self.schmidt).values())[1:]]
+        total = lambda k, on: [-self.radius * g for g in list(harmonic_sum(k, self.radius, x[on], y[on], z[on], self.schmidt, None if circle is None else circle[on]).values())[1:]]
         for i in np.unique(n):
             on = np.flatnonzero(n == i)
             one, two = total(self.models[i], on), total(self.models[i + 1], on)
@@ -342,7 +419,7 @@ class MagneticModel:
         """east, north, up (nT), and their yearly changes east_t, north_t, up_t."""
         t, lat, lon, h = _columns(t, lat, lon, h)
         xyz, rows = _frame(lat, lon, h, self.e)
-        g = self.geocentric(t, *xyz)
+        g = self.geocentric(t, *xyz, circles_of(lat, h))
         b, c = _turned(rows, (g["bx"], g["by"], g["bz"])), _turned(rows, (g["tx"], g["ty"], g["tz"]))
         return dict(zip(("east", "north", "up", "east_t", "north_t", "up_t"), (*b, *c)))
 
@@ -351,58 +428,3 @@ def field_components(east, north, up) -> dict[str, np.ndarray]:
     """horizontal, total, declination (clockwise from north), inclination (downward), degrees."""
     h = np.hypot(east, north)
     return {"horizontal": h, "total": np.hypot(h, up), "declination": np.degrees(np.arctan2(east, north)), "inclination": np.degrees(np.arctan2(-up, h))}
-
-
-@dataclass
-class Geoid:
-    """A grid of heights, from 90 N and 0 E by rows southward; the column after the last is the first."""
-
-    heights: np.ndarray
-
-    @classmethod
-    def read(cls, data: bytes) -> Geoid:
-        """A binary grey map with 16-bit values; comment lines ``Offset`` and ``Scale`` make heights of them."""
-        words, keys, at = [], {}, 0
-        while len(words) < 4:
-            end = data.index(b"\n", at)
-            line = data[at:end].decode("latin-1")
-            at = end + 1
-            if line.startswith("#"):
-                parts = line[1:].split(None, 1)
-                keys[parts[0] if parts else ""] = parts[1].strip() if len(parts) > 1 else ""
-            else:
-                words += line.split()
-        width, height, most = map(int, words[1:4])
-        if words[0] != "P5" or most != 65535 or width % 2 or height % 2 == 0 or "Offset" not in keys or "Scale" not in keys:
-            raise ValueError("not a grid of heights")
-        pixels = np.frombuffer(data, ">u2", width * height, at).reshape(height, width)
-        return cls(float(keys["Offset"]) + float(keys["Scale"]) * pixels)
-
-    def _at(self, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Heights of cells; rows beyond a pole are those across it."""
-        rows, columns = self.heights.shape
-        over = (row < 0) | (row >= rows)
-        row = np.where(row < 0, -row, np.where(row >= rows, 2 * (rows - 1) - row, row))
-        return self.heights[row, (column + np.where(over, columns // 2, 0)) % columns]
-
-    def height(self, lat, lon, cubic: bool = True) -> np.ndarray:
-        """Heights of the geoid, bilinear, or by a cubic fitted to 12 cells around (the inner four weigh twice)."""
-        lat, lon = _columns(lat, lon)
-        rows, columns = self.heights.shape
-        bad = ~(np.abs(lat) <= 90) | ~np.isfinite(lon)
-        y, x = np.where(bad, 0, (90 - lat) * (rows - 1) / 180), np.where(bad, 0, np.remainder(normalized(lon), 360.0) * columns / 360)
-        iy, ix = np.minimum(np.floor(y).astype(int), rows - 2), np.floor(x).astype(int)
-        fy, fx = y - iy, x - ix
-        if cubic:
-            cells = [(r, c) for r in (-1, 0, 1, 2) for c in (-1, 0, 1, 2) if not (r in (-1, 2) and c in (-1, 2))]
-            terms = [(i, j) for i in range(4) for j in range(4 - i)]
-            weight = np.array([math.sqrt(2) if r in (0, 1) and c in (0, 1) else 1.0 for r, c in cells])
-            design = np.array([[float(c) ** i * float(r) ** j for i, j in terms] for r, c in cells])
-            solve = np.linalg.pinv(design * weight[:, None]) * weight
-            values = np.stack([self._at(iy + r, ix + c) for r, c in cells])
-            fitted = solve @ values
-            out = sum(fitted[k] * fx**i * fy**j for k, (i, j) in enumerate(terms))
-        else:
-            a, b, c, d = (self._at(iy + r, ix + s) for r in (0, 1) for s in (0, 1))
-            out = (1 - fy) * ((1 - fx) * a + fx * b) + fy * ((1 - fx) * c + fx * d)
-        return np.where(bad, np.nan, out)

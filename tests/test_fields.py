@@ -82,22 +82,6 @@ def test_magnetic_model():
     assert h.field_components(1.0, 1.0, -1.0)["declination"] == pytest.approx(45) and m.is_valid([1999.0, 2005.0, 2005.0], [0, 0, 1e6]).tolist() == [False, True, False]
 
 
-def test_geoid_grid():
-    rows, columns = 19, 36
-    lat, lon = 90 - np.arange(rows) * 10.0, np.arange(columns) * 10.0
-    smooth = 30 + 20 * np.sin(np.radians(lat))[:, None] + 10 * (np.cos(np.radians(lat))[:, None] ** 2) * np.cos(2 * np.radians(lon))[None]
-    pixels = np.rint((smooth + 108) / 0.003).astype(">u2")
-    data = b"P5\n# Geoid\n# Offset -108\n# Scale 0.003\n36 19\n65535\n" + pixels.tobytes()
-    g = h.Geoid.read(data)
-    assert np.allclose(g.height(lat[:, None].repeat(columns, 1).ravel(), np.tile(lon, rows), cubic=False), smooth.ravel(), atol=0.002)
-    a, b = RNG.uniform(-90, 90, 300), RNG.uniform(-400, 400, 300)
-    want = 30 + 20 * np.sin(np.radians(a)) + 10 * np.cos(np.radians(a)) ** 2 * np.cos(2 * np.radians(b))
-    assert np.abs(g.height(a, b) - want).max() < 0.1 < np.abs(g.height(a, b, cubic=False) - want).max() < 1
-    assert np.isnan(g.height([91.0, np.nan], [0.0, 0.0])).all()
-    with pytest.raises(ValueError):
-        h.Geoid.read(b"P5\n# Offset 0\n35 19\n65535\n" + b"\0" * 9999)
-
-
 def test_elliptic():
     # Fixed values of tables
     c = elliptic.complete(0.5)
