@@ -1,96 +1,187 @@
-"""Radius and nearest-neighbour joins of points by geodesic distance."""
+"""Radius and nearest-neighbour joins of points by geodesic distance, over one index of cells of space."""
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bound import bind, struct
 from ..functions.ellipsoid import WGS84, Ellipsoid
 from ..functions.frames import geocentric
 from .geodesics import inverse
+from .staging import staged
 
+#: Halvings of the cube around the ellipsoid at a cell of each level: the last has sides of about 12 metres.
+LEVELS = range(2, 21, 2)
+#: Points of a cell that isn't split; a table of cells with so many parents at most is broadcast.
+LEAF, SMALL = 64, 20_000
+AXES = "xyz"
 
-def _placed(points: DataFrame, key: str, side: float, e: Ellipsoid) -> DataFrame:
-    """(key, lat, lon, x, y, z, cx, cy, cz): points with the cube, of ``side`` metres, of space that they are in."""
-    cell = lambda c: F.floor(c / side).cast("bigint")
-    place = lambda p: struct(x=p["x"], y=p["y"], z=p["z"], cx=cell(p["x"]), cy=cell(p["y"]), cz=cell(p["z"]))
-    p = points.select(F.col(key), "lat", "lon", bind(geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e), place).alias("p"))
-    return p.filter(~F.isnan("p.x") & F.col("p.x").isNotNull()).select(key, "lat", "lon", *(f"p.{c}" for c in ("x", "y", "z", "cx", "cy", "cz")))
 
+class Index(NamedTuple):
+    """Points by cells of space.
 
-def _chord_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid) -> DataFrame:
-    """(left_key, lat, lon, right_key, r_lat, r_lon, chord) of the pairs whose chord through the ellipsoid is ``radius`` or less.
+    points: key, lat, lon, x, y, z, and ix, iy, iz: their cell at the last level. nodes: level, parent, and its children
+    (code, n, leaf, and the box of their points), for the root and each cell of over ``leaf`` points. sizes: parents at
+    each level that has any, and the most points of a leaf; only points nearer to each other than the last level's
+    cells are more than ``leaf`` in one.
+    """
+
+    points: DataFrame
+    nodes: DataFrame
+    key: str
+    sizes: dict[int, tuple[int, int]]
+    total: int
+    leaf: int
+    e: Ellipsoid
+
+
+def _placed(points: DataFrame, key: str, e: Ellipsoid) -> DataFrame:
+    """(key, lat, lon, x, y, z): points in space, without those that are nowhere."""
+    p = points.select(F.col(key), "lat", "lon", geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e).alias("_p"))
+    return p.filter(~F.isnan("_p.x") & F.col("_p.x").isNotNull()).select(key, "lat", "lon", *(F.col(f"_p.{c}").alias(c) for c in AXES))
+
+
+def _code(level: Column) -> Column:
+    """The cell at a level of points with their last level's."""
+    up = (F.lit(LEVELS[-1]) - level).cast("int")
+    i = [F.call_function("shiftright", F.col(f"i{c}"), up) for c in AXES]
+    return (i[0] * (1 << 20) + i[1]) * (1 << 20) + i[2]
+
+
+def _parent(code: Column, steps: int) -> Column:
+    """The cell around a cell."""
+    k = F.array(*(F.call_function("shiftright", code.bitwiseAND(((1 << 20) - 1) << (20 * a)), F.lit(20 * a + steps)) for a in (2, 1, 0)))
+    return bind(k, lambda v: (F.get(v, F.lit(0)) * (1 << 20) + F.get(v, F.lit(1))) * (1 << 20) + F.get(v, F.lit(2)))
+
+
+def build_index(points: DataFrame, key: str, e: Ellipsoid = WGS84, leaf: int = LEAF) -> Index:
+    """An index of ``points`` (key, lat, lon). Points are counted by cell at ten levels, in each task before the shuffle; the cells are written."""
+    side = 2.002 * max(e.a, e.b) / (1 << LEVELS[-1])
+    placed = _placed(points, key, e)
+    for c in AXES:
+        placed = placed.withColumn(f"i{c}", F.floor((F.col(c) + 1.001 * max(e.a, e.b)) / side).cast("bigint"))
+    box = [f(c).alias(f"{c}{n}") for c in AXES for f, n in ((F.min, 0), (F.max, 1))]
+    at = placed.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS))))
+    cells = at.groupBy("level", _code(F.col("level")).alias("code")).agg(F.count(F.lit(1)).alias("n"), *box)
+    last = F.lit(LEVELS[-1])
+    fields = ["code", "n", ((F.col("n") <= leaf) | (F.col("level") == last)).alias("leaf"), *(f"{c}{k}" for c in AXES for k in (0, 1))]
+    up = F.when(F.col("level") == LEVELS[0], 0).otherwise(_parent(F.col("code"), LEVELS.step))
+    nodes = cells.groupBy("level", up.alias("parent")).agg(F.collect_list(F.struct(*fields)).alias("children"), F.sum("n").alias("points"))
+    nodes = staged(nodes.filter((F.col("points") > leaf) | (F.col("level") == LEVELS[0])), "cells")
+    most = F.array_max(F.transform("children", lambda c: F.when(c["leaf"], c["n"]).otherwise(0)))
+    found = nodes.groupBy("level").agg(F.count(F.lit(1)).alias("parents"), F.max(most).alias("most"), F.sum("points").alias("points")).collect()
+    sizes = {r.level: (r.parents, r.most) for r in sorted(found)}
+    return Index(placed, nodes, key, sizes, next((r.points for r in found if r.level == LEVELS[0]), 0), leaf, e)
 
-    A chord is never longer than the geodesic, so partners are in the same cube of space or one beside it: an
-    equi-join on cubes and a filter, all in native columns.
+
+def _least(box: Column) -> Column:
+    """The least distance of a point to a box."""
+    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}0"] - F.col(c), F.col(c) - box[f"{c}1"], F.lit(0.0)), F.lit(2.0)) for c in AXES))
+
+
+def _most(box: Column) -> Column:
+    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}1"] - F.col(c), F.col(c) - box[f"{c}0"]), F.lit(2.0)) for c in AXES))
+
+
+def _longest(chord: Column, e: Ellipsoid) -> Column:
+    """The longest geodesic between points with a chord: arcs bend no more than circles of the least radius of curvature."""
+    r = min(e.a, e.b) ** 2 / max(e.a, e.b)
+    return F.when(chord < 1.99 * r, 2 * r * F.asin(F.least(chord / (2 * r), F.lit(1.0))) * (1 + 1e-12)).otherwise(math.pi * max(e.a, e.b))
+
+
+def _reached(left: DataFrame, key: str, index: Index, keep) -> DataFrame:
+    """(key, lat, lon, x, y, z, level, code, n): for each of ``left`` the leaves that may matter to it.
+
+    From the root down, the cells of a row are replaced by their children, with bounds on the distance of what they hold: ``low`` (of
+    the box, in a straight line) and ``high`` (along the ellipsoid). ``keep`` takes these rows and leaves out
+    those that can't matter. A leaf stays as it is. What is kept of a level is written.
     """
-    a, b = _placed(left, left_key, radius, e), _placed(right, right_key, radius, e)
-    b = b.select(*[F.col(c).alias(f"r_{c}" if c != right_key else c) for c in b.columns])
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    for axis in "xyz":
-        b = b.withColumn("_d", near).withColumn(f"c{axis}", F.col(f"r_c{axis}") + F.col("_d")).drop("_d")
-    pairs = a.join(b, ["cx", "cy", "cz"])
-    chord = F.sqrt(sum((F.col(c) - F.col(f"r_{c}")) ** 2 for c in "xyz"))
-    return pairs.filter(chord <= radius * (1 + 1e-12)).select(left_key, "lat", "lon", right_key, "r_lat", "r_lon", chord.alias("chord"))
+    rows = _placed(left, key, index.e).withColumn("code", F.lit(0).cast("bigint"))
+    leaves = None
+    for level, (parents, _) in index.sizes.items():
+        own = index.nodes.filter(F.col("level") == level).select(F.col("parent").alias("code"), "children")
+        opened = rows.join(F.broadcast(own) if parents <= SMALL else own, "code").withColumn("_c", F.explode("children"))
+        opened = opened.select(key, "lat", "lon", *AXES, F.lit(level).alias("level"), "_c.code", "_c.n", "_c.leaf", _least(F.col("_c")).alias("low"), _longest(_most(F.col("_c")), index.e).alias("high"))
+        kept = keep(opened if leaves is None else opened.unionByName(leaves))
+        kept = kept if level == list(index.sizes)[-1] else staged(kept, "reached")  # read twice from here on
+        leaves, rows = kept.filter("leaf"), kept.filter(~F.col("leaf")).select(key, "lat", "lon", *AXES, "code")
+    return leaves
+
+
+def _candidates(leaves: DataFrame, key: str, index: Index) -> DataFrame:
+    """(key, lat, lon, right key, r_lat, r_lon, chord): rows and the points of their leaves. A leaf of too many points (all within some metres) is dealt by a hash, to as many tasks."""
+    used = [level for level, (_, most) in index.sizes.items() if most]
+    points = index.points.withColumn("level", F.explode(F.array(*map(F.lit, used)))).withColumn("code", _code(F.col("level")))
+    by = ["level", "code"]
+    if index.sizes[used[-1]][1] > index.leaf:
+        child = index.nodes.select("level", F.explode("children").alias("_c")).filter(F.col("_c.leaf") & (F.col("_c.n") > index.leaf))
+        points = points.join(child.select("level", "_c.code", F.col("_c.n").alias("_n")), by, "left")
+        parts = F.ceil(F.coalesce("_n", F.lit(1)) / index.leaf)
+        points = points.withColumn("_part", F.pmod(F.xxhash64(index.key), parts)).drop("_n")
+        leaves = leaves.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / index.leaf), F.lit(1)) - 1)))
+        by = [*by, "_part"]
+    points = points.select(*by, index.key, *(F.col(c).alias(f"r_{c}") for c in ("lat", "lon", *AXES)))
+    chord = F.sqrt(sum((F.col(c) - F.col(f"r_{c}")) ** 2 for c in AXES))
+    return leaves.join(points, by).select(key, "lat", "lon", index.key, "r_lat", "r_lon", chord.alias("chord"))
 
 
 def _measured(pairs: DataFrame, e: Ellipsoid) -> DataFrame:
     return pairs.withColumn("distance", inverse(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"), e, "s12")["s12"])
 
 
-def radius_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
-    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid."""
-    pairs = _measured(_chord_pairs(left, right, left_key, right_key, radius, e), e)
-    return pairs.filter(F.col("distance") <= radius).select(left_key, right_key, "distance")
+def radius_join(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
+    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid. ``right`` can be an index."""
+    index = right if isinstance(right, Index) else build_index(right, right_key, e)
+    if not index.sizes:
+        return _none(left, index, left_key).drop("rank")
+    leaves = _reached(left, left_key, index, lambda cells: cells.filter(F.col("low") <= radius * (1 + 1e-12)))
+    near = _candidates(leaves, left_key, index).filter(F.col("chord") <= radius * (1 + 1e-12))
+    return _measured(near, index.e).filter(F.col("distance") <= radius).select(left_key, right_key, "distance")
 
 
-def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
     """The rows of ``left`` with some row of ``right`` at most ``radius`` metres away."""
-    return left.join(radius_join(left, right, left_key, right_key, radius, e).select(left_key).distinct(), left_key, "left_semi")
+    return left.join(nearest_join(left, right, left_key, right_key, 1, e, most=radius).select(left_key), left_key, "left_semi")
+
+
+def _none(left: DataFrame, index: Index, left_key: str) -> DataFrame:
+    return left.select(left_key).join(index.points.select(index.key), F.lit(False)).select(left_key, index.key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
 
 
-def nearest_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, e: Ellipsoid = WGS84, first_radius: float | None = None, most: float = math.inf, least: float = -1.0
-) -> DataFrame:
-    """(left_key, right_key, distance, rank) of the ``k`` nearest of ``right`` for each of ``left``; ties by right_key.
+def nearest_join(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, k: int, e: Ellipsoid = WGS84, most: float = math.inf, least: float = -1.0, tolerance: float = 0.0) -> DataFrame:
+    """(left_key, right_key, distance, rank) of the ``k`` nearest of ``right`` for each of ``left``; ties by right_key. ``right`` can be an index.
 
     Only pairs at most ``most`` and more than ``least`` metres apart count (0 leaves out a point itself, in a join of
-    a table with itself).
+    a table with itself). With a ``tolerance`` the distance of each rank is less than so many metres over the least possible,
+    and cells that can't better it by more aren't opened.
 
-    A radius is tried that holds some multiple of k points on average; left rows that found fewer than k go on with
-    twice the radius, until all have k or the radius spans the ellipsoid. Of the candidates of a row only those are
-    measured whose chord is no longer than the geodesic of the k-th shortest chord can be. Keys must be unique in
-    each table. Needs spark.checkpoint.dir, to which each round's pairs and rest are written.
+    At each level of cells a row has a bound on its k-th distance from the counts of cells alone, and leaves out cells
+    that begin beyond it; so a dense cell costs a row no more than a thin one. Points are only met in leaves. Of these
+    candidates those are measured whose chord is no longer than the geodesic of the k-th shortest chord can be. Keys
+    must be unique in each table.
     """
-    n = right.count()
-    wanted = min(k, n) if least < 0 else k
-    radius = first_radius or 2 * e.a * math.sqrt(2 * max(1, k) / max(1, n))
-    least_radius = min(e.a, e.b) ** 2 / max(e.a, e.b)  # of curvature: arcs bend no more than circles of that radius
-    todo, done = left, None
-    by_chord, by_distance = Window.partitionBy(left_key).orderBy("chord", right_key), Window.partitionBy(left_key).orderBy("distance", right_key)
-    far = min(3.2 * e.a, max(most, 1.0))
-    while wanted:
-        whole = radius >= far
-        reach = min(radius, far)
-        pairs = _chord_pairs(todo, right, left_key, right_key, reach, e)
-        if least >= 0:  # chords up to that are not among the k
-            pairs = pairs.filter(F.col("chord") > least * 0.5)
-        pairs = pairs.withColumn("_k", F.row_number().over(by_chord))
-        longest = F.max(F.when(F.col("_k") <= (k if least < 0 else k + 1), F.col("chord"))).over(Window.partitionBy(left_key))
-        bound = 2 * least_radius * F.asin(F.least(longest / (2 * least_radius), F.lit(1.0))) if least <= 0 else F.lit(math.inf)
-        pairs = pairs.withColumn("_b", bound).filter((F.col("chord") <= F.col("_b") * (1 + 1e-12)) | (F.col("_b") >= math.pi * least_radius * 0.999))
-        found = _measured(pairs, e).filter((F.col("distance") <= min(reach, most)) & (F.col("distance") > least))
-        found = found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank").checkpoint()
-        full = found.groupBy(left_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= wanted).select(left_key)
-        kept = found if whole else found.join(full, left_key, "left_semi")
-        done = kept if done is None else done.unionByName(kept)
-        if whole:
-            break
-        todo = todo.join(full, left_key, "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
-        radius *= 2
-    return done if done is not None else radius_join(left, right, left_key, right_key, 1.0, e).withColumn("rank", F.lit(0)).limit(0)
+    index = right if isinstance(right, Index) else build_index(right, right_key, e)
+    if k < 1 or not index.sizes:
+        return _none(left, index, left_key)
+    of_row = Window.partitionBy(left_key)
+    slack = 1 + 1e-12
+
+    def nearest_cells(cells: DataFrame) -> DataFrame:
+        sure = F.when(F.col("low") > least, F.col("n")).otherwise(0)
+        cells = cells.filter(F.col("low") <= most * slack).withColumn("_sum", F.sum(sure).over(of_row.orderBy("high", "level", "code").rowsBetween(Window.unboundedPreceding, 0)))
+        cells = cells.withColumn("_bound", F.coalesce(F.min(F.when(F.col("_sum") >= k, F.col("high"))).over(of_row), F.lit(math.inf)))
+        needed = (F.col("high") <= F.col("_bound")) if tolerance else F.lit(False)
+        return cells.filter((F.col("low") <= (F.col("_bound") - tolerance) * slack) | needed).drop("_sum", "_bound")
+
+    pairs = _candidates(_reached(left, left_key, index, nearest_cells), left_key, index).filter(F.col("chord") <= most * slack)
+    sure = F.when(F.col("chord") > least, F.col("chord"))
+    pairs = pairs.withColumn("_k", F.count(sure).over(of_row.orderBy("chord", right_key).rowsBetween(Window.unboundedPreceding, 0)))
+    kth = F.min(F.when(F.col("_k") >= k, F.col("chord"))).over(of_row)
+    pairs = pairs.withColumn("_bound", F.coalesce(_longest(kth, index.e), F.lit(math.inf))).filter(F.col("chord") <= F.col("_bound"))
+    found = _measured(pairs, index.e).filter((F.col("distance") <= most) & (F.col("distance") > least))
+    rank = F.row_number().over(of_row.orderBy("distance", right_key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank")

@@ -1,4 +1,4 @@
-"""Registered queries of fields, grids and exact sums, and their SQL. Coefficients and grids are made from a table's numbers."""
+"""Registered queries of fields, grids, exact sums and searches with a tolerance, and their SQL. Points, coefficients and grids are made from the numbers of documents."""
 
 from __future__ import annotations
 
@@ -6,30 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.raster import CELLS, INNER, NORTH, SOUTH, TERMS, cubic
-from ..operators import fields, raster, sums
+from ..operators import fields, neighbours, raster, sums
 from .queries import _r
 
 DEGREE, ROWS, COLUMNS = 20, 19, 36
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang")
+
+
 def harmonic_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of harmonics at points on circles of latitude; the coefficients come from orders."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    n = F.col("o_custkey") % (DEGREE + 1)
-    part = lambda c: (F.sum(c) % 1000) / 1000.0 - 0.5
-    table = orders.groupBy(n.alias("n"), (F.col("o_orderkey") % (n + 1)).alias("m")).agg(part("o_custkey").alias("c"), part("o_orderkey").alias("s"))
-    k = F.col("c_custkey")
-    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    """Sums of harmonics at points on circles of latitude."""
+    k = F.col("doc_id")
+    n, part = k % (DEGREE + 1), lambda c: (F.sum(c) % 1000) / 1000.0 - 0.5
+    table = _documents(spark, sf_dir).groupBy(n.alias("n"), (F.floor(k / (DEGREE + 1)) % (n + 1)).alias("m")).agg(part("n_chars").alias("c"), part("doc_id").alias("s"))
+    points = _documents(spark, sf_dir).select(
         k.alias("id"), ((k * 7919) % 181 - 90).cast("double").alias("lat"), (((k * 104729) % 36000).cast("double") / 100.0 - 180.0).alias("lon"), (1 + (k % 3) / 100.0).alias("r")
-    )
+    )
     g = fields.harmonic(fields.coefficients(table), 1.0, F.col("lat"), F.col("lon"), F.col("r"))
     return fields.by_circles(points, h="r").withColumn("g", g).select("id", *(_r(F.col(f"g.{c}"), c) for c in ("v", "up", "north", "east")))
 
 
 def _circles_sql() -> str:
     turn = lambda a, b: f"({a} * cos(radians(m * lon)) + {b} * sin(radians(m * lon)))"
-    return f"""with recursive k as (select o_custkey % {DEGREE + 1} as n, o_orderkey % (o_custkey % {DEGREE + 1} + 1) as m, (sum(o_custkey) % 1000) / 1000.0 - 0.5 as c, (sum(o_orderkey) % 1000) / 1000.0 - 0.5 as s from orders group by 1, 2),
-p as (select c_custkey as id, cast((c_custkey * 7919) % 181 - 90 as double) as lat, cast((c_custkey * 104729) % 36000 as double) / 100.0 - 180.0 as lon, 1 + (c_custkey % 3) / 100.0 as r from customer),
+    return f"""with recursive k as (select doc_id % {DEGREE + 1} as n, doc_id // {DEGREE + 1} % (doc_id % {DEGREE + 1} + 1) as m, (sum(n_chars) % 1000) / 1000.0 - 0.5 as c, (sum(doc_id) % 1000) / 1000.0 - 0.5 as s from documents group by 1, 2),
+p as (select doc_id as id, cast((doc_id * 7919) % 181 - 90 as double) as lat, cast((doc_id * 104729) % 36000 as double) / 100.0 - 180.0 as lon, 1 + (doc_id % 3) / 100.0 as r from documents),
 diagonal as (select 0 as m, cast(1 as double) as d union all select m + 1, d * sqrt(case when m = 0 then 3.0 else (2.0 * m + 3) / (2 * m + 2) end) from diagonal where m < {DEGREE}),
 circle as (select distinct lat, r, sin(radians(lat)) as t, case when abs(lat) = 90 then 0 else cos(radians(lat)) end as u, 1 / r as q from p),
 legendre as (select lat, r, t, u, q, m, m as n, d * pow(q, m + 1) as p1, cast(0 as double) as p0, cast(0 as double) as d1, cast(0 as double) as d0 from circle, diagonal
@@ -41,11 +43,10 @@ round(-sum({turn('c', 's')} * (m * t * pow(u, greatest(m - 1, 0)) * p1 - pow(u,
 
 
 def raster_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heights between the cells of a grid of orders, bilinear and cubic, at points up to both poles."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    grid = raster.raster_of(orders, ROWS, COLUMNS, F.col("o_custkey") % ROWS, F.col("o_orderkey") % COLUMNS, (F.col("o_orderkey") % 100).cast("double"))
-    k = F.col("c_custkey")
-    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), ((k * 7919) % 18001 / 100.0 - 90).alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).alias("lon"))
+    """Heights between the cells of a grid of documents, bilinear and cubic, at points up to both poles."""
+    k, docs = F.col("doc_id"), _documents(spark, sf_dir)
+    grid = raster.raster_of(docs, ROWS, COLUMNS, k % ROWS, F.floor(k / ROWS) % COLUMNS, (F.col("n_chars") % 100).cast("double"))
+    points = docs.select(k.alias("id"), ((k * 7919) % 18001 / 100.0 - 90).alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).alias("lon"))
     table = raster.tiles(grid)
     both = raster.raster_heights(raster.raster_heights(points, grid, table=table, name="smooth"), grid, smooth=False, table=table, name="plain")
     return both.select("id", _r(F.col("smooth"), "smooth"), _r(F.col("plain"), "plain"))
@@ -59,8 +60,8 @@ def _raster_sql() -> str:
     weights = ", ".join(f"({r}, {c}, {k})" for k, (r, c) in enumerate(CELLS))
     smooth = " ".join(f"when {k} then case when iy = 0 then {weight(NORTH, k)} when iy = {ROWS - 2} then {weight(SOUTH, k)} else {weight(INNER, k)} end" for k in range(len(CELLS)))
     plain = "case when dr in (0, 1) and dc in (0, 1) then (case when dr = 0 then 1 - fy else fy end) * (case when dc = 0 then 1 - fx else fx end) else 0 end"
-    return f"""with g as (select o_custkey % {ROWS} as r, o_orderkey % {COLUMNS} as c, sum(o_orderkey % 100) as v from orders group by 1, 2),
-p as (select c_custkey as id, (90 - ((c_custkey * 7919) % 18001 / 100.0 - 90)) * ({ROWS - 1} / 180.0) as y, ((c_custkey * 104729) % 36000 / 100.0 + 180) % 360 * ({COLUMNS} / 360.0) as x from customer),
+    return f"""with g as (select doc_id % {ROWS} as r, doc_id // {ROWS} % {COLUMNS} as c, sum(n_chars % 100) as v from documents group by 1, 2),
+p as (select doc_id as id, (90 - ((doc_id * 7919) % 18001 / 100.0 - 90)) * ({ROWS - 1} / 180.0) as y, ((doc_id * 104729) % 36000 / 100.0 + 180) % 360 * ({COLUMNS} / 360.0) as x from documents),
 q as (select id, least(cast(floor(y) as int), {ROWS - 2}) as iy, cast(floor(x) as int) as ix, x - floor(x) as fx, y - least(floor(y), {ROWS - 2}) as fy from p),
 w(dr, dc, k) as (values {weights}),
 s as (select id, iy, fx, fy, dr, dc, k, case when iy + dr < 0 then -(iy + dr) when iy + dr > {ROWS - 1} then {2 * ROWS - 2} - (iy + dr) else iy + dr end as r,
@@ -69,12 +70,19 @@ select id, round(sum(coalesce(v, 0) * (case k {smooth} end)), 6) as smooth, roun
 
 
 def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact sums of prices by line status, of values whose double sums would depend on their order."""
-    price = F.col("l_extendedprice").cast("double")
-    value = F.when(F.col("l_linenumber") % 2 == 0, price * 1e9).otherwise(-price / 3)
-    found = sums.accurate_sums(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("v", value), "l_linestatus", "v")
-    return found.select(F.col("l_linestatus").alias("status"), "sum", "rest")
+    """Exact sums by language of values whose sums as doubles would depend on their order."""
+    n = F.col("n_chars").cast("double")
+    docs = _documents(spark, sf_dir).withColumn("v", F.when(F.col("doc_id") % 2 == 0, n * 1e15).otherwise(-n / 3))
+    return sums.accurate_sums(docs, "lang", "v").select("lang", "sum", "rest")
+
+
+def tolerant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a point of each document three others, none over 5 km farther than the nearest ones are."""
+    k = F.col("doc_id")
+    points = _documents(spark, sf_dir).select(k.alias("id"), ((k * 7919) % 17001 / 100.0 - 85).alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).alias("lon"))
+    found = neighbours.nearest_join(points, points.withColumnRenamed("id", "other"), "id", "other", 3, least=0.0, tolerance=5000.0)
+    return found.select("id", "other", "rank", _r(F.col("distance"), "distance", 3))
 
 
-QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums)}
+QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs)}
 ORACLE_SQL = {"harmonic_circles": _circles_sql(), "raster_points": _raster_sql()}

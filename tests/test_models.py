@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoplane.functions import harmonics as h, raster as cells
+from geoplane.functions import geodesic, harmonics as h, raster as cells
 from geoplane.operators import fields, raster, sums
 from geoplane.plans import models
 
@@ -19,8 +19,7 @@ RNG = np.random.default_rng(0)
 @pytest.mark.parametrize("name", list(models.ORACLE_SQL))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
-    for table in ("customer", "orders"):
-        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
     got, want = models.QUERIES[name](spark, SF), con.sql(models.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -180,3 +179,23 @@ def test_a_million_values_of_one_key(spark):
     want = math.fsum(r.v for r in rows.toLocalIterator())
     assert sums.accurate_sums(rows, "k", "v").first()["sum"] == want
     rows.unpersist()
+
+
+def test_exact_sums_as_registered(spark):
+    got = {r.lang: (r["sum"], r["rest"]) for r in models.exact_sums(spark, SF).collect()}
+    exact = {}
+    for doc_id, n, lang in duckdb.sql(f"select doc_id, n_chars, lang from '{SF}/documents.parquet'").fetchall():
+        exact[lang] = exact.get(lang, 0) + Fraction(float(n) * 1e15 if doc_id % 2 == 0 else -float(n) / 3)
+    assert got == {k: (float(v), float(v - Fraction(float(v)))) for k, v in exact.items()}
+
+
+def test_tolerant_pairs_as_registered(spark):
+    rows = models.tolerant_pairs(spark, SF).collect()
+    ids = [r[0] for r in duckdb.sql(f"select doc_id from '{SF}/documents.parquet'").fetchall()]
+    k = np.array(ids)
+    lat, lon = (k * 7919) % 17001 / 100.0 - 85, (k * 104729) % 36000 / 100.0 - 180
+    d = {i: geodesic.inverse(a, b, lat, lon)["s12"] for i, a, b in zip(ids, lat, lon)}
+    assert len(rows) == 3 * len(ids)
+    for r in rows:
+        others = np.sort(d[r.id][d[r.id] > 0])
+        assert r.distance <= others[r["rank"] - 1] + 5000 and abs(d[r.id][ids.index(r.other)] - r.distance) < 1e-3
