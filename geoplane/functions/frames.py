@@ -47,6 +47,14 @@ def local_cartesian(lat: Column, lon: Column, h: Column, lat0: float, lon0: floa
     return F.struct((-sl * x + cl * y).alias("east"), (-sp * cl * x - sp * sl * y + cp * z).alias("north"), (cp * cl * x + cp * sl * y + sp * z).alias("up"))
 
 
+def local_cartesian_reverse(east: Column, north: Column, up: Column, lat0: float, lon0: float, h0: float, e: Ellipsoid = WGS84) -> Column:
+    """Struct lat, lon, h of places about an origin: turned back to geocentric axes, and taken from there."""
+    o = geocentric(F.lit(lat0), F.lit(lon0), F.lit(h0), e)
+    sp, cp, sl, cl = sind(F.lit(lat0)), cosd(F.lit(lat0)), sind(F.lit(lon0)), cosd(F.lit(lon0))
+    out = cp * up - sp * north  # away from the axis
+    return geodetic(o["x"] + cl * out - sl * east, o["y"] + sl * out + cl * east, o["z"] + sp * up + cp * north, e)
+
+
 def parametric_latitude(lat: Column, e: Ellipsoid = WGS84) -> Column:
     return F.degrees(F.atan2((1 - e.f) * sind(lat), cosd(lat)))
 

@@ -38,12 +38,16 @@ def _spread(x: Column) -> Column:
 
 
 def geohash(lat: Column, lon: Column, length: int = 12) -> Column:
-    """Base-32 code of up to 12 characters: bits of longitude and latitude in turn, spread by masks into one number of 60 bits."""
-    y = F.least(F.floor((lat + 90) * (2**30 / 180.0)), F.lit(2**30 - 1)).cast("bigint")
-    x = F.floor(_east(lon) * (2**30 / 360.0)).cast("bigint")
-    joined = lambda s: F.shiftleft(_spread(s["x"]), 1).bitwiseOR(_spread(s["y"]))
-    written = lambda n: F.concat(*(_letter(GEOHASH, F.shiftright(n, 55 - 5 * k).bitwiseAND(F.lit(31))) for k in range(length)))
-    return F.when(_good(lat, lon), bind(struct(x=x, y=y), joined, written))
+    """Base-32 code of up to 18 characters: bits of longitude and latitude in turn, spread by masks into one number of 60 bits, and one of 30 for what follows the twelfth character."""
+    more = 15 if length > 12 else 0
+    y = F.least(F.floor((lat + 90) * (2.0 ** (30 + more) / 180.0)), F.lit(2 ** (30 + more) - 1)).cast("bigint")
+    x = F.floor(_east(lon) * (2.0 ** (30 + more) / 360.0)).cast("bigint")
+    joined = lambda x, y: F.shiftleft(_spread(x), 1).bitwiseOR(_spread(y))
+    low = F.lit((1 << more) - 1)
+    both = lambda s: struct(n=joined(F.shiftright(s["x"], more), F.shiftright(s["y"], more)), rest=joined(s["x"].bitwiseAND(low), s["y"].bitwiseAND(low)))
+    letters = lambda n, top, count: [_letter(GEOHASH, F.shiftright(n, top - 5 * k).bitwiseAND(F.lit(31))) for k in range(count)]
+    written = lambda s: F.concat(*letters(s["n"], 55, min(length, 12)), *letters(s["rest"], 25, max(length - 12, 0)))
+    return F.when(_good(lat, lon), bind(struct(x=x, y=y), both, written))
 
 
 def _gathered(x: Column) -> Column:
@@ -55,20 +59,30 @@ def _gathered(x: Column) -> Column:
 
 
 def geohash_cell(code: Column) -> Column:
-    """Struct lat, lon of the centre of a geohash of 1 to 12 characters; null if it has others."""
+    """Struct lat, lon of the centre of a geohash of 1 to 18 characters; null if it has others."""
     lower = F.lower(code)
     value = lambda c: F.instr(F.lit(GEOHASH), c) - 1
-    number = F.aggregate(F.filter(F.split(lower, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda n, c: n * 32 + value(c))
-    bits = F.length(lower) * 5
-
-    def split(s: Column) -> Column:
-        odd = s["bits"] % 2 == 1  # the last bit is of longitude then
-        even, other = _gathered(s["n"]), _gathered(F.shiftright(s["n"], 1))
-        y, x, ny = F.when(odd, other).otherwise(even), F.when(odd, even).otherwise(other), F.floor(s["bits"] / 2)
-        place = lambda k, n, size: (k + 0.5) * size / F.pow(F.lit(2.0), n) - size / 2
-        return F.struct(place(y, ny, 180.0).alias("lat"), place(x, s["bits"] - ny, 360.0).alias("lon"))
-
-    return F.when(lower.rlike(f"^[{GEOHASH}]{{1,12}}$"), bind(struct(n=number, bits=bits), split))
+    number = lambda text: F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda n, c: n * 32 + value(c))
+
+    def split(n: Column, bits: Column) -> dict[str, Column]:
+        odd = bits % 2 == 1  # the last bit is of longitude then
+        even, other = _gathered(n), _gathered(F.shiftright(n, 1))
+        ny = F.floor(bits / 2).cast("int")
+        return {"y": F.when(odd, other).otherwise(even), "x": F.when(odd, even).otherwise(other), "ny": ny, "nx": bits - ny}
+
+    first = lambda s: struct(**split(s["n"], s["bits"]), rest=s["rest"], more=s["more"])
+
+    def joined(s: Column) -> Column:
+        low = split(s["rest"], s["more"])
+        up = lambda k, bits, part: F.call_function("shiftleft", k, bits) + part
+        return struct(y=up(s["y"], low["ny"], low["y"]), x=up(s["x"], low["nx"], low["x"]), ny=s["ny"] + low["ny"], nx=s["nx"] + low["nx"])
+
+    place = lambda k, n, size: (k + 0.5) * size / F.pow(F.lit(2.0), n) - size / 2
+    centre = lambda s: struct(lat=place(s["y"], s["ny"], 180.0), lon=place(s["x"], s["nx"], 360.0))
+    size = lambda text: (F.length(text) * 5).cast("int")
+    head, tail = F.substring(lower, 1, 12), F.substring(lower, 13, 6)
+    parts = struct(n=number(head), bits=size(head), rest=number(tail), more=size(tail))
+    return F.when(lower.rlike(f"^[{GEOHASH}]{{1,18}}$"), bind(parts, first, joined, centre))
 
 
 def gars(lat: Column, lon: Column, precision: int = 2) -> Column:

@@ -26,8 +26,13 @@ def reverse(kind: str, lat0: Column, lon0: Column, x: Column, y: Column, e: Elli
 
 
 def transverse_mercator_exact(lon0: Column, lat: Column, lon: Column, k0: float = 1.0, e: Ellipsoid = WGS84) -> Column:
-    """Struct x, y without a series, within 80 degrees of lon0."""
-    return kernel(partial(transverse.transverse_mercator_exact, k0=k0, e=e), "x y", lon0, lat, lon)
+    """Struct x, y, gamma (convergence), k (scale) without a series, on the whole ellipsoid."""
+    return kernel(partial(transverse.transverse_mercator_exact, k0=k0, e=e), "x y gamma k", lon0, lat, lon)
+
+
+def transverse_mercator_exact_reverse(lon0: Column, x: Column, y: Column, k0: float = 1.0, e: Ellipsoid = WGS84) -> Column:
+    """Struct lat, lon, gamma, k; null beyond the map's outline."""
+    return kernel(partial(transverse.transverse_mercator_exact_reverse, k0=k0, e=e), "lat lon gamma k", lon0, x, y)
 
 
 def centred(kind: str, lat: Column, lon: Column, lat0: float, lon0: float, e: Ellipsoid = WGS84) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ AXES = "xyz"
 class Index(NamedTuple):
     """Points by cells of space.
 
-    points: key, lat, lon, x, y, z, and ix, iy, iz: their cell at the last level. nodes: level, parent, and its children
+    points: _r (their key), lat, lon, x, y, z, and ix, iy, iz: their cell at the last level. nodes: level, parent, and its children
     (code, n, leaf, and the box of their points), for the root and each cell of over ``leaf`` points. sizes: parents at
     each level that has any, and the most points of a leaf; only points nearer to each other than the last level's
     cells are more than ``leaf`` in one.
@@ -39,10 +40,12 @@ class Index(NamedTuple):
     e: Ellipsoid
 
 
-def _placed(points: DataFrame, key: str, e: Ellipsoid) -> DataFrame:
-    """(key, lat, lon, x, y, z): points in space, without those that are nowhere."""
-    p = points.select(F.col(key), "lat", "lon", geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e).alias("_p"))
-    return p.filter(~F.isnan("_p.x") & F.col("_p.x").isNotNull()).select(key, "lat", "lon", *(F.col(f"_p.{c}").alias(c) for c in AXES))
+def _placed(points: DataFrame, key: str, name: str, e: Ellipsoid) -> DataFrame:
+    """(name, lat, lon, x, y, z, ix, iy, iz): points in space and their cell at the last level, without those that are nowhere."""
+    p = points.select(F.col(key).alias(name), "lat", "lon", geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e).alias("_p"))
+    p = p.filter(~F.isnan("_p.x") & F.col("_p.x").isNotNull()).select(name, "lat", "lon", *(F.col(f"_p.{c}").alias(c) for c in AXES))
+    half = 1.001 * max(e.a, e.b)
+    return p.select("*", *(F.floor((F.col(c) + half) * ((1 << LEVELS[-1]) / (2 * half))).cast("bigint").alias(f"i{c}") for c in AXES))
 
 
 def _code(level: Column) -> Column:
@@ -58,17 +61,16 @@ def _parent(code: Column, steps: int) -> Column:
     return bind(k, lambda v: (F.get(v, F.lit(0)) * (1 << 20) + F.get(v, F.lit(1))) * (1 << 20) + F.get(v, F.lit(2)))
 
 
+def _box(prefix: str = "") -> list[Column]:
+    return [f(c).alias(f"{prefix}{c}{n}") for c in AXES for f, n in ((F.min, 0), (F.max, 1))]
+
+
 def build_index(points: DataFrame, key: str, e: Ellipsoid = WGS84, leaf: int = LEAF) -> Index:
     """An index of ``points`` (key, lat, lon). Points are counted by cell at ten levels, in each task before the shuffle; the cells are written."""
-    side = 2.002 * max(e.a, e.b) / (1 << LEVELS[-1])
-    placed = _placed(points, key, e)
-    for c in AXES:
-        placed = placed.withColumn(f"i{c}", F.floor((F.col(c) + 1.001 * max(e.a, e.b)) / side).cast("bigint"))
-    box = [f(c).alias(f"{c}{n}") for c in AXES for f, n in ((F.min, 0), (F.max, 1))]
+    placed = _placed(points, key, "_r", e)
     at = placed.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS))))
-    cells = at.groupBy("level", _code(F.col("level")).alias("code")).agg(F.count(F.lit(1)).alias("n"), *box)
-    last = F.lit(LEVELS[-1])
-    fields = ["code", "n", ((F.col("n") <= leaf) | (F.col("level") == last)).alias("leaf"), *(f"{c}{k}" for c in AXES for k in (0, 1))]
+    cells = at.groupBy("level", _code(F.col("level")).alias("code")).agg(F.count(F.lit(1)).alias("n"), *_box())
+    fields = ["level", "code", "n", ((F.col("n") <= leaf) | (F.col("level") == LEVELS[-1])).alias("leaf"), *(f"{c}{k}" for c in AXES for k in (0, 1))]
     up = F.when(F.col("level") == LEVELS[0], 0).otherwise(_parent(F.col("code"), LEVELS.step))
     nodes = cells.groupBy("level", up.alias("parent")).agg(F.collect_list(F.struct(*fields)).alias("children"), F.sum("n").alias("points"))
     nodes = staged(nodes.filter((F.col("points") > leaf) | (F.col("level") == LEVELS[0])), "cells")
@@ -78,13 +80,15 @@ def build_index(points: DataFrame, key: str, e: Ellipsoid = WGS84, leaf: int = L
     return Index(placed, nodes, key, sizes, next((r.points for r in found if r.level == LEVELS[0]), 0), leaf, e)
 
 
-def _least(box: Column) -> Column:
-    """The least distance of a point to a box."""
-    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}0"] - F.col(c), F.col(c) - box[f"{c}1"], F.lit(0.0)), F.lit(2.0)) for c in AXES))
+def _least(box: Column, own: Column | None = None) -> Column:
+    """The least distance of a box to the row's point, or to another box."""
+    ends = ((F.col(c), F.col(c)) if own is None else (own[f"{c}0"], own[f"{c}1"]) for c in AXES)
+    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}0"] - hi, lo - box[f"{c}1"], F.lit(0.0)), F.lit(2.0)) for c, (lo, hi) in zip(AXES, ends)))
 
 
-def _most(box: Column) -> Column:
-    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}1"] - F.col(c), F.col(c) - box[f"{c}0"]), F.lit(2.0)) for c in AXES))
+def _most(box: Column, own: Column | None = None) -> Column:
+    ends = ((F.col(c), F.col(c)) if own is None else (own[f"{c}0"], own[f"{c}1"]) for c in AXES)
+    return F.sqrt(sum(F.pow(F.greatest(box[f"{c}1"] - lo, hi - box[f"{c}0"]), F.lit(2.0)) for c, (lo, hi) in zip(AXES, ends)))
 
 
 def _longest(chord: Column, e: Ellipsoid) -> Column:
@@ -93,54 +97,83 @@ def _longest(chord: Column, e: Ellipsoid) -> Column:
     return F.when(chord < 1.99 * r, 2 * r * F.asin(F.least(chord / (2 * r), F.lit(1.0))) * (1 + 1e-12)).otherwise(math.pi * max(e.a, e.b))
 
 
-def _reached(left: DataFrame, key: str, index: Index, keep) -> DataFrame:
-    """(key, lat, lon, x, y, z, level, code, n): for each of ``left`` the leaves that may matter to it.
+SLACK = 1 + 1e-12
+
 
-    From the root down, the cells of a row are replaced by their children, with bounds on the distance of what they hold: ``low`` (of
-    the box, in a straight line) and ``high`` (along the ellipsoid). ``keep`` takes these rows and leaves out
-    those that can't matter. A leaf stays as it is. What is kept of a level is written.
+def _reached(left: DataFrame, index: Index, most: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(at, cell): the leaves ``cell`` that may matter to some row of ``left`` (placed) in its cell ``at`` of the index's last level.
+
+    Both sides go down together: at each level the cells of rows, with the box of these, and the cells of points near them
+    are replaced by their children. ``low`` and ``high`` bound the distances between two of them (in a straight line,
+    along the ellipsoid), ``bound`` is what the parent's rows are known to need at most; ``keep`` leaves out those beyond. A
+    leaf stays as it is. What is kept of a level is written.
     """
-    rows = _placed(left, key, index.e).withColumn("code", F.lit(0).cast("bigint"))
-    leaves = None
+    spark, last = left.sparkSession, list(index.sizes)[-1]
+    cells = spark.range(1).select(F.lit(0).cast("bigint").alias("at"), F.lit(most).alias("bound"), F.lit(0).cast("bigint").alias("code"))
+    leaves, before = None, LEVELS[0]
     for level, (parents, _) in index.sizes.items():
         own = index.nodes.filter(F.col("level") == level).select(F.col("parent").alias("code"), "children")
-        opened = rows.join(F.broadcast(own) if parents <= SMALL else own, "code").withColumn("_c", F.explode("children"))
-        opened = opened.select(key, "lat", "lon", *AXES, F.lit(level).alias("level"), "_c.code", "_c.n", "_c.leaf", _least(F.col("_c")).alias("low"), _longest(_most(F.col("_c")), index.e).alias("high"))
-        kept = keep(opened if leaves is None else opened.unionByName(leaves))
-        kept = kept if level == list(index.sizes)[-1] else staged(kept, "reached")  # read twice from here on
-        leaves, rows = kept.filter("leaf"), kept.filter(~F.col("leaf")).select(key, "lat", "lon", *AXES, "code")
-    return leaves
-
-
-def _candidates(leaves: DataFrame, key: str, index: Index) -> DataFrame:
-    """(key, lat, lon, right key, r_lat, r_lon, chord): rows and the points of their leaves. A leaf of too many points (all within some metres) is dealt by a hash, to as many tasks."""
+        opened = cells.join(F.broadcast(own) if parents <= SMALL else own, "code").select("at", "bound", F.explode("children").alias("cell"))
+        opened = opened if leaves is None else opened.unionByName(leaves)
+        up = F.lit(0).cast("bigint") if level == LEVELS[0] else _code(F.lit(before))
+        rows = left.groupBy(up.alias("at"), _code(F.lit(level)).alias("_to")).agg(*_box("_")).select("at", "_to", F.struct(*(F.col(f"_{c}{k}").alias(f"{c}{k}") for c in AXES for k in (0, 1))).alias("_own"))
+        pairs = rows.join(opened, "at").withColumn("low", _least(F.col("cell"), F.col("_own"))).filter(F.col("low") <= F.col("bound") * SLACK)
+        kept = keep(pairs.select(F.col("_to").alias("at"), "bound", "cell", "low", _longest(_most(F.col("cell"), F.col("_own")), index.e).alias("high")))
+        kept = kept.select("at", "bound", "cell")
+        kept = kept if level == last else staged(kept, "reached")  # read twice from here on
+        leaves, cells, before = kept.filter("cell.leaf"), kept.filter("not cell.leaf").select("at", "bound", "cell.code"), level
+    return leaves.select("at", "cell")
+
+
+def _met(rows: DataFrame, index: Index, near: Callable[[Column], Column]) -> DataFrame:
+    """Rows (with ``cell``, a leaf) and, of its points as structs chord, _r, lat, lon, those that ``near`` keeps of the array: ``pair``.
+
+    A leaf's points come as one array of ``leaf`` at most. One with more (all within some metres) is dealt by a hash, to as many arrays.
+    """
     used = [level for level, (_, most) in index.sizes.items() if most]
     points = index.points.withColumn("level", F.explode(F.array(*map(F.lit, used)))).withColumn("code", _code(F.col("level")))
-    by = ["level", "code"]
-    if index.sizes[used[-1]][1] > index.leaf:
-        child = index.nodes.select("level", F.explode("children").alias("_c")).filter(F.col("_c.leaf") & (F.col("_c.n") > index.leaf))
-        points = points.join(child.select("level", "_c.code", F.col("_c.n").alias("_n")), by, "left")
-        parts = F.ceil(F.coalesce("_n", F.lit(1)) / index.leaf)
-        points = points.withColumn("_part", F.pmod(F.xxhash64(index.key), parts)).drop("_n")
-        leaves = leaves.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / index.leaf), F.lit(1)) - 1)))
-        by = [*by, "_part"]
-    points = points.select(*by, index.key, *(F.col(c).alias(f"r_{c}") for c in ("lat", "lon", *AXES)))
-    chord = F.sqrt(sum((F.col(c) - F.col(f"r_{c}")) ** 2 for c in AXES))
-    return leaves.join(points, by).select(key, "lat", "lon", index.key, "r_lat", "r_lon", chord.alias("chord"))
+    leaf = index.nodes.filter(F.col("level").isin(used)).select(F.explode("children").alias("c")).filter("c.leaf").select("c.level", "c.code", F.ceil(F.col("c.n") / index.leaf).alias("_parts"))
+    points = points.join(leaf, ["level", "code"]).withColumn("part", F.pmod(F.xxhash64("_r"), F.col("_parts")))
+    arrays = points.groupBy("level", "code", "part").agg(F.collect_list(F.struct("_r", "lat", "lon", *AXES)).alias("_points"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("cell.n") / index.leaf), F.lit(1)) - 1)
+    rows = rows.select("*", F.col("cell.level").alias("level"), F.col("cell.code").alias("code"), F.explode(parts).alias("part")).drop("cell")
+    chord = lambda p: F.sqrt(sum((F.col(c) - p[c]) ** 2 for c in AXES))
+    found = F.transform("_points", lambda p: struct(chord=chord(p), _r=p["_r"], lat=p["lat"], lon=p["lon"]))
+    met = rows.join(arrays, ["level", "code", "part"]).withColumn("_found", near(found))
+    return met.withColumn("pair", F.explode("_found")).drop("_points", "_found", "level", "code", "part")
 
 
 def _measured(pairs: DataFrame, e: Ellipsoid) -> DataFrame:
-    return pairs.withColumn("distance", inverse(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"), e, "s12")["s12"])
+    return pairs.withColumn("distance", inverse(F.col("lat"), F.col("lon"), F.col("pair.lat"), F.col("pair.lon"), e, "s12")["s12"])
+
+
+def _named(pairs: DataFrame, left_key: str, index: Index, *more: str) -> DataFrame:
+    return pairs.select(F.col("_l").alias(left_key), F.col("pair._r").alias(index.key), *more)
+
+
+def _none(left: DataFrame, index: Index, left_key: str, *more: str) -> DataFrame:
+    """No rows, with the columns of a join."""
+    empty = left.limit(0).select(F.col(left_key).alias("_l")).join(index.points.limit(0).select(F.struct("_r").alias("pair")), F.lit(True))
+    return _named(empty.withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0)), left_key, index, *more)
+
+
+def _at(index: Index) -> Column:
+    return _code(F.lit(list(index.sizes)[-1]))
 
 
 def radius_join(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
-    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid. ``right`` can be an index."""
+    """(left_key, right_key, distance) of the pairs at most ``radius`` metres apart along the ellipsoid. ``right`` can be an index.
+
+    Work and shuffle grow with the rows and with the leaves in reach of them, so with the pairs found.
+    """
     index = right if isinstance(right, Index) else build_index(right, right_key, e)
     if not index.sizes:
-        return _none(left, index, left_key).drop("rank")
-    leaves = _reached(left, left_key, index, lambda cells: cells.filter(F.col("low") <= radius * (1 + 1e-12)))
-    near = _candidates(leaves, left_key, index).filter(F.col("chord") <= radius * (1 + 1e-12))
-    return _measured(near, index.e).filter(F.col("distance") <= radius).select(left_key, right_key, "distance")
+        return _none(left, index, left_key, "distance")
+    rows = _placed(left, left_key, "_l", index.e)
+    leaves = _reached(rows, index, radius, lambda pairs: pairs)
+    rows = rows.withColumn("at", _at(index)).join(leaves, "at").filter(_least(F.col("cell")) <= radius * SLACK).select("_l", "lat", "lon", *AXES, "cell")
+    pairs = _met(rows, index, lambda found: F.filter(found, lambda p: p["chord"] <= radius * SLACK))
+    return _named(_measured(pairs, index.e).filter(F.col("distance") <= radius), left_key, index, "distance")
 
 
 def within_radius(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, radius: float, e: Ellipsoid = WGS84) -> DataFrame:
@@ -148,10 +181,6 @@ def within_radius(left: DataFrame, right: DataFrame | Index, left_key: str, righ
     return left.join(nearest_join(left, right, left_key, right_key, 1, e, most=radius).select(left_key), left_key, "left_semi")
 
 
-def _none(left: DataFrame, index: Index, left_key: str) -> DataFrame:
-    return left.select(left_key).join(index.points.select(index.key), F.lit(False)).select(left_key, index.key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-
-
 def nearest_join(left: DataFrame, right: DataFrame | Index, left_key: str, right_key: str, k: int, e: Ellipsoid = WGS84, most: float = math.inf, least: float = -1.0, tolerance: float = 0.0) -> DataFrame:
     """(left_key, right_key, distance, rank) of the ``k`` nearest of ``right`` for each of ``left``; ties by right_key. ``right`` can be an index.
 
@@ -159,29 +188,50 @@ def nearest_join(left: DataFrame, right: DataFrame | Index, left_key: str, right
     a table with itself). With a ``tolerance`` the distance of each rank is less than so many metres over the least possible,
     and cells that can't better it by more aren't opened.
 
-    At each level of cells a row has a bound on its k-th distance from the counts of cells alone, and leaves out cells
-    that begin beyond it; so a dense cell costs a row no more than a thin one. Points are only met in leaves. Of these
-    candidates those are measured whose chord is no longer than the geodesic of the k-th shortest chord can be. Keys
-    must be unique in each table.
+    The counts of cells alone bound the k-th distance, of the rows of a cell and then of each row; cells that begin
+    beyond it are left out, so a dense cell costs no more than a thin one. Points are only met in leaves; of each leaf those
+    go on whose chord is no longer than the geodesic of its k-th shortest chord can be, and of all these the same
+    again, before geodesics are measured. Keys must be unique in each table.
     """
     index = right if isinstance(right, Index) else build_index(right, right_key, e)
     if k < 1 or not index.sizes:
-        return _none(left, index, left_key)
-    of_row = Window.partitionBy(left_key)
-    slack = 1 + 1e-12
-
-    def nearest_cells(cells: DataFrame) -> DataFrame:
-        sure = F.when(F.col("low") > least, F.col("n")).otherwise(0)
-        cells = cells.filter(F.col("low") <= most * slack).withColumn("_sum", F.sum(sure).over(of_row.orderBy("high", "level", "code").rowsBetween(Window.unboundedPreceding, 0)))
-        cells = cells.withColumn("_bound", F.coalesce(F.min(F.when(F.col("_sum") >= k, F.col("high"))).over(of_row), F.lit(math.inf)))
-        needed = (F.col("high") <= F.col("_bound")) if tolerance else F.lit(False)
-        return cells.filter((F.col("low") <= (F.col("_bound") - tolerance) * slack) | needed).drop("_sum", "_bound")
-
-    pairs = _candidates(_reached(left, left_key, index, nearest_cells), left_key, index).filter(F.col("chord") <= most * slack)
-    sure = F.when(F.col("chord") > least, F.col("chord"))
-    pairs = pairs.withColumn("_k", F.count(sure).over(of_row.orderBy("chord", right_key).rowsBetween(Window.unboundedPreceding, 0)))
-    kth = F.min(F.when(F.col("_k") >= k, F.col("chord"))).over(of_row)
-    pairs = pairs.withColumn("_bound", F.coalesce(_longest(kth, index.e), F.lit(math.inf))).filter(F.col("chord") <= F.col("_bound"))
+        return _none(left, index, left_key, "distance", "rank")
+    infinite = F.lit(math.inf)
+
+    def nearest_cells(pairs: DataFrame) -> DataFrame:
+        of_cell = Window.partitionBy("at")
+        sure = F.when(F.col("low") > least, F.col("cell.n")).otherwise(0)
+        pairs = pairs.withColumn("_sum", F.sum(sure).over(of_cell.orderBy("high", "cell.level", "cell.code").rowsBetween(Window.unboundedPreceding, 0)))
+        pairs = pairs.withColumn("bound", F.least("bound", F.coalesce(F.min(F.when(F.col("_sum") >= k, F.col("high"))).over(of_cell), infinite)))
+        needed = (F.col("high") <= F.col("bound")) if tolerance else F.lit(False)
+        return pairs.filter((F.col("low") <= (F.col("bound") - tolerance) * SLACK) | needed)
+
+    rows = _placed(left, left_key, "_l", index.e)
+    around = _reached(rows, index, most, nearest_cells).groupBy("at").agg(F.collect_list("cell").alias("_cells"))
+    rows = rows.withColumn("at", _at(index)).join(around, "at").select("_l", "lat", "lon", *AXES, "_cells")
+    of_row = F.transform("_cells", lambda c: struct(high=_longest(_most(c), index.e), low=_least(c), cell=struct(level=c["level"], code=c["code"], n=c["n"])))
+
+    def bounded(s: Column) -> Column:
+        """The cells of a row, by their far ends, up to where k points are sure."""
+        step = lambda a, c: struct(sum=a["sum"] + F.when(c["low"] > least, c["cell"]["n"]).otherwise(0), bound=F.when((a["sum"] < k) & (a["sum"] + F.when(c["low"] > least, c["cell"]["n"]).otherwise(0) >= k), c["high"]).otherwise(a["bound"]))
+        return struct(cells=s["cells"], bound=F.aggregate(s["cells"], struct(sum=F.lit(0).cast("bigint"), bound=F.lit(float(most))), step)["bound"])
+
+    rows = rows.withColumn("_s", bind(struct(cells=F.array_sort(of_row)), bounded))
+    needed = lambda c: (c["high"] <= F.col("_s.bound")) if tolerance else F.lit(False)
+    kept = F.filter("_s.cells", lambda c: (c["low"] <= (F.least(F.col("_s.bound"), F.lit(float(most))) - tolerance) * SLACK) | needed(c))
+    rows = rows.select("_l", "lat", "lon", *AXES, F.least(F.col("_s.bound"), F.lit(float(most))).alias("bound"), F.explode(kept).alias("_c"))
+    rows = rows.select("_l", "lat", "lon", *AXES, "bound", F.col("_c.cell").alias("cell"))
+
+    def near(found: Column) -> Column:
+        close = lambda p: p["chord"] <= F.col("bound") * SLACK
+        kth = lambda s: struct(all=s["all"], cut=_longest(F.get(F.filter(s["all"], lambda p: p["chord"] > least), F.lit(k - 1))["chord"], index.e))
+        return bind(struct(all=F.array_sort(F.filter(found, close))), kth, lambda s: F.filter(s["all"], lambda p: p["chord"] <= s["cut"]))
+
+    pairs, of_row = _met(rows, index, near), Window.partitionBy("_l")
+    sure = F.when(F.col("pair.chord") > least, F.col("pair.chord"))
+    pairs = pairs.select("_l", "lat", "lon", "pair", F.count(sure).over(of_row.orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)).alias("_k"))
+    kth = F.min(F.when(F.col("_k") >= k, F.col("pair.chord"))).over(of_row)
+    pairs = pairs.withColumn("_bound", F.coalesce(_longest(kth, index.e), infinite)).filter(F.col("pair.chord") <= F.col("_bound"))
     found = _measured(pairs, index.e).filter((F.col("distance") <= most) & (F.col("distance") > least))
-    rank = F.row_number().over(of_row.orderBy("distance", right_key))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(left_key, right_key, "distance", "rank")
+    rank = F.row_number().over(of_row.orderBy("distance", "pair._r"))
+    return _named(found.withColumn("rank", rank).filter(F.col("rank") <= k), left_key, index, "distance", "rank")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import frames, grids
 from ..functions.raster import CELLS, INNER, NORTH, SOUTH, TERMS, cubic
-from ..operators import fields, neighbours, raster, sums
+from ..operators import centred, fields, neighbours, raster, sums
+from ..operators.staging import staged
 from .queries import _r
 
 DEGREE, ROWS, COLUMNS = 20, 19, 36
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
 
 
 def harmonic_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +72,63 @@ select id, round(sum(coalesce(v, 0) * (case k {smooth} end)), 6) as smooth, roun
 
 
 def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact sums by language of values whose sums as doubles would depend on their order."""
-    n = F.col("n_chars").cast("double")
-    docs = _documents(spark, sf_dir).withColumn("v", F.when(F.col("doc_id") % 2 == 0, n * 1e15).otherwise(-n / 3))
-    return sums.accurate_sums(docs, "lang", "v").select("lang", "sum", "rest")
+    """Exact sums by tens of documents, a third of them under one key, of values whose sums as doubles would depend on their order."""
+    n, k = F.col("n_chars").cast("double"), F.col("doc_id")
+    value = F.when(k % 2 == 0, n * 1e15).otherwise(-n / 3)
+    docs = _documents(spark, sf_dir).select(F.when(k % 3 == 0, -1).otherwise(F.floor(k / 10)).cast("bigint").alias("ten"), value.alias("v"))
+    return sums.accurate_sums(docs, "ten", "v").select("ten", "sum", "rest")
 
 
 def tolerant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For a point of each document three others, none over 5 km farther than the nearest ones are."""
-    k = F.col("doc_id")
-    points = _documents(spark, sf_dir).select(k.alias("id"), ((k * 7919) % 17001 / 100.0 - 85).alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).alias("lon"))
+    points = _points(spark, sf_dir)
     found = neighbours.nearest_join(points, points.withColumnRenamed("id", "other"), "id", "other", 3, least=0.0, tolerance=5000.0)
     return found.select("id", "other", "rank", _r(F.col("distance"), "distance", 3))
 
 
-QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs)}
-ORACLE_SQL = {"harmonic_circles": _circles_sql(), "raster_points": _raster_sql()}
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    return _documents(spark, sf_dir).select(k.alias("id"), ((k * 7919) % 17001 / 100.0 - 85).alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).alias("lon"))
+
+
+PTS = "p as (select doc_id as id, (doc_id * 7919) % 17001 / 100.0 - 85 as lat, (doc_id * 104729) % 36000 / 100.0 - 180 as lon from documents)"
+
+
+def exact_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transverse Mercator projection of points all over the ellipsoid, and back."""
+    rows = _points(spark, sf_dir).withColumn("g", centred.transverse_mercator_exact(F.lit(0.0), F.col("lat"), F.col("lon")))
+    rows = staged(rows, "mercator").withColumn("b", centred.transverse_mercator_exact_reverse(F.lit(0.0), F.col("g.x"), F.col("g.y")))
+    return rows.select("id", (F.col("g.x") >= 0).alias("east"), (F.col("g.k") >= 1 - 1e-12).alias("wide"), _r(F.col("b.lat"), "lat2", 7), _r(F.abs("b.lon"), "lon2", 7))
+
+
+def local_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in a frame about Paris, and back."""
+    at = (48.85, 2.35, 100.0)
+    rows = _points(spark, sf_dir).withColumn("g", frames.local_cartesian(F.col("lat"), F.col("lon"), F.col("lat") * 10, *at))
+    b = frames.local_cartesian_reverse(F.col("g.east"), F.col("g.north"), F.col("g.up"), *at)
+    return rows.withColumn("b", b).select("id", _r(F.col("b.lat"), "lat2", 7), _r(F.abs("b.lon"), "lon2", 7), _r(F.col("b.h"), "h2", 3))
+
+
+def geohash_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geohashes of 15 and 18 characters, and the centres of their cells."""
+    lat, lon = F.col("lat") + F.col("id") / 1e9, F.col("lon") + F.col("id") / 1e10
+    rows = _points(spark, sf_dir).select("id", grids.geohash(lat, lon, 18).alias("code"), grids.geohash(lat, lon, 15).alias("short"))
+    cell = rows.withColumn("c", grids.geohash_cell(F.col("code"))).withColumn("s", grids.geohash_cell(F.col("short")))
+    return cell.select("id", F.col("code").startswith(F.col("short")).alias("within"), *(_r(F.col(f"{c}.{x}"), f"{x}_{c}", 9) for c in "cs" for x in ("lat", "lon")))
+
+
+def _cells_sql() -> str:
+    cell = lambda v, size, bits: f"(floor(({v} + {size / 2}) * ({2.0**bits!r} / {size})) + 0.5) * {size} / {2.0**bits!r} - {size / 2}"
+    lat, lon = "(lat + id / 1e9)", "(lon + id / 1e10)"
+    columns = ", ".join(f"round({cell(v, size, bits)}, 9) as {n}_{c}" for c, by, bx in (("c", 45, 45), ("s", 37, 38)) for n, v, size, bits in (("lat", lat, 180.0, by), ("lon", lon, 360.0, bx)))
+    return f"with {PTS} select id, true as within, {columns} from p"
+
+
+QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long)}
+ORACLE_SQL = {
+    "harmonic_circles": _circles_sql(),
+    "raster_points": _raster_sql(),
+    "exact_mercator": f"with {PTS} select id, lon >= 0 or lon = -180 as east, true as wide, round(lat, 7) as lat2, round(abs(lon), 7) as lon2 from p",
+    "local_round_trip": f"with {PTS} select id, round(lat, 7) as lat2, round(abs(lon), 7) as lon2, round(lat * 10, 3) as h2 from p",
+    "geohash_long": _cells_sql(),
+}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from geoplane.functions import azimuthal, geodesic, intersect, transverse
+from geoplane.functions.ellipsoid import WGS84
 
 RNG = np.random.default_rng(0)
 
@@ -41,8 +42,30 @@ def test_transverse_mercator_is_the_series_where_that_is_good():
     lat, lon = RNG.uniform(-89, 89, 500), RNG.uniform(-35, 35, 500)
     a, b = transverse.transverse_mercator(0.0, lat, lon), transverse.transverse_mercator_exact(0.0, lat, lon)
     assert max(np.abs(a[c] - b[c]).max() for c in "xy") < 1e-6
-    far = transverse.transverse_mercator_exact(0.0, [10.0, 10.0], [75.0, 85.0])
-    assert np.isfinite(far["x"][0]) and np.isnan(far["x"][1])
+    assert max(np.abs(a[c] - b[c]).max() for c in ("gamma", "k")) < 1e-11
+
+
+def test_transverse_mercator_on_the_whole_ellipsoid():
+    # published
+    edge = transverse.transverse_mercator_exact(0.0, 0.0, 90.0, k0=0.9996)
+    assert [round(float(edge[c][0]), 2) for c in ("x", "y", "gamma", "k")] == [25953592.85, 9997964.94, 90, 18.40]  # 25953592.84 to the digits given, cut
+    lat = np.r_[RNG.uniform(-90, 90, 1000), RNG.uniform(-1, 1, 500), 90, -90, 0, 0, 0, 0, 45, 45]
+    lon = np.r_[RNG.uniform(-180, 180, 1000), RNG.uniform(80, 100, 500), 10, 20, 0, 82.7, 89.999, 180, 180, -180]
+    f = transverse.transverse_mercator_exact(7.0, lat, lon + 7.0)
+    b = transverse.transverse_mercator_exact_reverse(7.0, f["x"], f["y"])
+    assert np.hypot(b["lat"] - lat, ((b["lon"] - 7 - lon + 180) % 360 - 180) * np.cos(np.radians(lat))).max() < 1e-11
+    assert np.allclose(b["k"], f["k"], rtol=1e-9) and (f["k"] >= 1 - 1e-12).all()
+    # conformal: small steps north and east are equally long, and at right angles
+    d, c = 1e-6, np.cos(np.radians(lat[:1000]))
+    step = lambda dy, dx: transverse.transverse_mercator_exact(7.0, lat[:1000] + dy, lon[:1000] + 7.0 + dx)
+    east = step(0, d / c)
+    g = np.radians(f["gamma"][:1000])
+    r = WGS84.a / np.sqrt(1 - WGS84.e2 * (1 - c * c)) * np.radians(d)
+    ok = (np.abs(lat[:1000]) < 89) & (f["k"][:1000] < 5)
+    assert np.abs((east["x"] - f["x"][:1000]) / r / f["k"][:1000] - np.cos(g))[ok].max() < 1e-4
+    assert np.abs((east["y"] - f["y"][:1000]) / r / f["k"][:1000] - np.sin(g))[ok].max() < 1e-4
+    odd = transverse.transverse_mercator_exact(0.0, [91.0, np.nan, 0.0], [0.0, 0.0, np.inf])
+    assert all(np.isnan(v).all() for v in odd.values())
 
 
 def test_published_intersections():

@@ -182,10 +182,11 @@ def test_a_million_values_of_one_key(spark):
 
 
 def test_exact_sums_as_registered(spark):
-    got = {r.lang: (r["sum"], r["rest"]) for r in models.exact_sums(spark, SF).collect()}
+    got = {r.ten: (r["sum"], r["rest"]) for r in models.exact_sums(spark, SF).collect()}
     exact = {}
-    for doc_id, n, lang in duckdb.sql(f"select doc_id, n_chars, lang from '{SF}/documents.parquet'").fetchall():
-        exact[lang] = exact.get(lang, 0) + Fraction(float(n) * 1e15 if doc_id % 2 == 0 else -float(n) / 3)
+    for doc_id, n in duckdb.sql(f"select doc_id, n_chars from '{SF}/documents.parquet'").fetchall():
+        ten = -1 if doc_id % 3 == 0 else doc_id // 10
+        exact[ten] = exact.get(ten, 0) + Fraction(float(n) * 1e15 if doc_id % 2 == 0 else -float(n) / 3)
     assert got == {k: (float(v), float(v - Fraction(float(v)))) for k, v in exact.items()}
 
 
