@@ -18,7 +18,7 @@ from .staging import staged
 #: Halvings of the cube around the ellipsoid at a cell of each level: the last has sides of about 12 metres.
 LEVELS = range(2, 21, 2)
 #: Points of a cell that isn't split; a table of cells with so many parents at most is broadcast.
-LEAF, SMALL = 64, 20_000
+LEAF, SMALL = 16, 20_000
 AXES = "xyz"
 
 
