@@ -18,6 +18,5 @@ QUERIES = {
     "op11_runs": periodic.op11_runs,
     "op12_pieces": pieces.op12_pieces,
     "op13_alignment": alignment.op13_alignment,
-    "license_forms": licenses.license_forms,
 }
-ORACLE_SQL = {"op3_chat": chat.SQL, "op4_decontamination": decontam.SQL, "op6_lines": lines.SQL, "op8_substrings": substrings.SQL, "op10_licenses": licenses.SQL, "license_forms": licenses.FORMS_SQL}
+ORACLE_SQL = {"op3_chat": chat.SQL, "op4_decontamination": decontam.SQL, "op6_lines": lines.SQL, "op8_substrings": substrings.SQL, "op10_licenses": licenses.SQL}
