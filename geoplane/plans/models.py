@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import frames, grids
+from ..functions import frames, grids, turns
 from ..functions.raster import CELLS, INNER, NORTH, SOUTH, TERMS, cubic
 from ..operators import centred, fields, neighbours, raster, sums
 from ..operators.staging import staged
@@ -117,6 +117,19 @@ def geohash_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell.select("id", F.col("code").startswith(F.col("short")).alias("within"), *(_r(F.col(f"{c}.{x}"), f"{x}_{c}", 9) for c in "cs" for x in ("lat", "lon")))
 
 
+def angle_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of angles of many turns, and what turns, quadrants and right angles there are in them."""
+    k = F.col("doc_id")
+    a, b = ((k * 7919) % 36001 - 18000) / 10 + 0.03, ((k * 104729) % 14401 - 7200) / 10 + 0.04
+    rows = _documents(spark, sf_dir).select(k.alias("id"), a.alias("a"), b.alias("b"), turns.turn(a).alias("x"), turns.turn(b).alias("y"))
+    rows = rows.withColumn("z", turns.plus(F.col("x"), F.col("y"))).withColumn("w", turns.rebase(F.col("z"), F.col("x")))
+    z, whole = F.col("z"), lambda c, n: c.cast("bigint").alias(n)
+    return rows.select(
+        "id", _r(turns.degrees(z), "total", 7), _r(turns.degrees(turns.base(z)), "base", 7), whole(z["n"], "whole"), whole(turns.quadrant(z), "quadrant"), whole(turns.quarters(z), "quarters"),
+        _r(turns.degrees(F.col("w")), "near", 7), _r(turns.degrees(turns.nearest(z)), "cardinal", 7), turns.lat_lon_text(turns.turn(F.lit(0.5)), turns.base(turns.turn(F.lit(360.25))), 0).alias("text"),
+    )
+
+
 def _cells_sql() -> str:
     cell = lambda v, size, bits: f"(floor(({v} + {size / 2}) * ({2.0**bits!r} / {size})) + 0.5) * {size} / {2.0**bits!r} - {size / 2}"
     lat, lon = "(lat + id / 1e9)", "(lon + id / 1e10)"
@@ -124,11 +137,15 @@ def _cells_sql() -> str:
     return f"with {PTS} select id, true as within, {columns} from p"
 
 
-QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long)}
+QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long, angle_turns)}
 ORACLE_SQL = {
     "harmonic_circles": _circles_sql(),
     "raster_points": _raster_sql(),
     "exact_mercator": f"with {PTS} select id, lon >= 0 or lon = -180 as east, true as wide, round(lat, 7) as lat2, round(abs(lon), 7) as lon2 from p",
     "local_round_trip": f"with {PTS} select id, round(lat, 7) as lat2, round(abs(lon), 7) as lon2, round(lat * 10, 3) as h2 from p",
     "geohash_long": _cells_sql(),
+    "angle_turns": """with d as (select doc_id as id, ((doc_id * 7919) % 36001 - 18000) / 10.0 + 0.03 as a, ((doc_id * 104729) % 14401 - 7200) / 10.0 + 0.04 as b from documents),
+s as (select id, a, b, a + b as z, round((a + b) / 360) as n from d)
+select id, round(z, 7) as total, round(z - 360 * n, 7) as base, cast(n as bigint) as whole, cast(floor((z - 360 * floor(z / 360)) / 90) as bigint) as quadrant, cast(round(z / 90) as bigint) as quarters,
+round(z - 360 * round(b / 360), 7) as near, round(90 * round(z / 90), 7) as cardinal, '00d30''00"N 000d15''00"E' as text from s""",
 }
