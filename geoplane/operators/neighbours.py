@@ -16,9 +16,9 @@ from .geodesics import inverse
 from .staging import staged
 
 #: Halvings of the cube around the ellipsoid at a cell of each level: the last has sides of about 12 metres.
-LEVELS = range(2, 21, 2)
+LEVELS = range(4, 21, 2)
 #: Points of a cell that isn't split; a table of cells with so many parents at most is broadcast.
-LEAF, SMALL = 16, 20_000
+LEAF, SMALL = 64, 20_000
 AXES = "xyz"
 
 
@@ -66,7 +66,7 @@ def _box(prefix: str = "") -> list[Column]:
 
 
 def build_index(points: DataFrame, key: str, e: Ellipsoid = WGS84, leaf: int = LEAF) -> Index:
-    """An index of ``points`` (key, lat, lon). Points are counted by cell at ten levels, in each task before the shuffle; the cells are written."""
+    """An index of ``points`` (key, lat, lon). Points are counted by cell at nine levels, in each task before the shuffle; the cells are written."""
     placed = _placed(points, key, "_r", e)
     at = placed.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS))))
     cells = at.groupBy("level", _code(F.col("level")).alias("code")).agg(F.count(F.lit(1)).alias("n"), *_box())
