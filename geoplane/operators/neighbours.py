@@ -41,11 +41,11 @@ class Index(NamedTuple):
 
 
 def _placed(points: DataFrame, key: str, name: str, e: Ellipsoid) -> DataFrame:
-    """(name, lat, lon, x, y, z, ix, iy, iz): points in space and their cell at the last level, without those that are nowhere."""
+    """(name, lat, lon, x, y, z, ix, iy, iz): points in space and their cell at the last level, without those that are nowhere. Written, so that plans on it stay small."""
     p = points.select(F.col(key).alias(name), "lat", "lon", geocentric(F.col("lat"), F.col("lon"), F.lit(0.0), e).alias("_p"))
     p = p.filter(~F.isnan("_p.x") & F.col("_p.x").isNotNull()).select(name, "lat", "lon", *(F.col(f"_p.{c}").alias(c) for c in AXES))
     half = 1.001 * max(e.a, e.b)
-    return p.select("*", *(F.floor((F.col(c) + half) * ((1 << LEVELS[-1]) / (2 * half))).cast("bigint").alias(f"i{c}") for c in AXES))
+    return staged(p.select("*", *(F.floor((F.col(c) + half) * ((1 << LEVELS[-1]) / (2 * half))).cast("bigint").alias(f"i{c}") for c in AXES)), "placed")
 
 
 def _code(level: Column) -> Column:
