@@ -126,7 +126,7 @@ def angle_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, whole = F.col("z"), lambda c, n: c.cast("bigint").alias(n)
     return rows.select(
         "id", _r(turns.degrees(z), "total", 7), _r(turns.degrees(turns.base(z)), "base", 7), whole(z["n"], "whole"), whole(turns.quadrant(z), "quadrant"), whole(turns.quarters(z), "quarters"),
-        _r(turns.degrees(F.col("w")), "near", 7), _r(turns.degrees(turns.nearest(z)), "cardinal", 7), turns.lat_lon_text(turns.turn(F.lit(0.5)), turns.base(turns.turn(F.lit(360.25))), 0).alias("text"),
+        _r(turns.degrees(F.col("w")), "near", 7), (F.round(turns.degrees(turns.nearest(z)), 7) + 0.0).alias("cardinal"), turns.lat_lon_text(turns.turn(F.lit(0.5)), turns.base(turns.turn(F.lit(360.25))), 0).alias("text"),
     )
 
 
@@ -147,5 +147,5 @@ ORACLE_SQL = {
     "angle_turns": """with d as (select doc_id as id, ((doc_id * 7919) % 36001 - 18000) / 10.0 + 0.03 as a, ((doc_id * 104729) % 14401 - 7200) / 10.0 + 0.04 as b from documents),
 s as (select id, a, b, a + b as z, round((a + b) / 360) as n from d)
 select id, round(z, 7) as total, round(z - 360 * n, 7) as base, cast(n as bigint) as whole, cast(floor((z - 360 * floor(z / 360)) / 90) as bigint) as quadrant, cast(round(z / 90) as bigint) as quarters,
-round(z - 360 * round(b / 360), 7) as near, round(90 * round(z / 90), 7) as cardinal, '00d30''00"N 000d15''00"E' as text from s""",
+round(z - 360 * round(b / 360), 7) as near, round(90 * round(z / 90), 7) + 0.0 as cardinal, '00d30''00"N 000d15''00"E' as text from s""",
 }
