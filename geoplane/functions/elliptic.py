@@ -20,7 +20,13 @@ def rf(x, y, z) -> np.ndarray:
 
 
 def rc(x, y) -> np.ndarray:
-    return rf(x, y, y)
+    x, y = _arrays(x, y)
+    gap = np.sqrt(np.abs(y - x))
+    some = gap > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        above = np.arctan2(gap, np.sqrt(x))
+        below = np.where(2 * y < x, np.log((np.sqrt(x) + gap) / np.sqrt(y)), np.arctanh(gap / np.sqrt(x)))
+        return np.where(some, np.where(y > x, above, below) / np.where(some, gap, 1), 1 / np.sqrt(x))
 
 
 def rd(x, y, z) -> np.ndarray:

@@ -81,7 +81,7 @@ class Triaxial:
     @property
     def _k(self) -> tuple[float, float]:
         """k2 and kp2, which add up to 1: how the axes share their differences."""
-        a2, b2, c2 = self.axes2
+        a2, b2, c2 = self.axes2.tolist()
         return (b2 - c2) / (a2 - c2), (a2 - b2) / (a2 - c2)
 
     def ellipsoidal(self, bet, omg) -> dict[str, np.ndarray]:
@@ -98,7 +98,10 @@ class Triaxial:
 
     def _lines(self, u: np.ndarray) -> dict[str, np.ndarray]:
         """bet, omg of a point of the surface, its coordinates over the axes."""
-        k2, kp2 = self._k
+        return self._lines_of(u, *self._k)
+
+    @staticmethod
+    def _lines_of(u: np.ndarray, k2: float, kp2: float) -> dict[str, np.ndarray]:
         # with A = cos(bet)^2 and B = sin(omg)^2, y^2 = A B and z^2 = (1 - A) (k2 + kp2 B): so k2 A^2 - m A - kp2 y^2 = 0
         m = k2 - kp2 * u[1] ** 2 - u[2] ** 2
         root = np.sqrt(np.maximum(m * m + 4 * k2 * kp2 * u[1] ** 2, 0))
@@ -131,7 +134,7 @@ class Triaxial:
         u = np.stack(_columns(x, y, z)) / np.sqrt(q + more)
         return self._lines(u) | {"h": np.sqrt(q) - self.c}
 
-    def random_points(self, n: int, seed: int = 0) -> dict[str, np.ndarray]:
+    def random_points(self, n: int, seed: int | list[int] = 0) -> dict[str, np.ndarray]:
         """Points spread evenly over the surface: directions of the sphere, kept in proportion to how much area they are stretched to."""
         rng = np.random.default_rng(seed)
         kept = np.zeros((3, 0))

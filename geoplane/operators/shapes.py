@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import auxiliary, elliptic
+from ..functions import auxiliary, elliptic, triaxial_conformal, triaxial_lines
 from ..functions.ellipsoid import WGS84, Ellipsoid
 from ..functions.triaxial import Triaxial
 from .geodesics import kernel
@@ -35,6 +35,31 @@ def triaxial_coordinates(t: Triaxial, kind: str, x: Column, y: Column, z: Column
     return kernel(getattr(t, f"{kind}_reverse"), names, x, y, z)
 
 
+def triaxial_inverse(t: Triaxial, bet1: Column, omg1: Column, bet2: Column, omg2: Column, fields: str = "s12 azi1 azi2") -> Column:
+    """Struct of the ``fields`` asked for, of s12, azi1, azi2, m12, scale12, scale21 of the shortest line between ellipsoidal coordinates; nulls where one is null or a latitude is out of range."""
+    return kernel(partial(triaxial_lines.inverse, t), fields, bet1, omg1, bet2, omg2)
+
+
+def triaxial_direct(t: Triaxial, bet1: Column, omg1: Column, azi1: Column, s12: Column, fields: str = "bet2 omg2 azi2") -> Column:
+    """Struct of the ``fields`` asked for, of bet2, omg2, azi2, m12, scale12, scale21."""
+    return kernel(partial(triaxial_lines.direct, t), fields, bet1, omg1, azi1, s12)
+
+
+def conformal(t: Triaxial, bet: Column, omg: Column) -> Column:
+    """Struct x, y, k of Jacobi's conformal projection."""
+    return kernel(partial(triaxial_conformal.forward, t), "x y k", bet, omg)
+
+
+def conformal_reverse(t: Triaxial, x: Column, y: Column) -> Column:
+    """Struct bet, omg, k."""
+    return kernel(partial(triaxial_conformal.reverse, t), "bet omg k", x, y)
+
+
+def conformal_other(t: Triaxial, other: Triaxial, bet: Column, omg: Column) -> Column:
+    """Struct bet, omg, k on another triaxial ellipsoid."""
+    return kernel(partial(triaxial_conformal.to_other, t, other), "bet omg k", bet, omg)
+
+
 def random_points(spark: SparkSession, t: Triaxial, n: int, parts: int = 8, seed: int = 0) -> DataFrame:
     """(x, y, z) of n points spread evenly over a surface; each part draws its own."""
     import pyarrow as pa
@@ -42,7 +67,7 @@ def random_points(spark: SparkSession, t: Triaxial, n: int, parts: int = 8, seed
     def run(batches):
         for batch in batches:
             for part, size in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist()):
-                p = t.random_points(size, hash((seed, part)) & 0x7FFFFFFF)
+                p = t.random_points(size, [seed, part])
                 yield pa.RecordBatch.from_arrays([pa.array(p[c]) for c in "xyz"], ["x", "y", "z"])
 
     sizes = spark.range(parts).select(F.col("id").alias("part"), (F.floor((F.col("id") + 1) * n / parts) - F.floor(F.col("id") * n / parts)).alias("size"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames, grids, turns
 from ..functions.raster import CELLS, INNER, NORTH, SOUTH, TERMS, cubic
-from ..operators import centred, fields, neighbours, raster, sums
+from ..functions.triaxial import Triaxial
+from ..operators import centred, fields, neighbours, raster, shapes, sums
 from ..operators.staging import staged
 from .queries import _r
 
@@ -130,6 +132,54 @@ def angle_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def triaxial_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest lines on a triaxial Earth between two points of each document."""
+    k = F.col("id")
+    other = ((k * 7907) % 17001 / 100.0 - 85, (k * 104723) % 36000 / 100.0 - 180)
+    g = shapes.triaxial_inverse(Triaxial(), F.col("lat"), F.col("lon"), *other, "s12 azi1 azi2 m12")
+    return _points(spark, sf_dir).withColumn("g", g).select("id", _r(F.col("g.s12"), "s12", 3), _r(F.col("g.azi1"), "azi1", 6), _r(F.col("g.azi2"), "azi2", 6), _r(F.col("g.m12"), "m12", 3))
+
+
+def triaxial_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of up to 20,000 km on a triaxial Earth, and back from their ends; Liouville's constant at the end."""
+    t, azi, s = Triaxial(), (F.col("id") * 31) % 3600 / 10.0, (F.col("id") * 7919) % 20000 * 1000.0
+    there = _points(spark, sf_dir).withColumn("g", shapes.triaxial_direct(t, F.col("lat"), F.col("lon"), azi, s))
+    there = staged(there, "lines")
+    back = there.withColumn("b", shapes.triaxial_direct(t, F.col("g.bet2"), F.col("g.omg2"), F.col("g.azi2") + 180.0, s))
+    (k2, kp2), square = t._k, lambda f, c: f(F.radians(F.col(f"g.{c}"))) ** 2
+    constant = k2 * square(F.cos, "bet2") * square(F.sin, "azi2") - kp2 * square(F.sin, "omg2") * square(F.cos, "azi2")
+    return back.select("id", _r(F.col("b.bet2"), "bet", 7), _r(F.abs("b.omg2"), "omg", 7), _r(constant, "constant", 9))
+
+
+def conformal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jacobi's projection of points on a triaxial Earth, its scale, and back."""
+    rows = _points(spark, sf_dir).withColumn("g", shapes.conformal(Triaxial(), F.col("lat"), F.col("lon")))
+    rows = staged(rows, "conformal").withColumn("b", shapes.conformal_reverse(Triaxial(), F.col("g.x"), F.col("g.y")))
+    return rows.select("id", _r(F.col("g.x"), "x", 1), _r(F.col("g.y"), "y", 1), _r(F.col("g.k"), "k", 9), _r(F.col("b.bet"), "bet", 7), _r(F.abs("b.omg"), "omg", 7))
+
+
+def _conformal_sql() -> str:
+    t, (k2, kp2) = Triaxial(), Triaxial()._k
+    nodes, weights = np.polynomial.legendre.leggauss(10)
+    rule = ", ".join(f"({(n + 1) / 2!r}, {w / 2!r})" for n, w in zip(nodes.tolist(), weights.tolist()))
+
+    def length(name: str, angle: str, p: float, q: float, m: float) -> str:
+        s2 = f"pow(sin(radians({angle}) / 20 * (k + n)), 2)"
+        return f"{name} as (select {angle}, sum(w * radians({angle}) / 20 * sqrt(({p!r} + {q - p!r} * {s2}) / (1 - {m!r} * {s2}))) as v from (select distinct {angle} from r), range(20) as i(k), rule group by 1)"
+
+    return f"""with {PTS}, rule(n, w) as (values {rule}), r as (select id, lat, lon, (lon + 270) % 180 - 90 as rest, floor((lon + 270) / 180) - 2 as halves from (select id, lat, lon - 90 as lon from p)),
+{length("y", "lat", t.c**2, t.b**2, k2)}, {length("x", "rest", t.a**2, t.b**2, kp2)}, whole as (select 2 * sum(w * radians(90) / 20 * sqrt(({t.a**2!r} + {t.b**2 - t.a**2!r} * pow(sin(radians(90) / 20 * (k + n)), 2)) / (1 - {kp2!r} * pow(sin(radians(90) / 20 * (k + n)), 2)))) as h from range(20) as i(k), rule)
+select id, round(x.v + (halves + 1) * h, 1) + 0.0 as x, round(y.v, 1) + 0.0 as y, round(1 / sqrt({k2!r} * pow(cos(radians(lat)), 2) + {kp2!r} * pow(cos(radians(lon)), 2)), 9) as k, round(lat, 7) as bet, round(abs(lon + 90), 7) as omg
+from r join y using (lat) join x using (rest), whole"""
+
+
+def _lines_sql() -> str:
+    k2, kp2 = Triaxial()._k
+    square = lambda f, c: f"pow({f}(radians({c})), 2)"
+    return f"""with {PTS}, q as (select *, (id * 31) % 3600 / 10.0 as azi from p)
+select id, round(lat, 7) as bet, round(abs(lon), 7) as omg, round({k2!r} * {square("cos", "lat")} * {square("sin", "azi")} - {kp2!r} * {square("sin", "lon")} * {square("cos", "azi")}, 9) + 0.0 as constant from q"""
+
+
 def _cells_sql() -> str:
     cell = lambda v, size, bits: f"(floor(({v} + {size / 2}) * ({2.0**bits!r} / {size})) + 0.5) * {size} / {2.0**bits!r} - {size / 2}"
     lat, lon = "(lat + id / 1e9)", "(lon + id / 1e10)"
@@ -137,13 +187,15 @@ def _cells_sql() -> str:
     return f"with {PTS} select id, true as within, {columns} from p"
 
 
-QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long, angle_turns)}
+QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long, angle_turns, triaxial_inverse, triaxial_direct, conformal_points)}
 ORACLE_SQL = {
     "harmonic_circles": _circles_sql(),
     "raster_points": _raster_sql(),
     "exact_mercator": f"with {PTS} select id, lon >= 0 or lon = -180 as east, true as wide, round(lat, 7) as lat2, round(abs(lon), 7) as lon2 from p",
     "local_round_trip": f"with {PTS} select id, round(lat, 7) as lat2, round(abs(lon), 7) as lon2, round(lat * 10, 3) as h2 from p",
     "geohash_long": _cells_sql(),
+    "triaxial_direct": _lines_sql(),
+    "conformal_points": _conformal_sql(),
     "angle_turns": """with d as (select doc_id as id, ((doc_id * 7919) % 36001 - 18000) / 10.0 + 0.03 as a, ((doc_id * 104729) % 14401 - 7200) / 10.0 + 0.04 as b from documents),
 s as (select id, a, b, a + b as z, round((a + b) / 360) as n from d)
 select id, round(z, 7) as total, round(z - 360 * n, 7) as base, cast(n as bigint) as whole, cast(floor((z - 360 * floor(z / 360)) / 90) as bigint) as quadrant, cast(round(z / 90) as bigint) as quarters,
