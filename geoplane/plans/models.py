@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import frames, grids, turns
+from ..functions import frames, grids, series, turns
 from ..functions.raster import CELLS, INNER, NORTH, SOUTH, TERMS, cubic
 from ..functions.triaxial import Triaxial
 from ..operators import centred, fields, neighbours, raster, shapes, sums
+from ..operators.series import fitted, period_inverse
 from ..operators.staging import staged
 from .queries import _r
 
@@ -180,6 +181,37 @@ def _lines_sql() -> str:
 select id, round(lat, 7) as bet, round(abs(lon), 7) as omg, round({k2!r} * {square("cos", "lat")} * {square("sin", "azi")} - {kp2!r} * {square("sin", "lon")} * {square("cos", "azi")}, 9) + 0.0 as constant from q"""
 
 
+def _bulge(s, k):
+    return np.sin(s) * np.sqrt(1 + k * np.sin(s) ** 2)
+
+
+def _arc(s, k):
+    return np.sqrt(1 - k / 5 * np.sin(s - 0.3) ** 2)
+
+
+def trig_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of a parameter of documents as series, fitted once a value of it: values, integrals, and where an integral is reached."""
+    k, s = (F.col("n_chars") % 450) / 100.0, F.radians((F.col("doc_id") * 7919) % 36000 / 100.0)
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), k.alias("k"), s.alias("s"))
+    # 450 values at most, with some hundred coefficients each
+    fits = rows.select("k").distinct().select("k", fitted(_bulge, F.col("k"), sines=True).alias("odd"), fitted(_arc, F.col("k")).alias("whole"))
+    rows = rows.join(F.broadcast(staged(fits, "series")), "k").withColumn("y", series.period_integral(F.col("whole"), F.col("s")))
+    c, s = F.col("odd"), F.col("s")
+    return rows.select(
+        "id", _r(series.sines(c, s), "odd", 7), _r(series.sines_integral(c, s), "odd_integral", 7), _r(series.period(F.col("whole"), s), "whole", 7), _r(F.col("y"), "integral", 7), _r(period_inverse(F.col("whole"), F.col("y")), "back", 7)
+    )
+
+
+def _series_sql() -> str:
+    nodes, weights = np.polynomial.legendre.leggauss(10)
+    rule = ", ".join(f"({(n + 1) / 2!r}, {w / 2!r})" for n, w in zip(nodes.tolist(), weights.tolist()))
+    odd, whole = (lambda s: f"sin({s}) * sqrt(1 + k * pow(sin({s}), 2))"), (lambda s: f"sqrt(1 - k / 5 * pow(sin({s} - 0.3), 2))")
+    at = "(s / 40 * (j + n))"
+    return f"""with rule(n, w) as (values {rule}), r as (select doc_id as id, (n_chars % 450) / 100.0 as k, radians((doc_id * 7919) % 36000 / 100.0) as s from documents),
+v as (select id, sum(w * s / 40 * {odd(at)}) as odd_integral, sum(w * s / 40 * {whole(at)}) as integral from r, rule, range(40) as i(j) group by id)
+select id, round({odd("s")}, 7) + 0.0 as odd, round(odd_integral, 7) + 0.0 as odd_integral, round({whole("s")}, 7) as whole, round(integral, 7) as integral, round(s, 7) as back from r join v using (id)"""
+
+
 def _cells_sql() -> str:
     cell = lambda v, size, bits: f"(floor(({v} + {size / 2}) * ({2.0**bits!r} / {size})) + 0.5) * {size} / {2.0**bits!r} - {size / 2}"
     lat, lon = "(lat + id / 1e9)", "(lon + id / 1e10)"
@@ -187,7 +219,7 @@ def _cells_sql() -> str:
     return f"with {PTS} select id, true as within, {columns} from p"
 
 
-QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long, angle_turns, triaxial_inverse, triaxial_direct, conformal_points)}
+QUERIES = {f.__name__: f for f in (harmonic_circles, raster_points, exact_sums, tolerant_pairs, exact_mercator, local_round_trip, geohash_long, angle_turns, triaxial_inverse, triaxial_direct, conformal_points, trig_series)}
 ORACLE_SQL = {
     "harmonic_circles": _circles_sql(),
     "raster_points": _raster_sql(),
@@ -196,6 +228,7 @@ ORACLE_SQL = {
     "geohash_long": _cells_sql(),
     "triaxial_direct": _lines_sql(),
     "conformal_points": _conformal_sql(),
+    "trig_series": _series_sql(),
     "angle_turns": """with d as (select doc_id as id, ((doc_id * 7919) % 36001 - 18000) / 10.0 + 0.03 as a, ((doc_id * 104729) % 14401 - 7200) / 10.0 + 0.04 as b from documents),
 s as (select id, a, b, a + b as z, round((a + b) / 360) as n from d)
 select id, round(z, 7) as total, round(z - 360 * n, 7) as base, cast(n as bigint) as whole, cast(floor((z - 360 * floor(z / 360)) / 90) as bigint) as quadrant, cast(round(z / 90) as bigint) as quarters,
