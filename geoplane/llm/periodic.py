@@ -236,7 +236,7 @@ def planted(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(h / 10)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    n = F.size("_words").cast("bigint")
+    n = F.nullif(F.size("_words").cast("bigint"), F.lit(0))  # of a text without words null, as a remainder by zero is an error
     rows = docs.select("doc_id", "text").withColumn("_g", g).withColumn("_words", F.when(h % 10 == 0, words))
     rows = rows.withColumn("_a", F.col("_g") % n).withColumn("_p", F.lit(1) + F.floor((n - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)))
     place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")

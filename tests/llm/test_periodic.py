@@ -104,3 +104,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [len(r.runs) for r in rows if r.doc_id == 6] == [1]  # the long text repeats as a whole
     assert periodic.find_runs(no_docs).collect() == []
     assert len(periodic.planted(odd_docs).collect()) == len(rows)
+
+
+def test_query_on_texts_without_words(spark, tmp_path):
+    """Every tenth document by its hash repeats itself; one without words has no place to begin at."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    docs = list(zip(ids, ["", " \t\n", None, "a", "a b c", "x " * 50])) + [(10**6 + 1, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r[0]: tuple(r[1:]) for r in periodic.op11_runs(spark, str(tmp_path)).collect()} == {i: plain_row(i, t) for i, t in docs}
