@@ -16,6 +16,8 @@ from .common import LOWER, UPPER, as_bytes, numbered, saved, table
 WINDOW = 10
 #: Words in a segment of the index, about; words of the benchmark that are searched for in one pass, about; places looked at in one step.
 SEGMENT, BLOCK, BYTES_A_WORD, STEP = 500_000, 500_000, 5, 1 << 20
+#: Segments in a file of the index. A segment is some megabytes; Parquet writes at least 100 rows before it looks at their size, and reads up to 4096 at once.
+SEGMENTS_A_FILE = 4
 #: Maps A-Z to a-z, keeps digits, a-z and what isn't ASCII, and makes the rest white space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -176,7 +178,7 @@ def _searches(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, seg
     ``row``: the column of ``docs`` that numbers its rows, if it has one."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint"), (F.col(row) if row else F.monotonically_increasing_id()).cast("bigint").alias("row"), F.col("text").cast("string"))
-    index = saved(index_segments(docs, window + 2 * slop, segment), "index")
+    index = saved(index_segments(docs, window + 2 * slop, segment), "index", maxRecordsPerFile=SEGMENTS_A_FILE)
     items = benchmark.select(F.col("item_id").cast("bigint"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).filter("item_id is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (BYTES_A_WORD * block)))
     for b in range(blocks):

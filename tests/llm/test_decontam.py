@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from geoplane.llm import decontam
 
@@ -81,3 +82,13 @@ def test_large_benchmark_costs_little_more(spark):
         assert not any(r.contaminated for r in decontam.contamination(docs, bench).collect())
         took[n] = time.time() - began
     assert took[5000] < 6 * took[80] + 5
+
+
+def test_files_of_the_index_hold_few_segments(spark):
+    """Segments are large rows: Parquet holds a hundred before it looks at their size, and reads a file's rows at once."""
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "'a b c d e f' as text")
+    bench = spark.createDataFrame([(1, "c d e f"), (2, "f a")], "item_id bigint, text string")
+    index, _ = next(decontam._searches(docs, bench, 10, 0, 10, 10**6))
+    held = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 40 and max(held) <= decontam.SEGMENTS_A_FILE
+    assert rows(decontam.contamination(docs, bench, segment=10)) == brute([(i, "a b c d e f") for i in range(40)], [(1, "c d e f"), (2, "f a")])
