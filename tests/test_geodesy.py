@@ -133,3 +133,12 @@ def test_planes(spark):
 def test_mgrs(spark):
     df = spark.createDataFrame([(33.33424, 44.40363), (33 + 1 / 3, 44.4), (0.0, 3.0), (85.0, 0.0), (None, 0.0)], "lat double, lon double")
     assert [r[0] for r in df.select(projections.mgrs(F.col("lat"), F.col("lon"), 2)).collect()] == ["38SMB4488", "38SMB4488", "31NEA0000", "ZAB0044", None]
+
+
+def test_half_a_turn_is_written_as_in_sql(spark, tmp_path):
+    """Key 9815 has the angle -540."""
+    duckdb.sql(f"copy (select unnest([9815, 1, 2])::bigint as c_custkey) to '{tmp_path}/customer.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    got = sorted(map(tuple, queries.angle_normalize(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(queries.ORACLE_SQL["angle_normalize"]).fetchall()) and got[-1][1] == 180.0
