@@ -69,12 +69,13 @@ def _mean_sine(lat1, lat2, psi12, e: Ellipsoid):
             s = np.tanh(p + _bulge(s, e))
         return sin_authalic(np.degrees(np.arcsin(np.clip(s, -1, 1))), e)
 
-    near = np.maximum(np.abs(low), np.abs(high)) < 5
-    for panels, on in ((8, near), (32, ~near)):
-        on = np.flatnonzero(on & (psi12 != 0))
+    # panels are 1.25 wide at the most, as many as a line's length takes
+    panels = np.ceil(np.abs(np.clip(high, -far, far) - np.clip(low, -far, far)) / 1.25)
+    for n in np.unique(panels[psi12 != 0]).tolist():
+        on = np.flatnonzero((panels == n) & (psi12 != 0))
         a, b = np.clip(low[on], -far, far), np.clip(high[on], -far, far)
         beyond = (high[on] - b) - (low[on] - a)  # there the sine is +-1
-        out[on] = (integral(g, a, b, panels) + np.abs(beyond) * np.sign(np.where(np.abs(high[on]) > far, high[on], low[on])) * np.sign(psi12[on])) / psi12[on]
+        out[on] = (integral(g, a, b, max(1, int(n))) + np.abs(beyond) * np.sign(np.where(np.abs(high[on]) > far, high[on], low[on])) * np.sign(psi12[on])) / psi12[on]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from geoplane.functions import geodesic, rhumb
@@ -80,3 +81,16 @@ def test_rhumb_lines():
     assert np.abs(d["area12"] - g["area12"]).max() < 1
     over = rhumb.rhumb_direct(89.0, 0.0, 10.0, 1e6)
     assert 80 < over["lat2"][0] < 90 and np.isnan(over["lon2"][0])
+
+
+def test_area_under_a_line_takes_panels_by_its_length(monkeypatch):
+    """The mean sine of short lines is as good with few panels: against many."""
+    rng = np.random.default_rng(0)
+    lat1, lat2 = rng.uniform(-89.9, 89.9, 500), rng.uniform(-89.9, 89.9, 500)
+    lat2[:50] = lat1[:50] + 1e-7
+    used, plain = [], rhumb.integral
+    monkeypatch.setattr(rhumb, "integral", lambda g, a, b, n=2: used.append(n * len(a)) or plain(g, a, b, n))
+    got = rhumb.rhumb_inverse(lat1, 0.0 * lat1, lat2, 10.0 + 0 * lat1)["area12"]
+    assert sum(used) < 500 * (2 + 4)  # 2 for the meridian
+    monkeypatch.setattr(rhumb, "integral", lambda g, a, b, n=2: plain(g, a, b, max(n, 40)))
+    assert np.abs(got - rhumb.rhumb_inverse(lat1, 0.0 * lat1, lat2, 10.0 + 0 * lat1)["area12"]).max() < 0.1
