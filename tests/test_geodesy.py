@@ -142,3 +142,11 @@ def test_half_a_turn_is_written_as_in_sql(spark, tmp_path):
     con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet'")
     got = sorted(map(tuple, queries.angle_normalize(spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(queries.ORACLE_SQL["angle_normalize"]).fetchall()) and got[-1][1] == 180.0
+
+
+def test_keys_are_dealt_by_their_number(spark, tmp_path):
+    """A million keys take a few megabytes, so one split of a file, but many seconds of a kernel."""
+    n = 3 * queries.ROWS_A_TASK
+    spark.range(1, n + 1, 1, 1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    each = [r["count"] for r in queries.points(spark, str(tmp_path), "customer", "c_custkey").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == n and max(each) < 1.1 * queries.ROWS_A_TASK
