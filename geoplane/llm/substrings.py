@@ -21,6 +21,8 @@ CHUNK, PART, LIMIT = 1 << 20, 1 << 24, 20_000
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Rows of a part that are held before those with an earlier equal are let go.
 HELD = 2_000_000
+#: Anchors of a blob, about; anchors that are held at most until blobs are made of them (some 50 bytes each); most anchors of a blob of sure repeats.
+A_BLOB, MOST, SURE = 2000, 1_000_000, 50_000
 
 
 @lru_cache(4)
@@ -109,11 +111,26 @@ def _blob(part: int, docs, keys, gram, segment, check, doc, start, place, sure:
 
 
 def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> DataFrame:
-    """Anchors, packed, by the hash of their gram. Of rows of a chunk with equal segments only those of the least doc
+    """Anchors, packed, by the hash of their gram. Chunks are held until there are ``A_BLOB`` anchors a part, as a blob of
+    few costs as much as one of many, and their number would grow with the chunks times the parts. Of rows held with equal segments only those of the least doc
     go to others; the rest are sure to be repeats (a segment's hash has its strings' number in its low 6 bits).
     Segments are taken for equal if 122 bits are: 64 of the gram, 58 of the segment; and 32 of it by another multiplier."""
 
+    most = min(MOST, parts * A_BLOB)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, base = [], 0, 0
+        for ids, keys, texts in chunks(batches):
+            own, first, last, hashed, segment, check, place = anchors(texts, length, gram)
+            held.append((ids, keys, own + base, first, hashed, segment & ~np.uint64(63) | (last - first).astype(np.uint64), check, place))
+            n, base = n + len(own), base + len(ids)
+            if n >= most:
+                yield from packed(*map(np.concatenate, zip(*held)))
+                held, n, base = [], 0, 0
+        if n:
+            yield from packed(*map(np.concatenate, zip(*held)))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
             texts = as_bytes(batch.column("text"))
@@ -122,24 +139,24 @@ def _blobs(docs: DataFrame, parts: int, length: int, gram: int, chunk: int) -> D
                 size += len(t)
                 if size >= chunk or i == len(texts) - 1:
                     part = slice(start, i + 1)
-                    yield from packed(ids[part], keys[part], texts[part])
+                    yield ids[part], keys[part], texts[part]
                     start, size = i + 1, 0
 
-    def packed(ids, keys, texts) -> Iterator[pa.RecordBatch]:
-        own, first, last, hashed, segment, check, place = anchors(texts, length, gram)
-        segment = segment & ~np.uint64(63) | (last - first).astype(np.uint64)
-        order = np.lexsort((ids[own], check, segment, hashed))
-        own, first, hashed, segment, check, place = (x[order] for x in (own, first, hashed, segment, check, place))
+    def packed(ids, keys, own, first, hashed, segment, check, place) -> Iterator[pa.RecordBatch]:
+        part = (hashed % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((ids[own], check, segment, hashed, part))
+        own, first, hashed, segment, check, place, part = (x[order] for x in (own, first, hashed, segment, check, place, part))
         new = np.ones(len(own), bool)
         new[1:] = (hashed[1:] != hashed[:-1]) | (segment[1:] != segment[:-1]) | (check[1:] != check[:-1])
-        least = ids[own][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))] if len(own) else ids[:0]
-        sure = ids[own] > least
-        part_of = (hashed % np.uint64(parts)).astype(np.int64)
-        if sure.any():
-            yield _blob(int(first[-1] + len(texts)) % parts, ids, keys, hashed[sure], segment[sure], check[sure], own[sure], first[sure], place[sure], True)
-        for p in np.unique(part_of[~sure]).tolist():
-            on = ~sure & (part_of == p)
-            yield _blob(p, ids, keys, hashed[on], segment[on], check[on], own[on], first[on], place[on], False)
+        sure = ids[own] > ids[own][np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        known, others = np.flatnonzero(sure), np.flatnonzero(~sure)
+        blob = lambda p, on, sure: _blob(p, ids, keys, hashed[on], segment[on], check[on], own[on], first[on], place[on], sure)
+        for k in range(0, len(known), SURE):
+            on = known[k : k + SURE]
+            yield blob(int(hashed[on[-1]] >> np.uint64(32)) % parts, on, True)
+        # sorted by part: each is cut out once, whatever their number
+        for on in np.split(others, np.flatnonzero(np.diff(part[others])) + 1):
+            yield blob(int(part[on[0]]), on, False)
 
     return docs.mapInArrow(run, BLOB)
 

@@ -89,3 +89,14 @@ def test_classes_are_those_of_sorted_suffixes():
         for k in range(1, len(order)):
             if len(suffix[k]) == length == len(suffix[k - 1]):
                 assert starts[k] == (suffix[k] != suffix[k - 1])
+
+
+def test_blobs_follow_the_anchors(spark):
+    """Not the chunks times the parts, which both grow with the input."""
+    import random
+
+    rng = random.Random(0)
+    docs = spark.createDataFrame([(i, i, "".join(rng.choices("abcdefgh", k=2000))) for i in range(100)], "doc_id bigint, key bigint, text string").coalesce(1)
+    blobs = substrings._blobs(docs, 40, 50, 16, 2000)
+    rows = blobs.selectExpr("part", "size(gram) as n").collect()
+    assert len(rows) <= 40 and sum(r.n for r in rows) > 5000  # before: each of 100 chunks had a blob for each part
