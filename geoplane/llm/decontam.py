@@ -42,16 +42,17 @@ class Phrases:
             row[: len(ids)] = ids
 
 
-INDEX = "doc_ids array<bigint>, rows array<bigint>, bases array<bigint>, n_words array<bigint>, terms array<binary>, counts array<bigint>, positions array<int>"
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-_SCHEMA = pa.schema([(n, pa.list_(_ARROW[t.removeprefix("array<").removesuffix(">")])) for n, t in (x.split() for x in INDEX.split(", "))])
+#: Postings are half a million numbers a row: as binary columns they pass through Spark and Parquet whole, not number by number.
+INDEX = "doc_ids array<bigint>, rows array<bigint>, bases array<bigint>, n_words array<bigint>, terms binary, counts binary, positions binary"
+_SCHEMA = pa.schema([(n, pa.binary() if t == "binary" else pa.list_(pa.int64())) for n, t in (x.split() for x in INDEX.split(", "))])
 
 
 def index_segments(docs: DataFrame, gap: int, segment: int = SEGMENT) -> DataFrame:
     """The positional inverted index of docs (doc_id, row, text), a row for each segment of about ``segment`` words.
 
     A segment numbers the words of its documents one after another, with ``gap`` free places between documents. It
-    has the postings of each of its words: their sorted positions, end to end.
+    has the postings of each of its words: ``terms`` are the words with spaces between, ``counts`` and ``positions`` 32-bit
+    numbers, how many positions each word has and these, sorted, end to end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,8 @@ def index_segments(docs: DataFrame, gap: int, segment: int = SEGMENT) -> DataFra
         def flush():
             ids = np.concatenate([i for _, i in found])
             places = np.concatenate([np.arange(base, base + len(i), dtype=np.int32) for base, i in found])
-            row = [*map(list, zip(*docs_in)), list(number), np.bincount(ids, minlength=len(number)), places[np.argsort(ids, kind="stable")]]
+            counts = np.bincount(ids, minlength=len(number)).astype(np.int32)
+            row = [*map(list, zip(*docs_in)), b" ".join(number), counts.tobytes(), places[np.argsort(ids, kind="stable")].tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 
         for batch in batches:
@@ -83,8 +85,8 @@ class Segment:
 
     def __init__(self, row: dict, terms: dict[bytes, int]):
         self.doc_ids, self.rows, self.bases, self.n_words = row["doc_ids"].to_pylist(), row["rows"].to_pylist(), row["bases"].to_numpy(), row["n_words"].to_pylist()
-        counts, positions = row["counts"].to_numpy(), row["positions"].to_numpy()
-        own = np.fromiter((terms.get(t, -1) for t in row["terms"].to_pylist()), np.int64, len(counts))
+        counts, positions = row["counts"], row["positions"]
+        own = np.fromiter((terms.get(t, -1) for t in row["terms"]), np.int64, len(counts))
         self.ends = np.zeros(len(terms) + 1, np.int64)
         self.often = np.zeros(len(terms) + 1, np.int64)
         self.ends[own], self.often[own] = np.cumsum(counts), counts
@@ -147,7 +149,13 @@ def _matches(segment: Segment, phrases: Phrases, order: np.ndarray, slop: int) -
 def _segments(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int]) -> Iterator[Segment]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield Segment({n: batch.column(n)[i].values for n in batch.schema.names}, terms)
+            yield Segment({n: _field(batch.column(n)[i], n) for n in batch.schema.names}, terms)
+
+
+def _field(value: pa.Scalar, name: str) -> pa.Array | list[bytes] | np.ndarray:
+    if name == "terms":
+        return value.as_py().split()
+    return np.frombuffer(value.as_buffer(), np.int32) if name in ("counts", "positions") else value.values
 
 
 def _counts(index: DataFrame, terms) -> np.ndarray:
@@ -156,9 +164,9 @@ def _counts(index: DataFrame, terms) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = [terms.value.get(t, -1) for t in batch.column("terms")[i].values.to_pylist()]
-                known = pa.array([t >= 0 for t in own], pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()).filter(known), batch.column("counts")[i].values.filter(known)], ["term", "n"])
+                own = np.array([terms.value.get(t, -1) for t in _field(batch.column("terms")[i], "terms")], np.int32)
+                counts = _field(batch.column("counts")[i], "counts").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own[own >= 0]), pa.array(counts[own >= 0])], ["term", "n"])
 
     often = np.zeros(len(terms.value) + 1, np.int64)
     for r in index.select("terms", "counts").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term of the block at most
