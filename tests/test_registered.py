@@ -88,3 +88,13 @@ def test_segment_crossings(spark):
     crosses = (sides[0] * sides[1] < 0) & (sides[2] * sides[3] < 0) & (meet @ (c + d) > 0)
     clear = np.abs(sides).min(axis=0) > 0.02
     assert (crosses == inside)[clear].all() and clear.mean() > 0.9
+
+
+def test_radius_pairs(spark, monkeypatch):
+    """Each hundredth customer is a query, all suppliers are searched, and no pair is lost."""
+    monkeypatch.setitem(globals(), "SF", "/root/testdata/sf0.01")
+    got = {(r.id, r.s_id): r.distance for r in queries.radius_pairs(spark, SF).collect()}
+    ids, others = [k for k in keys("customer", "c_custkey") if k % 100 == 0], keys("supplier", "s_suppkey")
+    d = np.stack([geodesic.inverse(a, b, *places(others))["s12"] for a, b in zip(*places(ids))])
+    want = {(ids[i], others[j]): d[i, j] for i, j in zip(*np.nonzero(d <= 500_000.0))}
+    assert len(want) == 4 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-3 for k, v in want.items())
