@@ -2,10 +2,12 @@
 
 A pair of similarity 0.8 differs in 15 of 100 SimHash bits, so no short fingerprint guarantees it a common byte by count.
 Fingerprints have 1024 bits here, and of each eight bytes those triples are indexed that are the least likely to change.
+That joins most of what is near. For the rest prefixes of the sets are compared, which meet every pair of that similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_blocks, grouped, numbered, saved
+from .common import as_bytes, bounded_blocks, grouped, numbered, saved, share_of
 from .components import components
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -25,6 +27,8 @@ BYTES, GROUP, KEYS = 128, 8, 6
 #: of similarity 0.8 shares 34 and differs in 155 on average; 10 and 190 are over three standard deviations off.
 SHARED, BITS = 10, 190
 LIMIT, CHUNK, PARTNERS = 2000, 4096, 1000
+#: Rows that are looked at for what is common, about, and hashes of that at most.
+SAMPLE, COMMON = 2000, 200_000
 #: Rows of numbers that are broadcast at most.
 SMALL = 1_000_000
 TRIPLES = np.array(list(combinations(range(GROUP), 3)))
@@ -167,12 +171,86 @@ def verified(pairs: DataFrame, rows: DataFrame, row: str, words: int, similarity
     return every.repartition("u", "side").sortWithinPartitions("u", "side", "v").mapInArrow(run, "u bigint, v bigint")
 
 
+def _hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in shingles(text, words)]), np.int64))
+
+
+def common_hashes(rows: DataFrame, row: str, words: int) -> np.ndarray:
+    """Hashes of shingles that two of about ``SAMPLE`` rows have, sorted; of very many those that the most have. They only set the order of prefixes: pairs are met in any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in as_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, words))], ["key"])
+
+    some = rows.filter(share_of(F.xxhash64(row), SAMPLE, rows.count())).select(F.col("text").cast("string"))
+    often = some.mapInArrow(run, "key bigint").groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(COMMON)
+    return np.sort(np.array([r.key for r in often.collect()], np.int64))
+
+
+def prefixes(rows: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
+    """(row, n, prefix) of each row of ``rows`` with words: the number of its shingles, and the first of their hashes, common ones last.
+
+    Two sets of that similarity have ``similarity`` of either's shingles in common at least. So the first that both have
+    comes before so many of each, and is in both prefixes, which leave out one less than so many.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(common_hashes(rows, row, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for number, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text"))):
+                hashes = _hashes(text, words)
+                if len(hashes):
+                    late = np.isin(hashes, common.value)
+                    hashes = np.concatenate([hashes[~late], hashes[late]])
+                    found.append((number, len(hashes), hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "n", "prefix"])
+
+    return rows.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(run, "row bigint, n bigint, prefix array<bigint>")
+
+
+def crossing_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the sets that have a hash at the places ``at``: those after it, of other roots, that can be so similar if this is the first hash that both have."""
+    left = n - at
+    for i in range(len(n) - 1):
+        a, b = n[i], n[i + 1 :]
+        ok = (root[i + 1 :] != root[i]) & (np.minimum(left[i], left[i + 1 :]) >= similarity / (1 + similarity) * (a + b) - 1e-9)
+        if ok.any():
+            yield i, np.flatnonzero(ok) + i + 1
+
+
+def rest(rows: DataFrame, row: str, roots: DataFrame, words: int, similarity: float, limit: int = LIMIT) -> DataFrame:
+    """Pairs (u, v), u < v, of the rows of ``roots`` (row, root) that have other roots: all those of that similarity, and others.
+
+    Only hashes that prefixes of two roots have are dealt, as most of what is near has one root by now.
+    """
+    own = saved(prefixes(rows, row, words, similarity).join(roots.hint("merge"), "row").select("row", "root", "n", "prefix"), "prefixes")
+    entries = own.select("row", "root", "n", F.posexplode("prefix").alias("at", "key"))
+    crossing = entries.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    entries = saved(entries.join(_sent(saved(crossing, "crossing")), "key"), "entries")
+    keys = ["key", "lo", "hi"]
+    parts = bounded_blocks(entries, ["key"], "row", limit, "merge").select(*keys, "row", "root", "n", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, keys):
+            number, root, n, at = (part.column(c).to_numpy() for c in ("row", "root", "n", "at"))
+            for i, others in crossing_pairs(root, n, at, similarity):
+                ends = number[others]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, number[i])), pa.array(np.maximum(ends, number[i]))], ["u", "v"])
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "row").mapInArrow(run, "u bigint, v bigint").filter("u <> v").distinct()
+
+
 def groups(rows: DataFrame, row: str, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """(row, root) of each row of ``rows`` (row, text; rows are numbered from 0 on): root is the least row that links reach, itself included.
 
     Rows of one fingerprint are one class, which its least row stands for; rows without words are one class too. Each
     class's link to the least row that it is near to is verified first. Then those candidates are verified that join
-    what is still apart, so copies by the thousand cost one comparison each.
+    what is still apart, so copies by the thousand cost one comparison each. At last the pairs are verified that the
+    index doesn't meet or that its bounds leave out, of what is apart still: no link between different texts is lost.
     """
     prints = saved(prints_of(rows, row, words), "prints")
     of = saved(prints.groupBy("print").agg(F.min_by(F.struct("row", "keys"), "row").alias("x")).select("print", "x.row", "x.keys"), "print-classes")
@@ -184,6 +262,10 @@ def groups(rows: DataFrame, row: str, words: int = WORDS, similarity: float = SI
     apart = found.join(least, ["u", "v"], "left_anti").join(a, "u", "left").join(b, "v", "left")
     apart = apart.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     links = saved(links.unionByName(verified(saved(apart, "apart"), rows, row, words, similarity)), "verified")
+    roots = saved(components(links).withColumnRenamed("node", "row"), "roots")
+    classed = of.filter("print is not null").select("row").join(roots, "row", "left").select("row", F.coalesce("root", "row").alias("root"))
+    more = saved(rest(rows, row, saved(classed, "classed"), words, similarity, limit), "rest")
+    links = saved(links.unionByName(verified(more, rows, row, words, similarity)), "verified")
     roots = components(links).withColumnRenamed("node", "row")
     classes = of.select("print", "row").join(roots, "row", "left").select(F.col("print").alias("_print"), F.coalesce("root", "row").alias("root"))
     return prints.select("row", "print").join(classes, F.col("print").eqNullSafe(F.col("_print"))).select("row", "root")
@@ -192,8 +274,7 @@ def groups(rows: DataFrame, row: str, words: int = WORDS, similarity: float = SI
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least doc_id, nulls last; of equal ones the first written.
 
-    Rows are linked whose word shingles have that Jaccard similarity or more, if the index meets them (recall is
-    measured in the tests); groups are what links join. Null, empty and white texts have no words and are copies of
+    Rows are linked whose word shingles have that Jaccard similarity or more; groups are what links join. Null, empty and white texts have no words and are copies of
     each other. Rows are told apart by a number that is written with them, so repeated or missing doc_ids do no harm.
     """
     rows, row = numbered(docs)

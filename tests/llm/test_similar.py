@@ -92,3 +92,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect())
     assert got == [1, 3, 6, 7, 8, 9]
     assert similar.keep_one(no_docs).collect() == []
+
+
+def test_no_pair_is_lost(spark):
+    """Pairs just above the similarity, of which the fingerprints' keys miss about one in eight, and common passages."""
+    rng, rows = random.Random(3), []
+    common = [f"c{i}" for i in range(30)]
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        other, k = list(words), 0
+        while True:  # changes words until one more would be too many
+            other[rng.randrange(len(other))] = f"x{k}"
+            a, b = grams(" ".join(words)), grams(" ".join(other))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            last, k = list(other), k + 1
+        rows += [(2 * i, " ".join(words + common)), (2 * i + 1, " ".join(last + common))]
+    docs = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], DOCS)
+    want = {d for d, r in brute_roots(rows).items() if d == r}
+    assert 150 <= len(want) < 155
+    for limit in (2000, 40):
+        assert {r.doc_id for r in similar.keep_one(docs, limit=limit).select("doc_id").collect()} == want
+
+
+def test_prefixes_meet_every_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        every = rng.permutation(2 * n + 2)
+        cut = int(rng.integers(0, n + 1))
+        x, y = np.sort(every[:n]), np.sort(every[cut : cut + int(rng.integers(1, n + 2))])
+        both = np.intersect1d(x, y)
+        if len(both) < 0.8 * len(np.union1d(x, y)) - 1e-9:
+            continue
+        at = np.array([np.searchsorted(x, both[0]), np.searchsorted(y, both[0])])
+        sizes = np.array([len(x), len(y)])
+        assert all(a <= k - int(np.ceil(0.8 * k - 1e-9)) for a, k in zip(at, sizes))
+        assert [(i, o.tolist()) for i, o in similar.crossing_pairs(np.array([0, 1]), sizes, at, 0.8)] == [(0, [1])]
