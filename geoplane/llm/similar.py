@@ -17,18 +17,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_blocks, grouped, numbered, saved, share_of
+from .common import as_bytes, bounded_blocks, grouped, numbered, release, saved, share_of
 from .components import components
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Bytes of a fingerprint, bytes of a group whose triples make keys, and the keys of a group.
 BYTES, GROUP, KEYS = 128, 8, 6
+#: Keys of a group that are indexed. The index only joins most of what is near sooner; the prefixes meet every pair.
+INDEXED = 2
+#: Bits of a set's odd sketch.
+SKETCH = 1024
 #: Pairs go on to the exact check that share this many bytes by position and differ in this many bits at most. A pair
 #: of similarity 0.8 shares 34 and differs in 155 on average; 10 and 190 are over three standard deviations off.
 SHARED, BITS = 10, 190
 LIMIT, CHUNK, PARTNERS = 2000, 4096, 1000
 #: Rows that are looked at for what is common, about, and hashes of that at most.
-SAMPLE, COMMON = 2000, 200_000
+SAMPLE, COMMON = 8000, 200_000
 #: Rows of numbers that are broadcast at most.
 SMALL = 1_000_000
 TRIPLES = np.array(list(combinations(range(GROUP), 3)))
@@ -60,13 +64,13 @@ def sign_sums(grams: set[bytes]) -> np.ndarray:
     return (2 * total - len(grams)) / np.sqrt(max(1, len(grams)))
 
 
-def fingerprint_keys(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints as bytes, keys) of rows of ``sign_sums``. A key has the group's number, the triple's, and its bytes' values."""
+def fingerprint_keys(sums: np.ndarray, each: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints as bytes, keys, ``each`` a group) of rows of ``sign_sums``. A key has the group's number, the triple's, and its bytes' values."""
     prints = np.packbits(sums > 0, axis=1)
     stays = -np.log1p(np.exp(-1.702 * STEADY * np.abs(sums))).reshape(len(sums), BYTES, 8).sum(axis=2)
     groups = BYTES // GROUP
     steady = stays.reshape(len(sums), groups, GROUP)[:, :, TRIPLES].sum(axis=3)
-    best = np.argsort(-steady, axis=2, kind="stable")[:, :, :KEYS]
+    best = np.argsort(-steady, axis=2, kind="stable")[:, :, :each]
     at = TRIPLES[best] + (np.arange(groups) * GROUP)[None, :, None, None]
     values = prints[np.arange(len(sums))[:, None, None, None], at].astype(np.int64)
     keys = (np.arange(groups)[None, :, None] * len(TRIPLES) + best) << 24 | values[..., 0] << 16 | values[..., 1] << 8 | values[..., 2]
@@ -84,7 +88,7 @@ def prints_of(rows: DataFrame, row: str, words: int) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 grams = [shingles(t, words) for t in as_bytes(part.column("text"))]
-                prints, keys = fingerprint_keys(np.stack([sign_sums(g) for g in grams]))
+                prints, keys = fingerprint_keys(np.stack([sign_sums(g) for g in grams]), INDEXED)
                 none = [not g for g in grams]
                 found = [None if n else p.tobytes() for p, n in zip(prints, none)]
                 lists = pa.array([None if n else k for k, n in zip(keys, none)], pa.list_(pa.int64()))
@@ -189,8 +193,20 @@ def common_hashes(rows: DataFrame, row: str, words: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in often.collect()], np.int64))
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in ``known``, which is sorted and can be far longer: ``np.isin`` would sort it again for each text."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of so many parts of the hashes: whether the part has an odd number of these."""
+    return np.packbits((np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
 def prefixes(rows: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
-    """(row, n, prefix) of each row of ``rows`` with words: the number of its shingles, and the first of their hashes, common ones last.
+    """(row, n, sketch, prefix) of each row of ``rows`` with words: the number of its shingles, their odd sketch, and the first of their hashes, common ones last.
 
     Two sets of that similarity have ``similarity`` of either's shingles in common at least. So the first that both have
     comes before so many of each, and is in both prefixes, which leave out one less than so many.
@@ -203,13 +219,13 @@ def prefixes(rows: DataFrame, row: str, words: int, similarity: float) -> DataFr
             for number, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text"))):
                 hashes = _hashes(text, words)
                 if len(hashes):
-                    late = np.isin(hashes, common.value)
-                    hashes = np.concatenate([hashes[~late], hashes[late]])
-                    found.append((number, len(hashes), hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "n", "prefix"])
+                    late = _among(hashes, common.value)
+                    sketch, hashes = odd_sketch(hashes), np.concatenate([hashes[~late], hashes[late]])
+                    found.append((number, len(hashes), sketch, hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "n", "sketch", "prefix"])
 
-    return rows.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(run, "row bigint, n bigint, prefix array<bigint>")
+    return rows.select(F.col(row).alias("row"), F.col("text").cast("string")).mapInArrow(run, "row bigint, n bigint, sketch binary, prefix array<bigint>")
 
 
 def crossing_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,15 +238,37 @@ def crossing_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, similarity:
             yield i, np.flatnonzero(ok) + i + 1
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that ``sketches`` (row, n, sketch) don't show to be less similar: none of that similarity is left out.
+
+    A shingle that one set has and the other hasn't changes one bit of the odd sketches, so these differ in as many bits
+    as there are such shingles at most; and sets of a and b shingles have (a + b) (1 - s) / (1 + s) of them at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, sizes = (batch.column(c).to_numpy() for c in ("u", "v", "n"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            ok = np.bitwise_count(a ^ b).sum(axis=1) <= sizes * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
+
+    first = sketches.select(F.col("row").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("a")).hint("merge")
+    second = sketches.select(F.col("row").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("b")).hint("merge")
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), "a", "b")
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
 def rest(rows: DataFrame, row: str, roots: DataFrame, words: int, similarity: float, limit: int = LIMIT) -> DataFrame:
     """Pairs (u, v), u < v, of the rows of ``roots`` (row, root) that have other roots: all those of that similarity, and others.
 
-    Only hashes that prefixes of two roots have are dealt, as most of what is near has one root by now.
+    Only hashes that prefixes of two roots have are dealt, as most of what is near has one root by now. Of the pairs
+    that meet those go on that the sketches leave: most that share a passage only are told apart without their texts.
     """
-    own = saved(prefixes(rows, row, words, similarity).join(roots.hint("merge"), "row").select("row", "root", "n", "prefix"), "prefixes")
+    own = saved(prefixes(rows, row, words, similarity).join(roots.hint("merge"), "row").select("row", "root", "n", "sketch", "prefix"), "prefixes")
     entries = own.select("row", "root", "n", F.posexplode("prefix").alias("at", "key"))
     crossing = entries.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     entries = saved(entries.join(_sent(saved(crossing, "crossing")), "key"), "entries")
+    release(rows.sparkSession)  # what was shuffled to find what crosses
     keys = ["key", "lo", "hi"]
     parts = bounded_blocks(entries, ["key"], "row", limit, "merge").select(*keys, "row", "root", "n", "at")
 
@@ -241,7 +279,8 @@ def rest(rows: DataFrame, row: str, roots: DataFrame, words: int, similarity: fl
                 ends = number[others]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, number[i])), pa.array(np.maximum(ends, number[i]))], ["u", "v"])
 
-    return parts.repartition(*keys).sortWithinPartitions(*keys, "row").mapInArrow(run, "u bigint, v bigint").filter("u <> v").distinct()
+    met = parts.repartition(*keys).sortWithinPartitions(*keys, "row").mapInArrow(run, "u bigint, v bigint").filter("u <> v").distinct()
+    return likely(met, own.select("row", "n", "sketch"), similarity)
 
 
 def groups(rows: DataFrame, row: str, words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
@@ -263,6 +302,7 @@ def groups(rows: DataFrame, row: str, words: int = WORDS, similarity: float = SI
     apart = apart.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     links = saved(links.unionByName(verified(saved(apart, "apart"), rows, row, words, similarity)), "verified")
     roots = saved(components(links).withColumnRenamed("node", "row"), "roots")
+    release(rows.sparkSession)  # the index's shuffles, which would stay beside those of the prefixes
     classed = of.filter("print is not null").select("row").join(roots, "row", "left").select("row", F.coalesce("root", "row").alias("root"))
     more = saved(rest(rows, row, saved(classed, "classed"), words, similarity, limit), "rest")
     links = saved(links.unionByName(verified(more, rows, row, words, similarity)), "verified")

@@ -129,3 +129,34 @@ def test_prefixes_meet_every_pair():
         sizes = np.array([len(x), len(y)])
         assert all(a <= k - int(np.ceil(0.8 * k - 1e-9)) for a, k in zip(at, sizes))
         assert [(i, o.tolist()) for i, o in similar.crossing_pairs(np.array([0, 1]), sizes, at, 0.8)] == [(0, [1])]
+
+
+def test_sketches_keep_every_near_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 4000))
+        every = rng.integers(-(2**63), 2**63 - 1, 2 * n + 2)
+        cut = int(rng.integers(0, n // 5 + 1))
+        x, y = every[:n], every[cut : cut + int(rng.integers(n - n // 5, n + 2))]
+        apart = len(np.setxor1d(x, y))
+        a, b = (np.frombuffer(similar.odd_sketch(h), np.uint64) for h in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= apart
+    assert similar._among(np.array([1, 5, 9]), np.array([5, 7])).tolist() == [False, True, False]
+    assert similar._among(np.array([1, 5]), np.array([], np.int64)).tolist() == [False, False]
+
+
+def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """What meets by a passage in the prefixes is told apart by its sketches; what is near goes on."""
+    monkeypatch.setattr(similar, "common_hashes", lambda *_: np.array([], np.int64))
+    rng, rows = random.Random(4), []
+    passage = [f"p{i}" for i in range(80)]
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(words + passage)))
+        if i % 4 == 0:
+            words[50], words[150] = "x", "y"
+            rows.append((2 * i + 1, " ".join(words + passage)))
+    docs = spark.createDataFrame(rows, "n bigint, text string")
+    roots = spark.createDataFrame([(n, n) for n, _ in rows], "row bigint, root bigint")
+    got = sorted(tuple(r) for r in similar.rest(docs, "n", roots, 5, 0.8).collect())
+    assert got == [(2 * i, 2 * i + 1) for i in range(0, 60, 4)]
