@@ -80,6 +80,12 @@ def index_segments(docs: DataFrame, gap: int, segment: int = SEGMENT) -> DataFra
     return docs.select("doc_id", "row", "text").mapInArrow(run, INDEX)
 
 
+def _full(docs: DataFrame, segment: int) -> DataFrame:
+    """``docs`` in as many tasks as fill a segment each, about, and no fewer than there are cores: many small parts would be as many small segments, files and tasks of each pass."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (BYTES_A_WORD * segment))))
+
+
 class Segment:
     """A segment of the index as the phrases see it: the postings of their terms, by the phrases' numbers."""
 
@@ -186,7 +192,7 @@ def _searches(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, seg
     ``row``: the column of ``docs`` that numbers its rows, if it has one."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint"), (F.col(row) if row else F.monotonically_increasing_id()).cast("bigint").alias("row"), F.col("text").cast("string"))
-    index = saved(index_segments(docs, window + 2 * slop, segment), "index", maxRecordsPerFile=SEGMENTS_A_FILE)
+    index = saved(index_segments(_full(docs, segment), window + 2 * slop, segment), "index", maxRecordsPerFile=SEGMENTS_A_FILE)
     items = benchmark.select(F.col("item_id").cast("bigint"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).filter("item_id is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (BYTES_A_WORD * block)))
     for b in range(blocks):

@@ -104,3 +104,15 @@ def test_postings_pass_through_spark_whole(spark):
     assert numbers(r.counts) == [2, 2, 1] and numbers(r.positions) == [0, 2, 1, 23, 24]
     empty = decontam.index_segments(docs.limit(0).selectExpr("doc_id", "doc_id as row", "text"), 10)
     assert empty.collect() == []
+
+
+def test_small_parts_share_segments(spark):
+    """A table in hundreds of small parts had as many small segments, files and tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 400, 1, 10 * cores).selectExpr("id as doc_id", "concat('a b c d e f ', id % 7) as text")
+    bench = spark.createDataFrame([(1, "c d e f 3"), (2, "f a")], "item_id bigint, text string")
+    index, _ = next(decontam._searches(docs, bench, 10, 0, 10**4, 10**6))
+    assert index.count() == cores
+    assert rows(decontam.contamination(docs, bench)) == brute([(i, f"a b c d e f {i % 7}") for i in range(400)], [(1, "c d e f 3"), (2, "f a")])
+    small, _ = next(decontam._searches(docs, bench, 10, 0, 10, 10**6))
+    assert small.count() > 2 * cores
