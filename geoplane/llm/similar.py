@@ -25,14 +25,14 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BYTES, GROUP, KEYS = 128, 8, 6
 #: Keys of a group that are indexed. The index only joins most of what is near sooner; the prefixes meet every pair.
 INDEXED = 2
-#: Bits of a set's odd sketch.
+#: Bits of a set's odd sketch: these at least, then as many as it has shingles, to the next power of two.
 SKETCH = 1024
 #: Pairs go on to the exact check that share this many bytes by position and differ in this many bits at most. A pair
 #: of similarity 0.8 shares 34 and differs in 155 on average; 10 and 190 are over three standard deviations off.
 SHARED, BITS = 10, 190
 LIMIT, CHUNK, PARTNERS = 2000, 4096, 1000
-#: Rows that are looked at for what is common, about, and hashes of that at most.
-SAMPLE, COMMON = 8000, 200_000
+#: Rows that are looked at for what is common, about: so many, or this part of all if that is more. And hashes of that at most.
+SAMPLE, PART, COMMON = 8000, 8, 500_000
 #: Rows of numbers that are broadcast at most.
 SMALL = 1_000_000
 TRIPLES = np.array(list(combinations(range(GROUP), 3)))
@@ -181,16 +181,30 @@ def _hashes(text: bytes | None, words: int) -> np.ndarray:
 
 
 def common_hashes(rows: DataFrame, row: str, words: int) -> np.ndarray:
-    """Hashes of shingles that two of about ``SAMPLE`` rows have, sorted; of very many those that the most have. They only set the order of prefixes: pairs are met in any."""
+    """Hashes of shingles that two rows of a sample have, the rarest first; of very many those that the most have. They only set the order of prefixes: pairs are met in any.
+
+    The sample is a fixed part of the rows. So what passes for rare is in a bounded number of rows, however many there
+    are: of a sample of fixed size it would be in more of them the more there are, and pairs would grow with the square.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in as_bytes(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, words))], ["key"])
 
-    some = rows.filter(share_of(F.xxhash64(row), SAMPLE, rows.count())).select(F.col("text").cast("string"))
-    often = some.mapInArrow(run, "key bigint").groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(COMMON)
-    return np.sort(np.array([r.key for r in often.collect()], np.int64))
+    n = rows.count()
+    some = rows.filter(share_of(F.xxhash64(row), max(SAMPLE, n // PART), n)).select(F.col("text").cast("string"))
+    often = saved(some.mapInArrow(run, "key bigint").groupBy("key").count().filter("count > 1"), "common")
+    # whole levels of counts, from the top, so that no more than is kept is sent to the driver
+    least, total = 1 << 62, 0
+    for level in often.groupBy("count").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("count")).collect():
+        total += level["keys"]
+        if total > COMMON:
+            break
+        least = level["count"]
+    found = often.filter(F.col("count") >= least).toArrow()
+    keys, counts = (found.column(c).to_numpy() for c in ("key", "count"))
+    return keys[np.lexsort((keys, counts))]
 
 
 def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -200,27 +214,47 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def odd_sketch(hashes: np.ndarray) -> bytes:
+def odd_sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
     """A bit for each of so many parts of the hashes: whether the part has an odd number of these."""
-    return np.packbits((np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount(hashes & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of n hashes: with fewer than about half of n, any two sets of the size would pass for near."""
+    return max(SKETCH, 1 << max(0, n - 1).bit_length())
+
+
+def sketches_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits odd sketches differ, pair by pair. The longer is folded: its parts that fall together are one part of the shorter."""
+    widths, apart = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2), np.zeros(len(a), np.int64)
+    for wide in np.unique(widths, axis=0).tolist():
+        at, short = np.flatnonzero((widths == wide).all(axis=1)), min(wide)
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join([c[i] for i in at]), np.uint64).reshape(len(at), w // short, -1), axis=1) for c, w in zip((a, b), wide)]
+        apart[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return apart
 
 
 def prefixes(rows: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
-    """(row, n, sketch, prefix) of each row of ``rows`` with words: the number of its shingles, their odd sketch, and the first of their hashes, common ones last.
+    """(row, n, sketch, prefix) of each row of ``rows`` with words: the number of its shingles, their odd sketch, and the first of their hashes, common ones last, the rarer of these before the others.
 
     Two sets of that similarity have ``similarity`` of either's shingles in common at least. So the first that both have
     comes before so many of each, and is in both prefixes, which leave out one less than so many.
     """
-    common = rows.sparkSession.sparkContext.broadcast(common_hashes(rows, row, words))
+    rarest_first = common_hashes(rows, row, words)
+    release(rows.sparkSession)  # what was shuffled to count them
+    rank = np.argsort(rarest_first).astype(np.int32)
+    common = rows.sparkSession.sparkContext.broadcast((rarest_first[rank], rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = common.value
         for batch in batches:
             found = []
             for number, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text"))):
                 hashes = _hashes(text, words)
                 if len(hashes):
-                    late = _among(hashes, common.value)
-                    sketch, hashes = odd_sketch(hashes), np.concatenate([hashes[~late], hashes[late]])
+                    late = _among(hashes, known)
+                    last = hashes[late][np.argsort(rank[np.searchsorted(known, hashes[late])])]
+                    sketch, hashes = odd_sketch(hashes, sketch_bits(len(hashes))), np.concatenate([hashes[~late], last])
                     found.append((number, len(hashes), sketch, hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["row", "n", "sketch", "prefix"])
@@ -248,8 +282,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, sizes = (batch.column(c).to_numpy() for c in ("u", "v", "n"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
-            ok = np.bitwise_count(a ^ b).sum(axis=1) <= sizes * (1 - similarity) / (1 + similarity) + 1e-6
+            apart = sketches_apart(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            ok = apart <= sizes * (1 - similarity) / (1 + similarity) + 1e-6
             yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
     first = sketches.select(F.col("row").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("a")).hint("merge")

@@ -160,3 +160,51 @@ def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
     roots = spark.createDataFrame([(n, n) for n, _ in rows], "row bigint, root bigint")
     got = sorted(tuple(r) for r in similar.rest(docs, "n", roots, 5, 0.8).collect())
     assert got == [(2 * i, 2 * i + 1) for i in range(0, 60, 4)]
+
+
+def test_folded_sketches_keep_every_near_pair():
+    """Sketches grow with the sets; where two have other lengths, the longer is folded and still no bit is over the true difference."""
+    rng = np.random.default_rng(5)
+    sets, ends = [], []
+    for n in (1, 900, 1020, 1030, 2040, 2050, 5000):
+        every = rng.integers(-(2**63), 2**63 - 1, 2 * n + 2)
+        sets += [(every[:n], every[n // 9 : n // 9 + n]), (every[:n], every[n : 2 * n + 2])]
+    for x, y in sets:
+        ends.append([similar.odd_sketch(h, similar.sketch_bits(len(h))) for h in (x, y)])
+    apart = similar.sketches_apart(*map(list, zip(*ends)))
+    for (x, y), d in zip(sets, apart.tolist()):
+        assert d <= len(np.setxor1d(x, y))
+        if len(x) > 1 and not len(np.intersect1d(x, y)):  # nothing in common: shown to be less similar, however long
+            assert d > (len(x) + len(y)) * 0.2 / 1.8
+    assert similar.sketches_apart([], []).tolist() == []
+
+
+def test_long_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Of 3000 shingles each, which fill a sketch of 1024 bits."""
+    monkeypatch.setattr(similar, "common_hashes", lambda *_: np.array([], np.int64))
+    rng, rows = random.Random(6), []
+    passage = [f"p{i}" for i in range(200)]
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        rows.append((2 * i, " ".join(words + passage)))
+        if i % 4 == 0:
+            words[50], words[1500] = "x", "y"
+            rows.append((2 * i + 1, " ".join(words + passage)))
+    docs = spark.createDataFrame(rows, "n bigint, text string")
+    roots = spark.createDataFrame([(n, n) for n, _ in rows], "row bigint, root bigint")
+    got = sorted(tuple(r) for r in similar.rest(docs, "n", roots, 5, 0.8).collect())
+    assert got == [(2 * i, 2 * i + 1) for i in range(0, 12, 4)]
+
+
+def test_passages_are_known_however_many_rows_there_are(spark, monkeypatch):
+    """A passage that a fixed part of the rows has is known to be common, though a sample of fixed size holds it once at most."""
+    monkeypatch.setattr(similar, "SAMPLE", 20)
+    rng, often, passage = random.Random(7), [f"o{i}" for i in range(6)], [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(8)] + often * (i % 4 == 0) + passage * (i % 40 == 0))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "n bigint, text string")
+    inner = [set(similar._hashes(" ".join(x).encode(), 5).tolist()) for x in (often, passage)]
+    found = similar.common_hashes(docs, "n", 5).tolist()
+    assert inner[0] | inner[1] <= set(found)
+    assert set(found[-2:]) == inner[0]  # the rarest come first
+    monkeypatch.setattr(similar, "COMMON", 5)
+    assert set(similar.common_hashes(docs, "n", 5).tolist()) == inner[0]  # whole levels, from the top
