@@ -98,3 +98,13 @@ def test_radius_pairs(spark, monkeypatch):
     d = np.stack([geodesic.inverse(a, b, *places(others))["s12"] for a, b in zip(*places(ids))])
     want = {(ids[i], others[j]): d[i, j] for i, j in zip(*np.nonzero(d <= 500_000.0))}
     assert len(want) == 4 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-3 for k, v in want.items())
+
+
+def test_radius_pairs_of_all_customers(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.id, r.s_id): r.distance for r in queries.radius_pairs(spark, sf).collect()}
+    ids, others = ([r[0] for r in duckdb.sql(f"select {k} from '{sf}/{t}.parquet' order by 1").fetchall()] for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
+    d = np.stack([geodesic.inverse(a, b, *places(others))["s12"] for a, b in zip(*places(ids))])
+    want = {(ids[i], others[j]): d[i, j] for i, j in zip(*np.nonzero(d <= 500_000.0))}
+    assert len(want) > 300 and any(i % 100 for i, _ in want)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-3 for k, v in want.items())
