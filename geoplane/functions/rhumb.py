@@ -45,7 +45,13 @@ def latitude(psi, e: Ellipsoid):
 
 def meridian(lat1, lat2, e: Ellipsoid):
     """Metres along a meridian; latitudes may go on beyond a pole."""
-    g = lambda t: np.radians(e.a * (1 - e.e2)) / (1 - e.e2 * np.sin(np.radians(t)) ** 2) ** 1.5
+    of = np.result_type(lat1, lat2, np.float64).type
+    rate = np.radians(e.a * (1 - of(e.e2)))
+
+    def g(t):
+        w = 1 - e.e2 * np.sin(np.radians(t)) ** 2
+        return rate / (w * np.sqrt(w) if of is np.longdouble else w**1.5)
+
     return integral(g, lat1, lat2)  # over degrees, whose difference is exact for near latitudes
 
 
@@ -85,14 +91,21 @@ def _per_radian(lat1, lat2, along, psi12, e: Ellipsoid):
     return np.where(psi12 == 0, e.a * c / np.sqrt(1 - e.e2 * s * s), along / np.where(psi12 == 0, 1, psi12))
 
 
+def _length(lat1, lon1, lat2, lon2, lam, e: Ellipsoid):
+    """s12 by long doubles, where there are any: the double next to it, so that its decimals round as the length does. ``lam``: about its radians of longitude."""
+    lat1, lat2 = lat1.astype(np.longdouble), lat2.astype(np.longdouble)
+    turn = normalized(lon2).astype(np.longdouble) - normalized(lon1)
+    lam, psi = np.radians(turn - 360 * np.rint((turn - np.degrees(lam)) / 360)), isometric_difference(lat1, lat2, e)
+    return (np.hypot(lam, psi) * _per_radian(lat1, lat2, meridian(lat1, lat2, e), psi, e)).astype(np.float64)
+
+
 def rhumb_inverse(lat1, lon1, lat2, lon2, e: Ellipsoid = WGS84, area: bool = True) -> dict[str, np.ndarray]:
     """azi12, s12 and area12 (the area under the line) of the shorter rhumb line; east, if both are as short and lon2 - lon1 is +180."""
     lat1, lon1, lat2, lon2 = _columns(lat1, lon1, lat2, lon2)
     bad = ~(np.isfinite(lat1 + lon1 + lat2 + lon2) & (np.abs(lat1) <= 90) & (np.abs(lat2) <= 90))
     lat1, lon1, lat2, lon2 = (np.where(bad, 0.0, v) for v in (lat1, lon1, lat2, lon2))
     lam, psi = np.radians(difference(lon1, lon2)), isometric_difference(lat1, lat2, e)
-    ratio = _per_radian(lat1, lat2, meridian(lat1, lat2, e), psi, e)
-    out = {"azi12": np.degrees(np.arctan2(lam, psi)), "s12": np.hypot(lam, psi) * ratio}
+    out = {"azi12": np.degrees(np.arctan2(lam, psi)), "s12": _length(lat1, lon1, lat2, lon2, lam, e)}
     if area:
         out["area12"] = e.authalic2 * lam * _mean_sine(lat1, lat2, psi, e)
     return {k: np.where(bad, np.nan, v) for k, v in out.items()}

@@ -83,6 +83,14 @@ def test_rhumb_lines():
     assert 80 < over["lat2"][0] < 90 and np.isnan(over["lon2"][0])
 
 
+def test_rhumb_lengths_are_the_next_doubles():
+    """Lengths by 60 digits, some within 2e-9 m of a tie of their fourth decimal."""
+    lat = [60.56999999999999, -77.91, 10.219999999999999, 1.3599999999999994]
+    lon = [32.83000000000001, -143.27, 105.83999999999997, 161.39]
+    want = [9057343.1824500001967, 11665797.0840500015765, 1000959.8564500001958, 6387950.8461519209668]
+    assert rhumb.rhumb_inverse(lat, lon, 1.36, 103.99)["s12"].tolist() == want
+
+
 def test_area_under_a_line_takes_panels_by_its_length(monkeypatch):
     """The mean sine of short lines is as good with few panels: against many."""
     rng = np.random.default_rng(0)
