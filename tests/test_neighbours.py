@@ -96,3 +96,17 @@ def test_odd_rows(spark):
     assert nb.nearest_join(none, other, "id", "other", 2).collect() == nb.nearest_join(rows, other.limit(0), "id", "other", 2).collect() == []
     assert nb.radius_join(rows, other.limit(0), "id", "other", 5.0).collect() == [] == nb.nearest_join(rows, other, "id", "other", 0).collect()
     assert nb.nearest_join(rows, other.limit(0), "id", "other", 2).columns == nb.nearest_join(rows, other, "id", "other", 2).columns
+
+
+def test_short_distances():
+    """Against geodesics, at poles, along meridians, across the date line and between equal points too."""
+    rng = np.random.default_rng(7)
+    lat, lon, azi = np.degrees(np.arcsin(rng.uniform(-1, 1, 4000))), rng.uniform(-180, 180, 4000), rng.uniform(-180, 180, 4000)
+    lat[:500], lat[500:600], lat[600:700] = 90 - rng.uniform(0, 3, 500), -90, 0
+    azi[700:800], azi[650:700], lon[800:900] = 180, 90, 180
+    for far in (0.0, 1.0, 1e3, 5e5, 1e6):
+        p = geodesic.direct(lat, lon, azi, rng.uniform(0, far, 4000))
+        want = geodesic.inverse(lat, lon, p["lat2"], p["lon2"], fields=("s12",))["s12"]
+        (sb1, cb1), (sb2, cb2) = geodesic.reduced(lat, nb.WGS84), geodesic.reduced(p["lat2"], nb.WGS84)
+        got = geodesic.short_distance(sb1, cb1, sb2, cb2, np.radians(geodesic.difference(lon, p["lon2"])), nb.WGS84)
+        assert np.abs(got - want).max() < 1e-7
